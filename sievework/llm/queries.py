@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import decontaminate
+from .jaccard import jaccard_components
+from .lines import line_dedup
 from .packing import Limits, pack_examples
 from .rules import quality_rules
+from .substrings import substring_dedup
 from .tokens import token_counts
 from .urls import Rule, filter_urls
 
@@ -34,10 +38,20 @@ URL_RULES = (
 )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_examples(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, limits=Limits(4096, 64, 4096))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=512)
@@ -54,12 +68,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup(table(spark, sf_dir, "documents"), counts=True)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_url_reputation": op5_url_reputation,
         "op6_quality_rules": op6_quality_rules,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
