@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard import jaccard_components
+from .language import held_out_languages
 from .lines import line_dedup
 from .packing import Limits, pack_examples
 from .rules import quality_rules
@@ -68,6 +70,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, quality.grades_of_labels(table(spark, sf_dir, "labels")), n_grades=3)
+    return quality.score(docs, model, wanted=2).select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -85,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_url_reputation": op5_url_reputation,
         "op6_quality_rules": op6_quality_rules,
+        "op7_language_id": op7_language_id,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
     }
