@@ -15,7 +15,7 @@ goes on, so a passage that a third of all documents hold makes no large group.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +68,12 @@ class Block:
         return [np.concatenate(x) for x in zip(*self.parts)]
 
 
-def _spread(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Rows of kind 1, which a later step only passes on: places by document, dealt evenly."""
-    order = np.argsort(doc % buckets, kind="stable")
-    doc, at = doc[order], at[order]
-    return [(b, 1, pack(ids[doc[s]], keys[doc[s]], at[s])) for b, s in slices(doc % buckets)]
+def _by_document(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows of kind 1: places, in the bucket of their document."""
+    mixed = (ids.astype(np.uint64) ^ (keys.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return [(b, 1, pack(ids[o], keys[o], at[o])) for b, o in ((b, order[s]) for b, s in slices(bucket[order]))]
 
 
 def _dealt(bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, *rest: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -101,20 +102,31 @@ def _lists(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.Rec
 _LISTS = "id long, key int, at array<int>"
 
 
-def _collected(rows: Iterable[pa.RecordBatch], *kinds: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Kind 0 as id, key and further arrays per record; kind 1 as id, key and place."""
+def _joined(parts: list[list[np.ndarray]], *kinds: str) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in kinds]
+
+
+def _found(rows: Iterator[pa.RecordBatch], buckets: int, pick: Callable[..., np.ndarray], *kinds: str) -> Iterator[pa.RecordBatch]:
+    """Pass rows of kind 1 on; of the records of kind 0 send those that ``pick`` chooses to their documents."""
     records: list[list[np.ndarray]] = []
-    passed: list[list[np.ndarray]] = []
     for batch in rows:
-        for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-            data = data.as_py()
+        out = []
+        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if kind:
-                passed.append(unpack(data, "<i8", "<i4", "<u4"))
+                out.append((bucket, 1, data))
             else:
                 ids, keys, local, *rest = unpack(data, "<i8", "<i4", "<u2", *kinds)
                 records.append([ids[local], keys[local], *rest])
-    join = lambda x, kinds: [np.concatenate(c) for c in zip(*x)] if x else [np.zeros(0, k) for k in kinds]
-    return join(records, ("<i8", "<i4", *kinds)), join(passed, ("<i8", "<i4", "<u4"))
+        yield rows_of_blobs(out)
+    ids, keys, at, *rest = _joined(records, "<i8", "<i4", *kinds)
+    chosen = pick(ids, at, *rest)
+    yield rows_of_blobs(_by_document(ids[chosen], keys[chosen], at[chosen], buckets))
+
+
+def _gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each document from rows of kind 1."""
+    parts = [unpack(data, "<i8", "<i4", "<u4") for batch in rows for data in batch.column(2).to_pylist()]
+    yield from _lists(*_joined(parts, "<i8", "<i4", "<u4"))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -129,7 +141,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
         new = starts(h)
         group = np.cumsum(new) - 1
         shared = (np.bincount(group) > 1)[group]
-        rows = _spread(ids, keys, doc[shared], at[shared], buckets)
+        rows = _by_document(ids[doc[shared]], keys[doc[shared]], at[shared], buckets)
         doc, at, h, shared = doc[new], at[new], h[new], shared[new]
         high = h >> np.uint64(16)
         rows += _dealt((h % np.uint64(buckets)).astype(np.int64), ids, keys, doc, at, (high >> np.uint64(16)).astype(np.uint32), (high & np.uint64(0xFFFF)).astype(np.uint16), shared.astype(np.uint8))
@@ -154,16 +166,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
         yield flush(block)
 
 
-def _live(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of anchors that are met twice; those known to be are passed on."""
-    (ids, keys, at, high, low, known), passed = _collected(rows, "<u4", "<u4", "<u2", "u1")
+def _live(ids: np.ndarray, at: np.ndarray, high: np.ndarray, low: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Anchors that are met twice, but for those whose block knows already."""
     h = (high.astype(np.uint64) << np.uint64(16)) | low
     order = np.argsort(h, kind="stable")
-    group = np.cumsum(starts(h[order])) - 1 if len(h) else np.zeros(0, np.int64)
     live = np.zeros(len(h), bool)
-    live[order] = (np.bincount(group) > 1)[group] if len(h) else False
-    live &= known == 0
-    yield from _lists(*(np.concatenate(x) for x in zip((ids[live], keys[live], at[live]), passed)))
+    if len(h):
+        group = np.cumsum(starts(h[order])) - 1
+        live[order] = (np.bincount(group) > 1)[group]
+    return np.flatnonzero(live & (known == 0))
 
 
 def _later(ids: np.ndarray, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,9 +194,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
         doc, at, h, g = block.arrays()
         order, new, later = _later(ids[doc], at, h, g)
         doc, at, h, g = doc[order], at[order], h[order], g[order]
-        rows = _spread(ids, keys, doc[later], at[later], buckets)
+        rows = _by_document(ids[doc[later]], keys[doc[later]], at[later], buckets)
         stay = ~later  # the first place, and rows that repeat it
-        return rows_of_blobs(rows + _dealt((h[stay] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[stay], at[stay], h[stay], g[stay]))
+        return rows_of_blobs(rows + _dealt((h[stay] % np.uint64(buckets)).astype(np.int64), ids, keys, doc[stay], at[stay], h[stay], g[stay].astype(np.uint32)))
 
     block = Block()
     for batch in batches:
@@ -198,7 +209,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
             np.add.at(edge, np.minimum(n, live + 1), -1)
             at = np.flatnonzero(np.cumsum(edge[:-1]))
             both = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(begin[at].tolist(), end[at + window - 1].tolist())]), "<u8").reshape(-1, 2)
-            block.add(id_, key, len(joined), at, both[:, 0], both[:, 1])
+            block.add(id_, key, len(joined), at, both[:, 0], both[:, 1] >> np.uint64(32))
             if block.full(block_bytes):
                 yield flush(block)
                 block = Block()
@@ -206,11 +217,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
         yield flush(block)
 
 
-def _repeats(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    (ids, keys, at, h, g), passed = _collected(rows, "<u4", "<u8", "<u8")
+def _repeats(ids: np.ndarray, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
     order, _, later = _later(ids, at, h, g)
-    gone = order[later]
-    yield from _lists(*(np.concatenate(x) for x in zip((ids[gone], keys[gone], at[gone]), passed)))
+    return order[later]
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +263,16 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     )
     texts = docs.repartition(n, "id", "key")  # both joins read this one exchange
 
-    def by_document(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", "key").agg(F.flatten(F.collect_list("at")).alias("at"))
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(n, F.col("bucket"))
+
+    def places(rows: DataFrame, pick: Callable[..., np.ndarray], *kinds: str) -> DataFrame:
+        found = dealt(rows).mapInArrow(lambda b: _found(b, n, pick, *kinds), BLOB_SCHEMA)
+        return dealt(found).mapInArrow(_gathered, _LISTS)
 
-    anchors = docs.mapInArrow(lambda b: _anchor_rows(b, window, n, block_bytes), BLOB_SCHEMA)
-    live = by_document(anchors.repartitionById(n, F.col("bucket")).mapInArrow(_live, _LISTS))
+    live = places(docs.mapInArrow(lambda b: _anchor_rows(b, window, n, block_bytes), BLOB_SCHEMA), _live, "<u4", "<u4", "<u2", "u1")
     windows = texts.join(live, ["id", "key"]).mapInArrow(lambda b: _window_rows(b, window, n, block_bytes), BLOB_SCHEMA)
-    later = by_document(windows.repartitionById(n, F.col("bucket")).mapInArrow(_repeats, _LISTS))
+    later = places(windows, _repeats, "<u4", "<u8", "<u4")
     names = [id_col, "n_words", "n_removed", "kept", "removed"]
     schema = f"`{id_col}` long, n_words long, n_removed long, kept string, removed array<struct<first:int,end:int>>"
     return texts.join(later, ["id", "key"], "left").mapInArrow(lambda b: _remove(b, window, names), schema)
