@@ -210,11 +210,10 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
         d, sig, tag = d[one], sig[one], tag[one]
         bucket = (sig % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        entry, local = np.unique(np.stack([d, tag]), axis=1, return_inverse=True)
-        sig, local = sig[order], local.reshape(-1)[order]
+        sig, entry = sig[order], ((d << 32) + (tag + 128))[order]
         for b, s in slices(bucket[order]):
-            named, at = np.unique(local[s], return_inverse=True)
-            e, t = entry[0, named], entry[1, named]
+            named, at = np.unique(entry[s], return_inverse=True)
+            e, t = named >> 32, (named & 0xFFFFFFFF) - 128
             rows.append((b, 0, pack(id_[e], sizes[e].astype(np.int32), t.astype(np.int32), at.astype(np.uint16), sig[s])))
         return rows_of_blobs(rows)
 
@@ -293,7 +292,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24 << 20) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links).
 
     Documents link when the sets of their five-word shingles (ASCII letters lower-cased) have a
