@@ -13,10 +13,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,14 +65,12 @@ def term_counts(docs: DataFrame, terms: DataFrame, block_terms: int) -> DataFram
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = {t: i for i, t in enumerate(sent.value)}
-            total = np.zeros(len(number) + 1, np.int64)
+            known = frozenset(sent.value).__contains__
+            total: Counter[bytes] = Counter()
             for batch in batches:
                 for text in batch.column(0):
-                    found = list(filter(None.__ne__, map(number.get, words(text.as_py()))))
-                    total += np.bincount(found, minlength=len(total)) if found else 0
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([sent.value[i].decode() for i in at], pa.string()), pa.array(total[at])], names=["term", "n"])
+                    total.update(filter(known, words(text.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
         return docs.select("text").mapInArrow(count, "term string, n long")
 
@@ -87,19 +85,26 @@ def postings(docs: DataFrame, terms: DataFrame, block_terms: int) -> DataFrame:
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = frozenset(sent.value)
+            out: list[tuple[str, int | None, int, list[int]]] = []
+
+            def rows() -> pa.RecordBatch:
+                columns = list(zip(*out)) or [(), (), (), ()]
+                out.clear()
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["term", "id", "key", "positions"])
+
             for batch in batches:
-                out: list[tuple[str, int | None, int, list[int]]] = []
-                for id_, key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    all_words = words(text)
+                for id_, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    all_words = words(text.as_py())
                     found: dict[bytes, list[int]] = {}
                     if not wanted.isdisjoint(all_words):
                         for i, w in enumerate(all_words):
                             if w in wanted:
                                 found.setdefault(w, []).append(i)
                     out.extend((t.decode(), id_, key, p) for t, p in found.items())
-                columns = list(zip(*out)) or [(), (), (), ()]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["term", "id", "key", "positions"])
+                    if len(out) >= 20_000:
+                        yield rows()
+            yield rows()
 
         return docs.select("id", "key", "text").mapInArrow(post, "term string, id long, key long, positions array<int>")
 
@@ -145,7 +150,7 @@ def matched(doc: list[bytes], item: list[bytes], delta: int, window: int) -> lis
     return out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, rarest: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_terms: int = 1_000_000) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, rarest: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_terms: int = 1_000_000) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, hits.
 
     A document word is hit if it lies in an occurrence of a window: ``window`` consecutive
