@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import oracles, quality
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard import jaccard_components
@@ -105,4 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": oracles.DECONTAMINATION,
+        "op3_substring_dedup": oracles.SUBSTRINGS,
+        "op5_url_reputation": oracles.URLS,
+        "op10_line_dedup": oracles.LINES,
+    }
