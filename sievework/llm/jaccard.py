@@ -1,18 +1,20 @@
 """Operator 9: exact Jaccard self-join on word shingles by universe partition.
 
-Two sets with a Jaccard similarity of 0.8 or more, the smaller one of at most ``hi``
-elements, differ in at most ``k = hi // 4`` elements. Per size band the universe of hashes is
-cut into ``m`` segments; a set's part in a segment has a signature. Unequal
-signatures need a differing element each, so a set with more than ``k`` filled segments
-shares a filled one with each of its partners. ``m`` is chosen by cost: more
-signatures against more sets that fill too few segments. Those sets also emit
-one-deletion neighbourhoods (segments of two or more elements then miss only with two
-differences), and if that is still too little, every single element.
+Two sets with a Jaccard similarity of 0.8 or more differ in a bounded number ``k`` of
+elements (a quarter of the smaller set). Per band of sizes the universe of hashes is cut
+into ``m`` segments; a set's part in a segment has a signature. Unequal signatures need
+a differing element each, so a set with more than ``k`` filled segments shares a filled
+one with each of its partners. ``m`` is chosen by cost: more signatures against more
+sets that fill too few segments. Those sets also emit one-deletion neighbourhoods
+(segments of two or more elements then miss only with two differences), and if that
+is still too little, every single element.
 
 Sets that share a signature form a group. First each group's sets are compared with
 its smallest id only, which joins nearly all of them into components. A group whose
 sets lie in one component is settled. A set with more than ``k`` settled segments has met
-all partners; only sets with fewer are compared with each other in groups that are not settled.
+all partners. Only sets with fewer go on: they are compared with a few more members of
+their unsettled groups, and what is still unsettled is paired in full, where only pairs are
+compared that share as many groups as linked sets must.
 Equal sets, and equal signatures, are merged within a task's block of documents first.
 """
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .blobs import BLOB_SCHEMA, pack, rows_of_blobs, slices, starts, unpack
 from .common import partitions, stored
@@ -61,26 +64,33 @@ def band(size: int) -> tuple[int, int, int]:
     return number, lo, hi
 
 
+def most_apart(sizes: np.ndarray, hi: int) -> np.ndarray:
+    """How far sets of ``sizes`` can be from a partner when the smaller of both has at most ``hi`` elements."""
+    return np.where(sizes <= hi, sizes // 4, (sizes + hi) // 9)
+
+
 @lru_cache(maxsize=None)
 def segments(lo: int, hi: int) -> int:
-    """The number of segments with the least expected cost for sets of ``lo`` elements and more.
+    """The number of segments with the least expected cost for sets of ``lo`` to ``hi`` elements.
 
-    Cost: one signature a segment, and, with the chance that a set of ``lo``
-    elements fills too few segments, the signatures of its deletion neighbourhoods.
+    Cost: one signature a filled segment, and, with the chance that the elements a set
+    has for itself fill too few segments, the signatures of its deletion neighbourhoods.
+    A quarter of a set, or 75 elements (but seven tenths of it at most), may lie in a passage that
+    very many sets share and so in groups that are not settled.
     """
-    k = hi // 4
-    if k == 0:
+    if hi < 4:
         return 1
-    need = k + 1 + (k + 1) // 4  # some groups may stay unsettled
 
-    def cost(m: int) -> float:
-        mean = m * (1 - (1 - 1 / m) ** lo)
-        empty, pair = (1 - 1 / m) ** lo, (1 - 2 / m) ** lo if m > 1 else 0.0
+    def short(m: int, n: int) -> float:
+        e = max(1, 3 * n // 10, min(3 * n // 4, n - 75))
+        empty, pair = (1 - 1 / m) ** e, (1 - 2 / m) ** e if m > 1 else 0.0
         spread = math.sqrt(max(1e-9, m * empty + m * (m - 1) * pair - (m * empty) ** 2))
-        short = 0.5 * math.erfc((mean - need + 0.5) / spread / math.sqrt(2))
-        return min(m, lo) + 20 * lo * short
+        return 0.5 * math.erfc((m * (1 - empty) - n // 4 - 0.5) / spread / math.sqrt(2))
+
+    def cost(m: int) -> float:
+        return m * (1 - (1 - 1 / m) ** lo) + 20 * lo * max(short(m, lo), short(m, hi))
 
-    return min(range(k + 1, 8 * lo + k + 2, max(1, lo // 200)), key=cost)
+    return min(range(hi // 4 + 1, 8 * lo + hi // 4 + 2, max(1, lo // 200)), key=cost)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -94,22 +104,22 @@ def _salted(sums: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     return _mix(sums + np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, lo: int, hi: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(doc: np.ndarray, h: np.ndarray, all_sizes: np.ndarray, lo: int, hi: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, signature, slack) under one band for sets given as sorted hashes per document.
 
     slack: how many of a set's groups may stay unsettled before it may miss a partner;
     -1 marks the signatures of sets that fill too few segments (any unsettled group counts).
     """
-    k, m = hi // 4, segments(lo, hi)
+    k, m = most_apart(all_sizes, hi), segments(lo, hi)
     segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     first = np.flatnonzero(starts(doc, segment))
     mixed = _mix(h)
     sums = np.add.reduceat(mixed, first)
     sizes = np.diff(np.append(first, len(h)))
     docs, where = doc[first], segment[first]
-    filled = np.bincount(docs, minlength=int(doc[-1]) + 1)
+    filled = np.bincount(docs, minlength=len(all_sizes))
     tag = where * np.uint64(4) + np.uint64(number << 40)
-    slack = filled[docs] - (k + 1)
+    slack = (filled - (k + 1))[docs]
     out = [(docs, _salted(sums, tag), np.maximum(slack, -1))]
     short = filled < k + 1
     if short[docs].any():
@@ -151,12 +161,17 @@ def _groups(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, slack: np.ndarr
     return order, group, first, many
 
 
-def _pairs(order: np.ndarray, first: np.ndarray, many: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Distinct pairs (n, 2) of each group's smallest id with the others."""
+def _pairs(order: np.ndarray, first: np.ndarray, many: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of each group's smallest id with the others, and how many groups and how much slack (16 bits each) they have."""
     a, b = order[first[many]], order[many]
     use = (ids[a] != ids[b]) & ~_apart(sizes[a], sizes[b])
-    p = np.stack([ids[a[use]], ids[b[use]]], 1)
-    return np.unique(p, axis=0) if len(p) else p
+    a, b = a[use], b[use]
+    slack = np.clip(np.maximum(tag[a], tag[b]) >> 6, 0, 0xFFFF)
+    o = np.lexsort((slack, ids[b], ids[a]))
+    a, b, slack = ids[a][o], ids[b][o], slack[o]
+    new = np.flatnonzero(starts(a, b)) if len(a) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(a)))
+    return a[new], b[new], np.minimum(count, 0xFFFF) << 16 | slack[new]
 
 
 def _even(kind: int, spread: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -198,12 +213,12 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
                 at = np.zeros(len(sets), bool)
                 at[members] = True
                 pick = at[doc]
-                d, s, slack = signatures(doc[pick], h[pick], lo, hi, number)
+                d, s, slack = signatures(doc[pick], h[pick], sizes, lo, hi, number)
                 found.append((d, s, slack * 64 + min(number, 63)))
         d, sig, tag = (np.concatenate(x) for x in zip(*found))
         order, group, head, many = _groups(sig, id_[d], sizes[d], tag)
-        pairs = _pairs(order, head, many, id_[d], sizes[d])
-        rows += _even(PAIR, np.arange(len(pairs)), buckets, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
+        pairs = _pairs(order, head, many, id_[d], sizes[d], tag)
+        rows += _even(PAIR, np.arange(len(pairs[0])), buckets, *pairs)
         m = order[many]
         rows += _even(MEMBER, np.arange(len(m)), buckets, sig[m].astype(np.int64), id_[d[m]], tag[m].astype(np.int64))
         one = order[np.unique(head)]
@@ -255,8 +270,7 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if parts:
         ids, sizes, sig, tag = (np.concatenate(x) for x in zip(*parts))
         order, _, first, many = _groups(sig, ids, sizes, tag)
-        pairs = _pairs(order, first, many, ids, sizes)
-        yield from _row_batches(PAIR, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs)))
+        yield from _row_batches(PAIR, *_pairs(order, first, many, ids, sizes, tag.astype(np.int64)))
         m = order[many]
         yield from _row_batches(MEMBER, sig[m].astype(np.int64), ids[m], tag[m])
 
@@ -292,6 +306,43 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
+def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of groups in several components, of sets with too few settled groups to have met all partners.
+
+    Columns: sig, id, tag, c (component), weight: how large the set's groups are in all, first: whether the
+    group is one of the set's smallest. A set with n such groups shares more than its
+    slack with each partner, so all but slack of them, taken in one order for all sets, hold one
+    that the partner's have too.
+    """
+    slack = F.greatest(F.shiftright("tag", 6), F.lit(0))
+    placed = stored(members.join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c")), "members")
+    open_ = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 <> c1").select("sig", "g")
+    rows = placed.join(open_, "sig").distinct()
+    needy = rows.groupBy("id", "tag").agg(F.count("*").alias("n"), F.sum("g").alias("weight")).where(F.col("n") > F.shiftright("tag", 6))
+    rank = F.row_number().over(Window.partitionBy("id", "tag").orderBy("g", "sig"))
+    return stored(rows.join(needy, ["id", "tag"]).select("sig", "id", "tag", "c", "weight", (rank <= F.col("n") - slack).alias("first")), "unsettled")
+
+
+def _starred(left: DataFrame, others: int = 2) -> DataFrame:
+    """Pairs of the members of each group with its weightiest member, which is most like the rest, and a few others."""
+    least = [F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(k))) for k in range(others)]
+    chosen = left.groupBy("sig").agg(F.array_distinct(F.array(F.max_by(F.struct("id", "c"), F.struct("weight", "id")), *least)).alias("centres"))
+    paired = left.join(chosen, "sig").select("id", "c", F.explode("centres").alias("o")).where("c <> o.c")
+    return paired.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+
+
+def _exhausted(left: DataFrame) -> DataFrame:
+    """All pairs in different components that share as many groups of a band as linked sets must."""
+    rows = left.select("sig", "id", "c", "first", F.col("tag").bitwiseAND(63).alias("band"), F.greatest(F.shiftright("tag", 6), F.lit(0)).alias("slack"))
+    one = rows.where("first").select("sig", "band", F.col("id").alias("a"), "c")
+    other = rows.where("first").select("sig", F.col("id").alias("b"), F.col("c").alias("d"))
+    met = one.join(other, "sig").where("a < b and c <> d").select("a", "b", "band").distinct()
+    of_a = met.join(rows.select(F.col("id").alias("a"), "band", "sig", F.col("slack").alias("s")), ["a", "band"])
+    both = of_a.join(rows.select(F.col("id").alias("b"), "sig", F.col("slack").alias("t")), ["b", "sig"])
+    shared = both.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max(F.greatest("s", "t")).alias("slack"))
+    return shared.where("n > slack").select("a", "b").distinct()
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links).
 
@@ -308,7 +359,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = stored(dealt.repartitionById(n, F.col("bucket")).mapInArrow(_group_rows, _ROWS), "groups")
     kind = lambda k: rows.where(F.col("kind") == k)
     equal = kind(EQUAL).select("a", "b")
-    pairs = stored(kind(PAIR).groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b"), "pairs")
+    met = kind(PAIR).groupBy("a", "b").agg(F.sum(F.shiftright("tag", 16)).alias("groups"), F.min(F.col("tag").bitwiseAND(0xFFFF)).alias("slack"))
+    pairs = stored(met.where("2 * groups > slack").select("a", "b"), "pairs")  # the others are left to the later rounds
 
     def texts_of(p: DataFrame) -> DataFrame:
         named = p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
@@ -317,19 +369,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     linked = stored(_verified(pairs, texts_of(pairs)).where("linked").select("a", "b"), "links")
     edges = linked.unionByName(equal)
     component = connected_components(edges)
-    members = kind(MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("id"), "tag")
-    placed = stored(members.join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c")), "members")
-    open_ = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-    unsettled = placed.join(open_, "sig").distinct()
-    needy = unsettled.groupBy("id", "tag").agg(F.count("*").alias("n")).where(F.col("n") > F.shiftright("tag", 6)).select("id", "tag")
-    left = stored(unsettled.join(needy, ["id", "tag"]), "unsettled")
+    left = _unsettled(kind(MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("id"), "tag"), component)
     if not left.isEmpty():
-        other = left.select("sig", F.col("id").alias("b"), F.col("c").alias("d"))
-        more = left.withColumnRenamed("id", "a").join(other, "sig").where("a < b and c <> d").groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b")
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            found = stored(_verified(more, texts_of(more)).where("linked").select("a", "b"), "links")
-            if not found.isEmpty():
-                component = connected_components(edges.unionByName(found))
+        more = stored(_starred(left).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        edges = edges.unionByName(stored(_verified(more, texts_of(more)).where("linked").select("a", "b"), "links"))
+        component = connected_components(edges)
+        rest = stored(_exhausted(_unsettled(left.select("sig", "id", "tag"), component)).join(pairs.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            edges = edges.unionByName(stored(_verified(rest, texts_of(rest)).where("linked").select("a", "b"), "links"))
+            component = connected_components(edges)
     all_docs = kind(DOCUMENT).select(F.when(F.col("tag") == 1, F.col("a")).alias("id"), F.col("b").alias("n_shingles"))
     return all_docs.join(component, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
