@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 def read_sources(spark: SparkSession, *paths: str, suffixes: Sequence[str] = ()) -> DataFrame:
     """(path, text) of whole UTF-8 files under ``paths``, folders included; ``suffixes`` limit the names."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if suffixes:
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(suffixes) + "}" if len(suffixes) > 1 else "*" + suffixes[0])
-    return reader.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    glob = None if not suffixes else "*" + suffixes[0] if len(suffixes) == 1 else "*{" + ",".join(suffixes) + "}"
+    files = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
