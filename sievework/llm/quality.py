@@ -28,8 +28,8 @@ _STOPS = b"!?"
 @dataclass(frozen=True)
 class Fit:
     """rows: bound of the sample. bits: of the hashed space. least_docs: sample documents that a feature
-    needs. least_z: standard errors by which their mean grade must differ from that of all
-    (fewer, down to 3, in small samples).
+    needs. least_z: standard errors by which their share of grades over some threshold must
+    differ from that of all (fewer, down to 3, in small samples).
     """
 
     rows: int = 20_000
@@ -94,9 +94,12 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, f: Fi
     index = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     docs = np.bincount(index, minlength=size)
-    gap = np.abs(np.bincount(index, grades[doc].astype(float), minlength=size) - docs * grades.mean())
     z = min(f.least_z, max(3.0, 0.065 * len(rows) ** 0.5))
-    used = (docs >= f.least_docs) & (gap >= z * max(grades.std(), 1e-9) * np.sqrt(docs))
+    used = np.zeros(size, bool)
+    for j in range(n_grades - 1):
+        over = (grades > j).astype(float)
+        gap = np.abs(np.bincount(index, over[doc], minlength=size) - docs * over.mean())
+        used |= (docs >= f.least_docs) & (gap >= z * np.sqrt(docs) * max(over.std(), 1e-9))
     index, doc = index[used[index]], doc[used[index]]
     share = np.bincount(grades, minlength=n_grades).astype(float)
     weight = (1 / np.maximum(share, 1))[grades] ** 0.5
