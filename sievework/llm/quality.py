@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,19 +89,32 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - np.asarray(score)[:, None], -30, 30)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, f: Fit) -> Ordinal:
-    """Maximum likelihood with weight decay, by moment-adapted gradient steps over the whole sample."""
+def _selected(index: np.ndarray, doc: np.ndarray, grades: np.ndarray, n_grades: int, f: Fit) -> np.ndarray:
+    """Which of the hashed features get a weight."""
     size = 1 << f.bits
-    index = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    docs = np.bincount(index, minlength=size)
-    z = min(f.least_z, max(3.0, 0.065 * len(rows) ** 0.5))
+    by_grade = np.zeros(size * n_grades, np.int64)
+    for i in range(0, len(index), 1 << 20):
+        s = slice(i, i + (1 << 20))
+        by_grade += np.bincount(index[s].astype(np.int64) * n_grades + grades[doc[s]], minlength=len(by_grade))
+    by_grade = by_grade.reshape(size, n_grades)
+    docs = by_grade.sum(1)
+    z = min(f.least_z, max(3.0, 0.065 * len(grades) ** 0.5))
     used = np.zeros(size, bool)
     for j in range(n_grades - 1):
         over = (grades > j).astype(float)
-        gap = np.abs(np.bincount(index, over[doc], minlength=size) - docs * over.mean())
+        gap = np.abs(by_grade[:, j + 1 :].sum(1) - docs * over.mean())
         used |= (docs >= f.least_docs) & (gap >= z * np.sqrt(docs) * max(over.std(), 1e-9))
-    index, doc = index[used[index]], doc[used[index]]
+    return used
+
+
+def fit_ordinal(index: np.ndarray, doc: np.ndarray, grades: np.ndarray, n_grades: int, f: Fit) -> Ordinal:
+    """Maximum likelihood with weight decay, by moment-adapted gradient steps over the whole sample.
+
+    index, doc: each feature of each document and the document's place in ``grades``.
+    """
+    size = 1 << f.bits
+    chosen = _selected(index, doc, grades, n_grades, f)[index]
+    index, doc = index[chosen].astype(np.int64), doc[chosen].astype(np.int64)
     share = np.bincount(grades, minlength=n_grades).astype(float)
     weight = (1 / np.maximum(share, 1))[grades] ** 0.5
     weight /= weight.mean()
@@ -110,7 +124,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, f: Fi
     w = np.zeros(size)
     first = {"w": np.zeros(size), "b": 0.0, "g": np.zeros(len(gaps))}
     second = {"w": np.zeros(size), "b": 0.0, "g": np.zeros(len(gaps))}
-    n = len(rows)
+    n = len(grades)
     for step in range(1, f.steps + 1):
         theta = base + np.concatenate([[0], np.cumsum(np.exp(gaps))])
         score = np.bincount(doc, w[index], minlength=n)
@@ -155,14 +169,18 @@ def learn(df: DataFrame, ratings: DataFrame, n_grades: int, f: Fit = Fit(), id_c
         make = Features(f.bits)
         for batch in batches:
             found = [make.of(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], names=["id", "grade", "features"])
 
-    kept = joined.mapInArrow(features, "id long, grade int, features array<long>").where("size(features) > 0").toArrow()
-    rows = sorted(zip(kept["id"].to_pylist(), kept["grade"].to_pylist(), kept["features"]), key=lambda r: (r[0], r[1], len(r[2])))
-    grades = np.array([g for _, g, _ in rows], np.int64)
+    kept = joined.mapInArrow(features, "id long, grade int, features array<int>").where("size(features) > 0").toArrow()
+    sizes = pc.list_value_length(kept["features"]).to_numpy()
+    order = np.lexsort((sizes, kept["grade"].to_numpy(), kept["id"].to_numpy()))
+    kept, sizes = kept.take(order), sizes[order]
+    grades = kept["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return None
-    return fit_ordinal([x.values.to_numpy(zero_copy_only=False) for *_, x in rows], grades, n_grades, f)
+    index = kept["features"].combine_chunks().flatten().to_numpy()
+    del kept
+    return fit_ordinal(index, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), grades, n_grades, f)
 
 
 def score(df: DataFrame, model: Ordinal | None, wanted: int, f: Fit = Fit(), least_tail: float = 0.65, text_col: str = "text") -> DataFrame:
