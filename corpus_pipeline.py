@@ -19,7 +19,7 @@ from sievework.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade is at least one half stay."""
+    """Documents whose probability of the top grade reaches the classifier's bound stay."""
     ratings = quality.grades_of_labels(table(spark, sf_dir, "labels"))
     model = quality.learn(docs, ratings, n_grades=3)
     return quality.score(docs, model, wanted=2).where("kept").select(*docs.columns)
