@@ -309,18 +309,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
     """Members of groups in several components, of sets with too few settled groups to have met all partners.
 
-    Columns: sig, id, tag, c (component), weight: how large the set's groups are in all, first: whether the
-    group is one of the set's smallest. A set with n such groups shares more than its
-    slack with each partner, so all but slack of them, taken in one order for all sets, hold one
-    that the partner's have too.
+    Columns: sig, id, tag, c (component), weight: how large the set's groups are in all, n: how many
+    it has, rank: the group's place among them from the smallest, in one order for all sets.
     """
-    slack = F.greatest(F.shiftright("tag", 6), F.lit(0))
     placed = stored(members.join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c")), "members")
     open_ = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 <> c1").select("sig", "g")
     rows = placed.join(open_, "sig").distinct()
     needy = rows.groupBy("id", "tag").agg(F.count("*").alias("n"), F.sum("g").alias("weight")).where(F.col("n") > F.shiftright("tag", 6))
     rank = F.row_number().over(Window.partitionBy("id", "tag").orderBy("g", "sig"))
-    return stored(rows.join(needy, ["id", "tag"]).select("sig", "id", "tag", "c", "weight", (rank <= F.col("n") - slack).alias("first")), "unsettled")
+    return stored(rows.join(needy, ["id", "tag"]).select("sig", "id", "tag", "c", "weight", "n", rank.alias("rank")), "unsettled")
 
 
 def _starred(left: DataFrame, others: int = 2) -> DataFrame:
@@ -332,15 +329,35 @@ def _starred(left: DataFrame, others: int = 2) -> DataFrame:
 
 
 def _exhausted(left: DataFrame) -> DataFrame:
-    """All pairs in different components that share as many groups of a band as linked sets must."""
-    rows = left.select("sig", "id", "c", "first", F.col("tag").bitwiseAND(63).alias("band"), F.greatest(F.shiftright("tag", 6), F.lit(0)).alias("slack"))
-    one = rows.where("first").select("sig", "band", F.col("id").alias("a"), "c")
-    other = rows.where("first").select("sig", F.col("id").alias("b"), F.col("c").alias("d"))
-    met = one.join(other, "sig").where("a < b and c <> d").select("a", "b", "band").distinct()
-    of_a = met.join(rows.select(F.col("id").alias("a"), "band", "sig", F.col("slack").alias("s")), ["a", "band"])
-    both = of_a.join(rows.select(F.col("id").alias("b"), "sig", F.col("slack").alias("t")), ["b", "sig"])
-    shared = both.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max(F.greatest("s", "t")).alias("slack"))
-    return shared.where("n > slack").select("a", "b").distinct()
+    """All pairs in different components that share as many groups of a band as linked sets must.
+
+    A set with n groups shares more than its slack with each partner, so all but slack of them hold
+    one that the partner's have too. Groups stand in one order, so a shared one also bounds
+    how many the two can share: those up to its place in either, and those after it.
+    """
+    rows = left.withColumn("slack", F.greatest(F.shiftright("tag", 6), F.lit(0)))
+    head = rows.where("rank <= n - slack")
+    one = head.select("sig", F.col("id").alias("a"), F.col("tag").alias("s"), "c", "n", F.col("rank").alias("r"), F.col("slack").alias("k"))
+    other = head.select("sig", F.col("id").alias("b"), F.col("tag").alias("t"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("rank").alias("q"), F.col("slack").alias("l"))
+    met = one.join(other, "sig").where("a < b and c <> d and least(r, q) + least(n - r, m - q) > greatest(k, l)").select("a", "s", "b", "t").distinct()
+    sets = rows.groupBy("id", "tag", "slack").agg(F.collect_set("sig").alias("groups"))
+    of_a = met.join(sets.select(F.col("id").alias("a"), F.col("tag").alias("s"), F.col("slack").alias("k"), F.col("groups").alias("x")), ["a", "s"])
+    both = of_a.join(sets.select(F.col("id").alias("b"), F.col("tag").alias("t"), F.col("slack").alias("l"), F.col("groups").alias("y")), ["b", "t"])
+    return both.where("size(array_intersect(x, y)) > greatest(k, l)").select("a", "b").distinct()
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, most_bits: int = 25) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids`` (distinct).
+
+    A bitmap of hashed ids (4 MB at most) drops nearly all others before any text is shuffled; where
+    it is too small for that, the join alone decides.
+    """
+    bits = min(most_bits, max(16, ids.count().bit_length() + 5))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("marks"))
+    near = docs.withColumn("place", place).withColumn("word", F.shiftright("place", 6)).join(F.broadcast(words), "word").where(F.col("marks").bitwiseAND(bit) != 0)
+    return near.select(*docs.columns).join(ids, "id", "left_semi")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
@@ -364,7 +381,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def texts_of(p: DataFrame) -> DataFrame:
         named = p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-        return docs.where("text is not null").join(named, "id", "left_semi").repartition(n, "id")
+        return _with_ids(docs.where("text is not null"), named).repartition(n, "id")
 
     linked = stored(_verified(pairs, texts_of(pairs)).where("linked").select("a", "b"), "links")
     edges = linked.unionByName(equal)
