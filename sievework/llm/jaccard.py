@@ -357,7 +357,7 @@ def _with_ids(docs: DataFrame, ids: DataFrame, most_bits: int = 25) -> DataFrame
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
     words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("marks"))
     near = docs.withColumn("place", place).withColumn("word", F.shiftright("place", 6)).join(F.broadcast(words), "word").where(F.col("marks").bitwiseAND(bit) != 0)
-    return near.select(*docs.columns).join(ids, "id", "left_semi")
+    return near.select(*docs.columns).join(ids, "id")  # a semi join would be pushed below the bitmap
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
