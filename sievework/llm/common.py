@@ -6,8 +6,13 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Where the tables of ``stored`` lie.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +38,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(t))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -41,6 +56,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(docs: DataFrame, text_col: str = "text", bucket_bytes: int = 8 << 20) -> int:
+    """How many parts to deal what is derived from the texts into, so that a part's size does not grow with the input."""
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+    return max(partitions(docs.sparkSession), -(-size // bucket_bytes))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the executors, once per context, as ``--py-files`` would."""
     context = spark.sparkContext

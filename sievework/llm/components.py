@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -31,14 +31,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the smallest id that can be reached.
 
     Alternates the two star contractions until the edge table stays the same; each round
-    is stored, so lineage stays short. Self-loops are ignored; nodes without another edge do not
+    is stored in place of the one before, so lineage stays short, and so is the result. Self-loops are ignored; nodes without another edge do not
     appear. Both joins have a sum over one key on the other side, so a node
     with very many edges is split by the engine's skew handling.
     """
     edges = stored(_distinct(edges), "edges")
     state = None
     for _ in range(most_rounds):
-        edges = stored(_distinct(_small(_distinct(_large(edges)))), "edges")
+        last, edges = edges, stored(_distinct(_small(_distinct(_large(edges)))), "edges")
+        drop(last)
         r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if state == (r.n, r.x):
             break
@@ -46,4 +47,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-    return roots.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
+    found = stored(roots.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()), "components")
+    drop(edges)
+    return found

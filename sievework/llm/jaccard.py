@@ -13,15 +13,15 @@ Sets that share a signature form a group. First each group's sets are compared w
 its smallest id only, which joins nearly all of them into components. A group whose
 sets lie in one component is settled. A set with more than ``k`` settled segments has met
 all partners. Only sets with fewer go on: they are compared with a few more members of
-their unsettled groups, and what is still unsettled is paired in full, where only pairs are
-compared that share as many groups as linked sets must.
+their unsettled groups. Those still unsettled are described by what sets them apart from the
+hubs of their groups: linked sets differ from a common hub in much the same elements, so a
+prefix of the rarest of these finds every pair that is left.
 Equal sets, and equal signatures, are merged within a task's block of documents first.
 """
 
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .blobs import BLOB_SCHEMA, pack, rows_of_blobs, slices, starts, unpack
-from .common import partitions, stored
+from .common import buckets, drop, stored
 from .components import connected_components
 
 SHINGLE = 5
@@ -275,49 +275,79 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _row_batches(MEMBER, sig[m].astype(np.int64), ids[m], tag[m])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both texts; those whose shingle sets reach the similarity come out."""
-    recent: OrderedDict[str, frozenset[bytes]] = OrderedDict()
+_COMPARED = "hub long, id long, key long, n int, linked boolean, x array<long>"
 
-    def set_of(text: str) -> frozenset[bytes]:
-        if text in recent:
-            recent.move_to_end(text)
-        else:
-            recent[text] = frozenset(shingles(text))
-            if len(recent) > 64:
-                recent.popitem(last=False)
-        return recent[text]
+
+def _compare(batches: Iterator[pa.RecordBatch], delta: bool, batch_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Texts in order of hub, a hub's own (their id is null) before those compared with it.
+
+    x: hashes of the shingles in which a text differs from the hub's first text.
+    """
+    out: list[tuple[int, int, int, int, bool, np.ndarray | None]] = []
+    at, last, sets, size = None, None, [], 0
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 6
+        out.clear()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["hub", "id", "key", "n", "linked", "x"])
 
     for batch in batches:
-        a, b, linked = [], [], []
-        for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            one, two = set_of(s.as_py()), set_of(t.as_py())
-            both = len(one & two)
-            a.append(x)
-            b.append(y)
-            linked.append(both > 0 and 100 * both >= 80 * (len(one) + len(two) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        for hub, part, id_, key, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+            if last == (last := (hub, part, id_, key)):
+                continue  # a repeated row
+            mine = frozenset(shingles(text.as_py()))
+            if id_ is None:
+                if at != (hub, part):
+                    at, sets = (hub, part), []
+                sets.append(mine)
+                continue
+            shared = [(len(mine & s), len(s)) for s in sets]
+            linked = any(k and 100 * k >= 80 * (len(mine) + n - k) for k, n in shared)
+            x = np.fromiter(map(xxhash.xxh3_64_intdigest, mine ^ sets[0]), np.uint64).view(np.int64) if delta else None
+            out.append((hub, id_, key, len(mine), linked, x))
+            size += 64 + (x.nbytes if delta else 0)
+            if size >= batch_bytes:
+                yield rows()
+                size = 0
+    yield rows()
+
+
+def _against_hubs(pairs: DataFrame, docs: DataFrame, n: int, delta: bool = False, part_size: int = 256) -> DataFrame:
+    """``pairs`` (hub, id) with the texts compared: columns as _COMPARED; one row per text of the id.
+
+    A hub's pairs are dealt in parts of about ``part_size``, and its text goes once to each.
+    """
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / part_size).alias("parts"))
+    dealt = stored(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id"), "dealt")
+    named = dealt.select("id").union(dealt.select("hub")).distinct()
+    texts = _with_ids(docs.where("text is not null"), named)
+    hubs = dealt.select("hub", "part").distinct().join(texts.withColumnRenamed("id", "hub"), "hub")
+    both = dealt.join(texts, "id").select("hub", "part", "id", "text").unionByName(hubs.select("hub", "part", F.lit(None).cast("long").alias("id"), "text"))
+    rows = both.select("hub", "part", "id", F.xxhash64("text").alias("key"), "text")
+    placed = rows.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("id"), "key")
+    found = stored(placed.mapInArrow(lambda b: _compare(b, delta), _COMPARED), "compared")
+    drop(dealt)
+    return found
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with linked: whether any two texts of the two ids reach the similarity."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long, linked boolean")
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
     """Members of groups in several components, of sets with too few settled groups to have met all partners.
 
     Columns: sig, id, tag, c (component), weight: how large the set's groups are in all, n: how many
-    it has, rank: the group's place among them from the smallest, in one order for all sets.
+    it has.
     """
     placed = stored(members.join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c")), "members")
     open_ = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 <> c1").select("sig", "g")
     rows = placed.join(open_, "sig").distinct()
     needy = rows.groupBy("id", "tag").agg(F.count("*").alias("n"), F.sum("g").alias("weight")).where(F.col("n") > F.shiftright("tag", 6))
-    rank = F.row_number().over(Window.partitionBy("id", "tag").orderBy("g", "sig"))
-    return stored(rows.join(needy, ["id", "tag"]).select("sig", "id", "tag", "c", "weight", "n", rank.alias("rank")), "unsettled")
+    found = stored(rows.join(needy, ["id", "tag"]).select("sig", "id", "tag", "c", "weight", "n"), "unsettled")
+    drop(placed)
+    return found
 
 
 def _starred(left: DataFrame, others: int = 2) -> DataFrame:
@@ -325,25 +355,56 @@ def _starred(left: DataFrame, others: int = 2) -> DataFrame:
     least = [F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(k))) for k in range(others)]
     chosen = left.groupBy("sig").agg(F.array_distinct(F.array(F.max_by(F.struct("id", "c"), F.struct("weight", "id")), *least)).alias("centres"))
     paired = left.join(chosen, "sig").select("id", "c", F.explode("centres").alias("o")).where("c <> o.c")
-    return paired.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+    return paired.groupBy(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).agg(F.min("o.id").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"))
 
 
-def _exhausted(left: DataFrame) -> DataFrame:
-    """All pairs in different components that share as many groups of a band as linked sets must.
+def _clusters(left: DataFrame) -> DataFrame:
+    """(hub, id): each set with the weightiest members of its unsettled groups, and each of those with itself.
 
-    A set with n groups shares more than its slack with each partner, so all but slack of them hold
-    one that the partner's have too. Groups stand in one order, so a shared one also bounds
-    how many the two can share: those up to its place in either, and those after it.
+    Two linked sets share more unsettled groups than either's slack. A set may leave out hubs that stand for half
+    its slack at most, so some group that both share puts both with the same hub.
+    """
+    hubs = left.groupBy("sig").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
+    groups = left.join(hubs, "sig").groupBy("id", "tag", "n", "hub").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("id", "tag").orderBy(F.desc("k"), "hub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slack = F.greatest(F.shiftright("tag", 6), F.lit(0))
+    near = groups.withColumn("before", before).where(2 * (F.col("n") - F.col("before")) > slack).select("hub", "id")
+    return near.union(hubs.select("hub", F.col("hub").alias("id"))).distinct()
+
+
+def _near_hubs(compared: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs (hub, id) that may be linked across components, from how each set differs from a common hub.
+
+    Sets of n and m elements that differ from the hub in x and y elements are linked if these differences
+    share at least ((9x - n) + (9y - m)) / 18 elements. Where that is nothing, the set of the
+    hub's least 9x - n is linked with both. Otherwise the rarest of x hold a shared element even
+    without the last of them, as many as must be shared less one; of two sets the one with the smaller 9x - n
+    (low) must share more of its own, so fewer of its elements are looked at. Elements that lie in one
+    component only are the rarest of all; they stand first and meet nobody.
     """
-    rows = left.withColumn("slack", F.greatest(F.shiftright("tag", 6), F.lit(0)))
-    head = rows.where("rank <= n - slack")
-    one = head.select("sig", F.col("id").alias("a"), F.col("tag").alias("s"), "c", "n", F.col("rank").alias("r"), F.col("slack").alias("k"))
-    other = head.select("sig", F.col("id").alias("b"), F.col("tag").alias("t"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("rank").alias("q"), F.col("slack").alias("l"))
-    met = one.join(other, "sig").where("a < b and c <> d and least(r, q) + least(n - r, m - q) > greatest(k, l)").select("a", "s", "b", "t").distinct()
-    sets = rows.groupBy("id", "tag", "slack").agg(F.collect_set("sig").alias("groups"))
-    of_a = met.join(sets.select(F.col("id").alias("a"), F.col("tag").alias("s"), F.col("slack").alias("k"), F.col("groups").alias("x")), ["a", "s"])
-    both = of_a.join(sets.select(F.col("id").alias("b"), F.col("tag").alias("t"), F.col("slack").alias("l"), F.col("groups").alias("y")), ["b", "t"])
-    return both.where("size(array_intersect(x, y)) > greatest(k, l)").select("a", "b").distinct()
+    placed = compared.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).withColumn("d", F.size("x")).withColumn("e", 9 * F.size("x") - F.col("n"))
+    members = placed.select("hub", "id", "c", "e")
+    least = members.groupBy("hub").agg(F.min(F.struct("e", "id", "c")).alias("best"))
+    apart = members.join(least, "hub").where("c <> best.c")
+    sure = apart.where("e + best.e <= 0").select(F.col("best.id").alias("hub"), "id")
+    bounds = least.join(apart.groupBy("hub").agg(F.min("e").alias("second")), "hub")
+    other = F.when(F.col("c") == F.col("best.c"), F.col("second")).otherwise(F.col("best.e"))
+    shared = lambda e: F.greatest(F.lit(1), F.ceil((F.col("e") + e) / 18))
+    sized = placed.join(bounds, "hub").withColumn("low", F.col("d") - shared(F.greatest("e", other)) + 1).withColumn("high", F.col("d") - shared(other) + 1)
+    elements = sized.where("high > 0").select("hub", "id", "key", "c", "n", "d", "e", "low", "high", F.explode("x").alias("h"))
+    common = elements.groupBy("hub", "h").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("hub", "h", "f")
+    met = elements.join(common, ["hub", "h"]).groupBy("hub", "id", "key", "c", "n", "d", "e", "low", "high").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    own = F.col("d") - F.size("s")
+    heads = met.withColumn("own", own).select("hub", "id", "c", "n", "d", "e", "low", "own", F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.least(F.size("s"), F.col("high") - own)).cast("int"))).alias("at", "s"))
+    heads = stored(heads.select("hub", F.col("s.h").alias("h"), "id", "c", "n", "d", "e", "low", (F.col("own") + F.col("at") + 1).alias("r")), "heads")
+    one, two = heads.where("r <= low").alias("i"), heads.alias("j")
+    first = F.struct("i.e", "i.id") < F.struct("j.e", "j.id")
+    most = F.least("i.r", "j.r") + F.least(F.col("i.d") - F.col("i.r"), F.col("j.d") - F.col("j.r"))
+    alike = 5 * F.least("i.n", "j.n") >= 4 * F.greatest("i.n", "j.n")
+    pairs = one.join(two, ["hub", "h"]).where((F.col("i.c") != F.col("j.c")) & first & alike & (18 * most >= F.col("i.e") + F.col("j.e")))
+    found = stored(pairs.select(F.least("i.id", "j.id").alias("hub"), F.greatest("i.id", "j.id").alias("id")).union(sure).distinct(), "pairs")
+    drop(heads)
+    return found
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame, most_bits: int = 25) -> DataFrame:
@@ -369,31 +430,37 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with nothing and has a null component. Other columns are ignored; an empty table
     gives no rows.
     """
-    spark = df.sparkSession
-    n = partitions(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    n = buckets(docs)
     dealt = docs.mapInArrow(lambda b: _signature_rows(b, n, block_bytes), BLOB_SCHEMA)
     rows = stored(dealt.repartitionById(n, F.col("bucket")).mapInArrow(_group_rows, _ROWS), "groups")
     kind = lambda k: rows.where(F.col("kind") == k)
-    equal = kind(EQUAL).select("a", "b")
     met = kind(PAIR).groupBy("a", "b").agg(F.sum(F.shiftright("tag", 16)).alias("groups"), F.min(F.col("tag").bitwiseAND(0xFFFF)).alias("slack"))
-    pairs = stored(met.where("2 * groups > slack").select("a", "b"), "pairs")  # the others are left to the later rounds
+    pairs = stored(met.where("2 * groups > slack").select(F.col("a").alias("hub"), F.col("b").alias("id")), "pairs")  # the others are left to the later rounds
+    links = _against_hubs(pairs, docs, n)
+    component = connected_components(_links(links).unionByName(kind(EQUAL).select("a", "b")))
+    left = _unsettled(kind(MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("id"), "tag"), component)
+    done = [pairs, links]
 
-    def texts_of(p: DataFrame) -> DataFrame:
-        named = p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-        return _with_ids(docs.where("text is not null"), named).repartition(n, "id")
+    def joined(compared: DataFrame) -> DataFrame:
+        found = connected_components(_links(compared).unionByName(component.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+        drop(component)
+        return found
 
-    linked = stored(_verified(pairs, texts_of(pairs)).where("linked").select("a", "b"), "links")
-    edges = linked.unionByName(equal)
-    component = connected_components(edges)
-    left = _unsettled(kind(MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("id"), "tag"), component)
     if not left.isEmpty():
-        more = stored(_starred(left).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.unionByName(stored(_verified(more, texts_of(more)).where("linked").select("a", "b"), "links"))
-        component = connected_components(edges)
-        rest = stored(_exhausted(_unsettled(left.select("sig", "id", "tag"), component)).join(pairs.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+        again = stored(_starred(left), "pairs")
+        links = _against_hubs(again, docs, n)
+        component = joined(links)
+        rest = _unsettled(left.select("sig", "id", "tag"), component)
+        done += [again, links, rest]
         if not rest.isEmpty():
-            edges = edges.unionByName(stored(_verified(rest, texts_of(rest)).where("linked").select("a", "b"), "links"))
-            component = connected_components(edges)
+            clusters = stored(_clusters(rest), "clusters")
+            near = _against_hubs(clusters, docs, n, delta=True)
+            last = _near_hubs(near, component)
+            links = _against_hubs(last, docs, n)
+            component = joined(near.select("hub", "id", "linked").unionByName(links.select("hub", "id", "linked")))
+            done += [clusters, near, last, links]
     all_docs = kind(DOCUMENT).select(F.when(F.col("tag") == 1, F.col("a")).alias("id"), F.col("b").alias("n_shingles"))
-    return all_docs.join(component, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    found = stored(all_docs.join(component, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")), "found")
+    drop(rows, left, component, *done)
+    return found
