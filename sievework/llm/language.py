@@ -1,11 +1,12 @@
 """Operator 7: language identification by a bidirectional gated recurrent network over bytes.
 
-A text is cut at white space into words (and these into segments of at most 32
-bytes). Over each segment one gated recurrent network runs forwards and one backwards;
-at every byte their states give a distribution over languages. A document's
-probabilities are the mean over all its bytes. The network is trained in numpy by
-backpropagation through time on a bounded sample; equal words of a task are run
-once.
+One gated recurrent network runs forwards over a text's bytes and one backwards; at every
+byte their states give a distribution over languages, and a document's probabilities
+are the mean over all its bytes. Both run across words. A long text is read in
+stretches that overlap: each byte is labelled in one stretch, and the bytes around a
+stretch only bring the states up to where it begins. The network is trained in numpy
+by backpropagation through time on stretches drawn from the whole texts of a
+bounded sample of rows.
 """
 
 from __future__ import annotations
@@ -19,29 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 32
+#: Bytes of a stretch that are labelled, and bytes before and after it that are only read.
+STRETCH, AROUND = 448, 32
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the sample and of the fit. docs: per language; chars: per document, from a place that depends on its id."""
-
-    docs: int = 400
-    chars: int = 800
-    hidden: int = 24
-    steps: int = 700
-    batch: int = 512
-    rate: float = 0.01
+    """rows: bound of the sample, in equal shares for all languages; their whole texts are used. length, batch, steps: of the fit."""
+
+    rows: int = 1000
+    length: int = 96
+    hidden: int = 12
+    steps: int = 500
+    batch: int = 96
+    rate: float = 0.015
     seed: int = 7
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
-
-
 class ByteGru:
-    """Parameters by name; suffix f is the forward network, b the backward one."""
+    """Parameters by name; suffix f is the forward network, b the backward one.
+
+    x: what each byte adds to the gates (update, reset) and to the candidate; u: what the state adds; v: from
+    state to languages. Gates are (1 + tanh) / 2.
+    """
 
     def __init__(self, languages: list[str], hidden: int, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -53,130 +55,144 @@ class ByteGru:
         self.p["c"] = np.zeros(len(languages), np.float32)
 
     def _run(self, d: str, data: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """State after each byte of ``data`` (rows, length), with what backpropagation needs."""
-        n, H, x, u = len(data), self.hidden, self.p[f"x{d}"], self.p[f"u{d}"]
-        h = np.zeros((n, H), np.float32)
+        """State after each byte of ``data`` (length, rows), with what backpropagation needs."""
+        H, x, u = self.hidden, self.p[f"x{d}"], self.p[f"u{d}"]
+        h = np.zeros((data.shape[1], H), np.float32)
         out = []
-        for t in range(data.shape[1]) if d == "f" else range(data.shape[1] - 1, -1, -1):
-            a, b = x[data[:, t]], h @ u
-            zr = _sigmoid(a[:, : 2 * H] + b[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
+        for at in data:
+            a, b = x[at], h @ u
+            g = np.tanh(a[:, : 2 * H] + b[:, : 2 * H]) * np.float32(0.5) + np.float32(0.5)
+            z, r = g[:, :H], g[:, H:]
             c = np.tanh(a[:, 2 * H :] + r * b[:, 2 * H :])
             new = c + z * (h - c)
-            out.append((new, h, zr, c, b[:, 2 * H :]))
+            out.append((new, h, z, r, c, b[:, 2 * H :]))
             h = new
-        return out if d == "f" else out[::-1]
+        return out
 
-    def probabilities(self, data: np.ndarray) -> np.ndarray:
-        """(rows, length, languages) for segments of equal length."""
-        f, b = self._run("f", data), self._run("b", data)
-        out = []
-        for t in range(data.shape[1]):
-            s = f[t][0] @ self.p["vf"] + b[t][0] @ self.p["vb"] + self.p["c"]
-            e = np.exp(s - s.max(1, keepdims=True))
-            out.append(e / e.sum(1, keepdims=True))
-        return np.stack(out, 1)
+    def _logits(self, d: str, data: np.ndarray) -> np.ndarray:
+        """(length, rows, languages): what one network adds at every byte."""
+        H, x, u, v = self.hidden, self.p[f"x{d}"], self.p[f"u{d}"], self.p[f"v{d}"]
+        length, n = data.shape
+        h, out = np.zeros((n, H), np.float32), np.empty((length, n, v.shape[1]), np.float32)
+        half = np.float32(0.5)
+        for t in range(length):
+            a, b = x.take(data[t], 0), h @ u
+            g = a[:, : 2 * H]
+            g += b[:, : 2 * H]
+            np.tanh(g, g)
+            g *= half
+            g += half
+            c = b[:, 2 * H :]
+            c *= g[:, H:]
+            c += a[:, 2 * H :]
+            np.tanh(c, c)
+            h -= c
+            h *= g[:, :H]
+            h += c
+            np.matmul(h, v, out[t])
+        return out
+
+    def sums(self, stretches: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """Summed probabilities of each stretch (bytes, first and end of those that are labelled)."""
+        n = len(stretches)
+        lengths = np.array([len(s) for s, _, _ in stretches])
+        longest = int(lengths.max())
+        data = np.zeros((n, longest), np.uint8)
+        held = np.arange(longest)[None, :] < lengths[:, None]
+        data[held] = np.frombuffer(b"".join(s for s, _, _ in stretches), np.uint8)
+        place = np.where(held, lengths[:, None] - 1 - np.arange(longest)[None, :], 0)
+        turned = np.take_along_axis(data, place, 1)
+        s = self._logits("f", np.ascontiguousarray(data.T))
+        s += self._logits("b", np.ascontiguousarray(turned.T))[place.T, np.arange(n)[None, :]]
+        s += self.p["c"]
+        s -= s.max(2, keepdims=True)
+        np.exp(s, s)
+        s /= s.sum(2, keepdims=True)
+        first, end = (np.array([x[i] for x in stretches]) for i in (1, 2))
+        t = np.arange(longest)[:, None]
+        return np.einsum("tnl,tn->nl", s, ((t >= first) & (t < end)).astype(np.float32))
 
     def gradient(self, data: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions and its gradient, through time in both directions."""
+        """Mean cross-entropy over all positions of ``data`` (rows, length) and its gradient, through time in both directions."""
         n, length = data.shape
-        runs = {d: self._run(d, data) for d in "fb"}
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        loss, back = 0.0, {"f": [None] * length, "b": [None] * length}
-        rows = np.arange(n)
-        for t in range(length):
-            s = runs["f"][t][0] @ self.p["vf"] + runs["b"][t][0] @ self.p["vb"] + self.p["c"]
-            e = np.exp(s - s.max(1, keepdims=True))
-            q = e / e.sum(1, keepdims=True)
-            loss -= float(np.log(q[rows, target] + 1e-9).mean()) / length
-            q[rows, target] -= 1
-            q /= n * length
-            g["c"] += q.sum(0)
-            for d in "fb":
-                g[f"v{d}"] += runs[d][t][0].T @ q
-                back[d][t] = q @ self.p[f"v{d}"].T
         H = self.hidden
+        ways = {"f": data.T, "b": data.T[::-1]}
+        runs = {d: self._run(d, way) for d, way in ways.items()}
+        states = {d: np.stack([x[0] for x in run])[:: 1 if d == "f" else -1] for d, run in runs.items()}  # by position
+        s = states["f"] @ self.p["vf"] + states["b"] @ self.p["vb"] + self.p["c"]
+        e = np.exp(s - s.max(2, keepdims=True))
+        q = e / e.sum(2, keepdims=True)
+        rows = np.arange(n)
+        loss = -float(np.log(q[:, rows, target] + 1e-9).mean())
+        q[:, rows, target] -= 1
+        q /= n * length
+        g = {"c": q.sum((0, 1))}
         for d in "fb":
+            g[f"v{d}"] = np.tensordot(states[d], q, ((0, 1), (0, 1)))
+            back = (q @ self.p[f"v{d}"].T)[:: 1 if d == "f" else -1]
             u, dh = self.p[f"u{d}"], np.zeros((n, H), np.float32)
-            for t in range(length - 1, -1, -1) if d == "f" else range(length):
-                _, h, zr, c, uc = runs[d][t]
-                z, r = zr[:, :H], zr[:, H:]
-                dh = dh + back[d][t]
+            da_all, db_all, h_all = (np.empty((length, n, k), np.float32) for k in (3 * H, 3 * H, H))
+            for t in range(length - 1, -1, -1):
+                _, h, z, r, c, uc = runs[d][t]
+                dh = dh + back[t]
                 dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h - c) * z * (1 - z)
-                dr = dc * uc * r * (1 - r)
+                dz = dh * (h - c) * z * (1 - z) * 2
+                dr = dc * uc * r * (1 - r) * 2
                 da = np.concatenate([dz, dr, dc], 1)
                 db = np.concatenate([dz, dr, dc * r], 1)
-                np.add.at(g[f"x{d}"], data[:, t], da)
-                g[f"u{d}"] += h.T @ db
+                da_all[t], db_all[t], h_all[t] = da, db, h
                 dh = dh * z + db @ u.T
+            g[f"u{d}"] = np.tensordot(h_all, db_all, ((0, 1), (0, 1)))
+            at, flat = ways[d].reshape(-1), da_all.reshape(-1, 3 * H)
+            g[f"x{d}"] = np.stack([np.bincount(at, flat[:, j], 256) for j in range(3 * H)], 1).astype(np.float32)
         return loss, g
 
 
-def fit(words: list[bytes], target: np.ndarray, languages: list[str], t: Training) -> ByteGru:
-    """Train on segments (their languages in ``target``) with batches of equal length."""
+def fit(texts: list[bytes], target: np.ndarray, languages: list[str], t: Training) -> ByteGru:
+    """Train on texts (their languages in ``target``): a step draws languages evenly, then bytes of theirs with equal chances.
+
+    Texts of one language follow each other where a stretch crosses an end, as do the beginnings where it is shorter than ``t.length``.
+    """
     net, rng = ByteGru(languages, t.hidden, t.seed), np.random.default_rng(t.seed)
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    lengths = sorted(by_length)
-    share = np.array([len(by_length[x]) for x in lengths], float)
-    arrays = {x: (np.frombuffer(b"".join(words[i] for i in by_length[x]), np.uint8).reshape(-1, x), target[by_length[x]]) for x in lengths}
+    joined = []
+    for k in range(len(languages)):
+        data = np.frombuffer(b"\n".join(x for x, y in zip(texts, target.tolist()) if y == k), np.uint8)
+        joined.append(np.resize(data, max(len(data), t.length)) if len(data) else None)
+    known = np.array([k for k, x in enumerate(joined) if x is not None])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, t.steps + 1):
-        data, y = arrays[lengths[rng.choice(len(lengths), p=share / share.sum())]]
-        pick = rng.integers(0, len(data), t.batch)
-        _, g = net.gradient(data[pick], y[pick])
+        y = known[rng.integers(0, len(known), t.batch)]
+        at = [int(rng.integers(0, len(joined[k]) - t.length + 1)) for k in y]
+        _, g = net.gradient(np.stack([joined[k][a : a + t.length] for k, a in zip(y, at)]), y)
         rate = t.rate * min(1.0, 2 * (1 - step / (t.steps + 1)))
+        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         for k, x in net.p.items():
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
+            d = g[k] * min(1.0, 1.0 / max(norm, 1e-9))
+            m[k] = 0.9 * m[k] + 0.1 * d
+            v[k] = 0.99 * v[k] + 0.01 * d**2
             x -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return net
 
 
-def segments(word: bytes) -> list[bytes]:
-    return [word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT)]
-
-
-class Reader:
-    """Summed position probabilities of words, remembered within a bound."""
-
-    def __init__(self, net: ByteGru, remembered: int = 400_000):
-        self.net, self.remembered = net, remembered
-        self.row: dict[bytes, int] = {}
-        self.sums = np.zeros((0, len(net.languages)), np.float32)
-
-    def _learn(self, new: set[bytes]) -> None:
-        cut = [(i, s) for i, w in enumerate(new) for s in segments(w)]
-        sums = np.zeros((len(new), len(self.net.languages)), np.float32)
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for i, s in cut:
-            by_length.setdefault(len(s), []).append((i, s))
-        for length, some in by_length.items():
-            for a in range(0, len(some), 2048):
-                part = some[a : a + 2048]
-                data = np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(-1, length)
-                np.add.at(sums, [i for i, _ in part], self.net.probabilities(data).sum(1))
-        self.row.update(zip(new, range(len(self.sums), len(self.sums) + len(new))))
-        self.sums = np.concatenate([self.sums, sums])
-
-    def means(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Mean probabilities over the bytes of each text's words (zeros without words)."""
-        cut = [t.split() for t in texts]
-        wanted = set().union(*cut)
-        new = wanted.difference(self.row)
-        if len(self.row) + len(new) > self.remembered:
-            self.row, self.sums, new = {}, self.sums[:0], wanted
-        if new:
-            self._learn(new)
-        get = self.row.__getitem__
-        out = []
-        for words in cut:
-            total = self.sums[list(map(get, words))].sum(0, dtype=np.float64)
-            out.append(total / max(1, sum(map(len, words))))
-        return out
+def stretches(data: bytes) -> list[tuple[bytes, int, int]]:
+    """Overlapping stretches of a text, each with the first and the end of the bytes that are labelled in it."""
+    out = []
+    for a in range(0, len(data), STRETCH):
+        first, end = max(0, a - AROUND), min(len(data), a + STRETCH)
+        out.append((data[first : end + AROUND], a - first, end - first))
+    return out
+
+
+def means(net: ByteGru, texts: list[bytes], rows: int = 768) -> np.ndarray:
+    """Mean probabilities over the bytes of each text (zeros where it has none)."""
+    total = np.zeros((len(texts), len(net.languages)))
+    parts = [(i, s) for i, x in enumerate(texts) for s in stretches(x)]
+    parts.sort(key=lambda p: len(p[1][0]))
+    for a in range(0, len(parts), rows):
+        some = parts[a : a + rows]
+        np.add.at(total, [i for i, _ in some], net.sums([s for _, s in some]))
+    return total / np.maximum([[len(x)] for x in texts], 1)
 
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -187,29 +203,26 @@ def has_letter(text: str) -> bool:
 
 
 def learn(df: DataFrame, t: Training = Training(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru | None:
-    """Fit on a sample of about ``t.docs`` documents per language with non-null id, text and language; None without any."""
+    """Fit on a sample of about ``t.rows`` documents with non-null id, text and language; None without any.
+
+    The sample, drawn by a hash of the id, has about as many documents of each language; the driver holds their whole texts.
+    """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n = counts.count()
+    if not n:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, t.docs / n))])
     draw = F.pmod(F.xxhash64("id", F.lit(t.seed)), F.lit(1_000_000)) / 1_000_000
-    start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - t.chars)).cast("int") + 1
-    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("id", "lang", F.substring("text", start, F.lit(t.chars)).alias("part")).collect()
-    languages = sorted(counts)
-    number = {x: i for i, x in enumerate(languages)}
-    words, target = [], []
-    for r in sorted(sample, key=lambda r: (r.lang, r.id, r.part)):
-        for w in r.part.encode().split():
-            for s in segments(w):
-                words.append(s)
-                target.append(number[r.lang])
-    if not words:
+    sample = rows.join(counts, "lang").where(draw * F.col("n") * n < t.rows).select("id", "lang", "text").collect()
+    sample = sorted((r for r in sample if r.text), key=lambda r: (r.lang, str(r.id), r.text))
+    languages = sorted({r.lang for r in sample})
+    if not languages:
         return None
-    return fit(words, np.array(target), languages, t)
+    number = {x: i for i, x in enumerate(languages)}
+    return fit([r.text.encode() for r in sample], np.array([number[r.lang] for r in sample]), languages, t)
 
 
-def identify(df: DataFrame, net: ByteGru | None, keep: list[str], text_col: str = "text", batch_chars: int = 4 << 20) -> DataFrame:
+def identify(df: DataFrame, net: ByteGru | None, keep: list[str], text_col: str = "text", batch_chars: int = 2 << 20) -> DataFrame:
     """``keep`` columns with lang_pred and score, the mean probability of that language over all bytes.
 
     Null texts, and those without a letter, give ``und`` and 0; so does everything without a network.
@@ -221,7 +234,7 @@ def identify(df: DataFrame, net: ByteGru | None, keep: list[str], text_col: str
     schema = df.select(*names).schema.add("lang_pred", "string").add("score", "double")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value) if sent.value else None
+        net = sent.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             found: list[tuple[str, float]] = []
@@ -232,13 +245,13 @@ def identify(df: DataFrame, net: ByteGru | None, keep: list[str], text_col: str
                     part.append(texts[first].as_py())
                     size += len(part[-1])
                     first += 1
-                means = reader.means([x.encode() for x in part]) if reader else [None] * len(part)
-                for text, mean in zip(part, means):
+                mean = means(net, [x.encode() for x in part]) if net else None
+                for i, text in enumerate(part):
                     if mean is None or not has_letter(text):
                         found.append((UNDETERMINED, 0.0))
                     else:
-                        best = int(np.argmax(mean))
-                        found.append((reader.net.languages[best], float(min(1.0, mean[best]))))
+                        best = int(np.argmax(mean[i]))
+                        found.append((net.languages[best], float(min(1.0, mean[i, best]))))
             columns = list(zip(*found)) or [(), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
