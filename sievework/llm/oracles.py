@@ -48,22 +48,23 @@ GROUP BY d.doc_id, d.n_lines
 """
 
 _TWO = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
-_KNOWN = "('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk')"
+_COUNTRY = "length(list_extract(string_split(host, '.'), -1)) = 2 AND list_extract(string_split(host, '.'), -2) IN ('ac', 'co', 'com', 'edu', 'gob', 'gov', 'mil', 'ne', 'net', 'or', 'org')"
 
 
 def _strength(groups: str) -> str:
-    """The prior's strength from the spread of bad rates between groups, within 1 and 1000."""
+    """The prior's strength from the spread of bad rates between groups, within 1 and 100."""
     rho = "(s / (rate * (1 - rate)) - (c - 1)) / (n - nn / n - (c - 1))"
-    return f"""(SELECT CASE WHEN c IS NULL OR c < 2 OR NOT (rate > 0 AND rate < 1) OR n - nn / n - (c - 1) <= 0 OR {rho} <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, 1 / ({rho}) - 1)) END
+    return f"""(SELECT CASE WHEN c IS NULL OR c < 2 OR NOT (rate > 0 AND rate < 1) OR n - nn / n - (c - 1) <= 0 OR {rho} <= 0 THEN 100.0 ELSE least(100.0, greatest(1.0, 1 / ({rho}) - 1)) END
     FROM (SELECT CAST(count(*) AS DOUBLE) AS c, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n * n) AS DOUBLE) AS nn, sum(pow(k - rate * n, 2) / n) AS s, any_value(rate) AS rate FROM {groups}, whole WHERE n > 0))"""
 
 
 URLS = rf"""
 WITH page AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-bad AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT *, CASE WHEN {_TWO} IN {_KNOWN} THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {_TWO} END AS domain,
-                 CASE WHEN {_TWO} IN {_KNOWN} THEN {_TWO} ELSE list_extract(string_split(host, '.'), -1) END AS suffix
+bad AS (SELECT page_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad
+        FROM (SELECT page_id, try_cast(nullif(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})', 1), '') AS BIGINT) AS doc_id FROM page) JOIN labels USING (doc_id) WHERE page_id IS NOT NULL GROUP BY page_id),
+hosts AS (SELECT *, CASE WHEN {_COUNTRY} THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {_TWO} END AS domain,
+                 CASE WHEN {_COUNTRY} THEN {_TWO} ELSE list_extract(string_split(host, '.'), -1) END AS suffix
           FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM page LEFT JOIN bad USING (page_id) WHERE host <> '' GROUP BY host)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 tops AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
@@ -72,7 +73,7 @@ m AS (SELECT rate, {_strength("tops")} AS m1, {_strength("domains")} AS m2, {_st
 top2 AS (SELECT suffix, (m1 * rate + k) / (m1 + n) AS prior FROM tops, m),
 domain2 AS (SELECT domain, (m2 * prior + k) / (m2 + n) AS prior FROM domains JOIN top2 USING (suffix), m),
 beta AS (SELECT host, m3 * prior + k AS a, m3 * (1 - prior) + n - k AS b FROM hosts JOIN domain2 USING (domain), m),
-blocked AS (SELECT host FROM beta WHERE a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5),
+blocked AS (SELECT host FROM beta WHERE a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > (SELECT rate FROM whole)),
 rule(verdict, rule, of_host, of_path) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
 fits AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
          FROM page JOIN rule ON (host = of_host OR suffix(host, '.' || of_host)) AND starts_with(path, of_path) GROUP BY page_id)

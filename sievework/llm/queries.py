@@ -18,7 +18,7 @@ from .packing import Limits, pack_examples
 from .rules import quality_rules
 from .substrings import substring_dedup
 from .tokens import token_counts
-from .urls import Rule, filter_urls
+from .urls import Rule, filter_urls, path
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,10 +60,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
+    """Pages show documents; the number in a page's path is the document's id, so the document's labels are the page's outcome."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    shown = F.try_to_number(F.regexp_extract(path(F.col("url")), "^/[^/]*/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
+    outcomes = pages.select("page_id", shown.alias("doc_id")).join(labels.select("doc_id", bad.cast("int").alias("bad")), "doc_id").select("page_id", "bad")
+    return filter_urls(pages, outcomes, URL_RULES)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

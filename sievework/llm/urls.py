@@ -4,7 +4,8 @@ Built-in functions only. Labelled pages give each host a count of outcomes and a
 count of bad ones. A host's bad rate is shrunk towards that of its registered
 domain, the domain's towards its suffix, the suffix's towards the whole; how far,
 each level's spread decides (a beta-binomial moment estimate). A host is blocked
-when the lower posterior bound of its bad rate exceeds a threshold.
+when the lower posterior bound of its bad rate exceeds a multiple of the bad rate of all
+outcomes, so that it is surely worse than the average host.
 """
 
 from __future__ import annotations
@@ -12,15 +13,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Suffixes of two labels under which domains are registered (a parameter; extend as needed).
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+#: Labels under which country domains are registered, where no suffix table is given: co.uk, com.mx, ac.in.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "mil", "ne", "net", "or", "org")
 
 
 @dataclass(frozen=True)
@@ -32,12 +33,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """z: normal quantile of the posterior bound. threshold: bad rate above which a host is blocked. prior: strength bounds."""
+    """z: normal quantile of the posterior bound. lift: a host is blocked when the bound exceeds so many times the bad
+    rate of all outcomes. least_strength, most_strength: how many outcomes the prior may count for.
+    """
 
     z: float = 1.645
-    threshold: float = 0.5
+    lift: float = 1.0
     least_strength: float = 1.0
-    most_strength: float = 1000.0
+    most_strength: float = 100.0
 
 
 def host(url: Column) -> Column:
@@ -48,15 +51,31 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(name: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two) if suffixes else two
+def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of a public suffix file: one a line, ``*.`` for any label, ``!`` for an exception, ``//`` before comments.
+
+    Columns: key (what a host must end with), labels (how many labels the suffix then has), exception.
+    """
+    rule = F.lower(F.trim(F.element_at(F.split("value", r"\s"), 1)))
+    rules = spark.read.text(path).where(F.trim("value") != "").where("not startswith(trim(value), '//')").select(rule.alias("rule"))
+    n = F.size(F.split("rule", r"\."))
+    wild, exception = F.startswith("rule", F.lit("*.")), F.startswith("rule", F.lit("!"))
+    return rules.select(F.regexp_replace("rule", r"^(\*\.|!)", "").alias("key"), F.when(exception, n - 1).otherwise(n).alias("labels"), exception.alias("exception")).distinct()
 
 
-def public_suffix(name: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(name, ".", -2)
-    one = F.substring_index(name, ".", -1)
-    return F.when(two.isin(*suffixes), two).otherwise(one) if suffixes else one
+def with_suffix(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """``hosts`` (one row per host) with domain and suffix: the longest rule of ``suffixes`` that fits, an exception before others, else the last label.
+
+    A host that is itself a suffix is its own domain. Without a table, country domains have two labels where the second is one of SECOND_LEVEL.
+    """
+    if suffixes is None:
+        tld, second = F.substring_index("host", ".", -1), F.element_at(F.split(F.substring_index("host", ".", -2), r"\."), 1)
+        cut = hosts.withColumn("labels", F.when((F.length(tld) == 2) & second.isin(*SECOND_LEVEL), 2).otherwise(1))
+    else:
+        tails = hosts.select("host", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("i")).select("host", "i", F.expr("substring_index(host, '.', -i)").alias("key"))
+        fit = tails.join(suffixes, "key").where("labels <= i or not exception").groupBy("host").agg(F.max(F.struct("exception", "labels")).alias("best"))
+        cut = hosts.join(fit, "host", "left").withColumn("labels", F.coalesce("best.labels", F.lit(1))).drop("best")
+    return cut.withColumn("suffix", F.expr("substring_index(host, '.', -labels)")).withColumn("domain", F.expr("substring_index(host, '.', -labels - 1)")).drop("labels")
 
 
 def matched_rule(host_: Column, path_: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -88,13 +107,13 @@ def _strength(groups: DataFrame, rate: float, p: Reputation) -> float:
     return min(p.most_strength, max(p.least_strength, 1 / rho - 1)) if rho > 0 else p.most_strength
 
 
-def host_reputation(counts: DataFrame, p: Reputation = Reputation(), suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def host_reputation(counts: DataFrame, p: Reputation = Reputation(), suffixes: DataFrame | None = None) -> DataFrame:
     """Posterior of each host's bad rate from ``counts`` (host, n outcomes, k bad ones; one row per host).
 
     Columns: host, n, k, mean, bound, blocked. A host without outcomes takes its
     domain's rate; without any outcomes at all nothing is blocked.
     """
-    hosts = counts.select("host", "n", "k", registered_domain(F.col("host"), suffixes).alias("domain"), public_suffix(F.col("host"), suffixes).alias("suffix"))
+    hosts = stored(with_suffix(counts.select("host", "n", "k"), suffixes), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = tops.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -106,10 +125,10 @@ def host_reputation(counts: DataFrame, p: Reputation = Reputation(), suffixes: S
     a, b = m_host * F.col("prior") + F.col("k"), m_host * (1 - F.col("prior")) + F.col("n") - F.col("k")
     mean = a / (a + b)
     bound = mean - p.z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(domains, "domain").select("host", "n", "k", mean.alias("mean"), bound.alias("bound"), F.coalesce(bound > p.threshold, F.lit(False)).alias("blocked"))
+    return hosts.join(domains, "domain").select("host", "n", "k", mean.alias("mean"), bound.alias("bound"), F.coalesce(bound > p.lift * rate, F.lit(False)).alias("blocked"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], p: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], p: Reputation = Reputation(), suffixes: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge every row of ``pages``: id, host, path, rule, verdict.
 
     ``outcomes`` has ``id_col`` and ``bad`` (0 or 1; several rows of an id count as
@@ -121,7 +140,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], p:
     named = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     outcomes = outcomes.where(F.col("bad").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("bad").alias("bad"))
     counts = named.where("host <> ''").join(outcomes, id_col, "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    blocked = host_reputation(stored(counts, "hosts"), p).where("blocked").select("host", F.lit("block").alias("learned"))
+    blocked = host_reputation(counts, p, suffixes).where("blocked").select("host", F.lit("block").alias("learned"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     return named.join(blocked, "host", "left").select(
         id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("learned"), F.lit("allow")).alias("verdict")
