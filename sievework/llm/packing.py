@@ -37,12 +37,12 @@ class Limits:
 class WordIds:
     """Token ids of texts under a vocabulary that drops white space, as little-endian uint32 bytes.
 
-    White space separates tokens there, so words are encoded once and remembered
-    (within a bound). Words of lower-case letters skip the normaliser, which leaves
+    White space separates tokens there, so words are encoded once and short ones remembered,
+    within ``remembered_bytes``; longer ones only for a batch. Words of lower-case letters skip the normaliser, which leaves
     them as they are; everything else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ class WordIds:
         vocabulary = self.full.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if self.suffix and t.endswith(self.suffix)]] = True
-        self.remembered = remembered
+        self.remembered_bytes, self.bytes = remembered_bytes, 0
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -77,9 +77,6 @@ class WordIds:
             at = cut
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > self.remembered:
-            self.words.clear()
-            self.cores.clear()
         plain, odd = [], []
         for word in new:
             if word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word)):
@@ -106,12 +103,26 @@ class WordIds:
         new = wanted.difference(self.words)
         if new:
             self._learn(new)
-            if lost := wanted.difference(self.words):  # the memory was cleared on the way
-                self._learn(lost)
         get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
+        out = [b"".join(map(get, p)) for p in cut]
+        self._forget(new)
+        return out
+
+    def _forget(self, new: set[str]) -> None:
+        self.bytes += sum(8 * len(w) + 400 for w in new)  # a word, its core and their ids
+        if self.bytes > self.remembered_bytes:
+            self.words.clear()
+            self.cores.clear()
+            self.bytes = 0
+        elif long := [w for w in new if len(w) > LONG]:
+            for w in long:
+                del self.words[w]
+            self.cores = {c: x for c, x in self.cores.items() if len(c) <= LONG}
+            self.bytes -= sum(8 * len(w) + 400 for w in long)
 
 
+#: Words of more characters are not remembered.
+LONG = 64
 _IDS: dict[str, WordIds] = {}
 
 

@@ -44,11 +44,12 @@ class Fit:
 
 
 class Features:
-    """Hashed features of texts; word hashes are remembered within a bound."""
+    """Hashed features of texts; hashes of short words are remembered, within ``remembered_bytes``."""
 
-    def __init__(self, bits: int, remembered: int = 500_000):
-        self.mask, self.remembered = (1 << bits) - 1, remembered
+    def __init__(self, bits: int, remembered_bytes: int = 64 << 20, longest: int = 64):
+        self.mask, self.remembered_bytes, self.longest = (1 << bits) - 1, remembered_bytes, longest
         self.known: dict[bytes, int] = {}
+        self.bytes = 0
 
     def _hash(self, x: bytes) -> int:
         return xxhash.xxh3_64_intdigest(x) & self.mask
@@ -62,10 +63,15 @@ class Features:
         counts = Counter(words)
         distinct = {*counts, *(w + b" 2" for w, k in counts.items() if k > 1), *(w[:5] + b"~" for w in counts if len(w) > 5)}
         if new := distinct.difference(self.known):
-            if len(self.known) + len(new) > self.remembered:
-                self.known.clear()
-                new = distinct
             self.known.update((w, self._hash(w)) for w in new)
+            self.bytes += sum(map(len, new)) + 160 * len(new)
+        hashed = [*map(self.known.__getitem__, distinct)]
+        if new:
+            for w in [w for w in new if len(w) > self.longest]:
+                del self.known[w]
+            if self.bytes > self.remembered_bytes:
+                self.known.clear()
+                self.bytes = 0
         size, n = max(1, len(data)), len(words)
         share = lambda chars: (size - len(data.translate(None, chars))) / size
         shares = {
@@ -74,7 +80,7 @@ class Features:
             "breaks": data.count(b"\n") / n,
         }
         binned = [self._hash(f"{k} {int(round(min(1.0, v) ** 0.5 * 12))}".encode()) for k, v in shares.items()]
-        return np.unique(np.array([*map(self.known.__getitem__, distinct), *binned], np.int64))
+        return np.unique(np.array([*hashed, *binned], np.int64))
 
 
 @dataclass

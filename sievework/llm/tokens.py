@@ -3,7 +3,8 @@
 A text is cut at boundaries that no token of a byte-level vocabulary with the
 usual splitting pattern can cross: between a character that is no white space and
 a white-space character. Each piece is encoded once per worker and batch of
-pieces (batches are balanced by bytes); only lengths are kept.
+pieces (batches are balanced by bytes); only lengths are kept. Long pieces, from texts without
+white space, are cut again where the library's splitting has a boundary.
 """
 
 from __future__ import annotations
@@ -21,29 +22,63 @@ _SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
+#: Words of more characters are not remembered.
+LONG = 64
+
+
 def pieces(text: str) -> list[str]:
     """Cut ``text`` before each white-space run that follows another character."""
     return _PIECE.findall(text)
 
 
 class PieceCounter:
-    """Counts tokens; the lengths of pieces seen before are remembered, within a bound."""
+    """Counts tokens. The lengths of short pieces are remembered, within ``remembered_bytes``; longer ones only for a batch.
+
+    A piece of more than ``longest`` characters (text without white space) is cut where the library's own
+    splitting ends a part (special strings are parts of their own), but not at the last few parts of what was shown to it, which
+    more text could change. A part that is longer itself is encoded whole.
+    """
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 20, remembered: int = 400_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 20, remembered_bytes: int = 64 << 20, longest: int = 1 << 14):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.batch_bytes, self.remembered = batch_bytes, remembered
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = [t.content for t in special if t.lstrip or t.rstrip or t.single_word]  # what stands around these matters
+        self.special = re.compile("|".join(sorted((re.escape(t.content) for t in special), key=len, reverse=True)) or r"(?!)")
+        self.batch_bytes, self.remembered_bytes, self.longest = batch_bytes, remembered_bytes, longest
         self.known: dict[str, int] = {}
+        self.bytes = 0
+
+    def _split(self, piece: str) -> list[str]:
+        if len(piece) <= self.longest or any(x in piece for x in self.whole):
+            return [piece]
+        out, last = [], 0
+        for m in self.special.finditer(piece):
+            out += [*self._split_plain(piece[last : m.start()]), m[0]]
+            last = m.end()
+        return out + self._split_plain(piece[last:])
+
+    def _split_plain(self, piece: str) -> list[str]:
+        """Parts of a text without special strings."""
+        out, begin, size = [], 0, self.longest
+        while len(piece) - begin > size:
+            parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(piece[begin : begin + size])
+            cut = parts[-4][1][0] if len(parts) > 4 else 0
+            if cut:
+                out.append(piece[begin : begin + cut])
+                begin, size = begin + cut, self.longest
+            else:
+                size *= 2
+        return [*out, piece[begin:]] if begin < len(piece) else out
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
         batch, size = [], 0
         for piece in new:
             batch.append(piece)
-            size += len(piece)
+            size += len(piece.encode())
+            self.bytes += 4 * len(piece) + 160
             if size >= self.batch_bytes:
                 self._encode(batch)
                 batch, size = [], 0
@@ -56,14 +91,18 @@ class PieceCounter:
 
     def counts(self, texts: list[str]) -> list[int]:
         cut = [pieces(t) for t in texts]
-        wanted = set().union(*cut)
-        new = wanted.difference(self.known)
-        if new:
-            self._learn(new)
-            if len(self.known) < len(wanted):  # the memory was cleared on the way
-                self._learn(wanted.difference(self.known))
+        cut = [[y for x in p for y in self._split(x)] if max(map(len, p), default=0) > self.longest else p for p in cut]
+        new = set().union(*cut).difference(self.known)
+        self._learn(new)
         get = self.known.__getitem__
-        return [sum(map(get, p)) for p in cut]
+        out = [sum(map(get, p)) for p in cut]
+        for piece in new:
+            if len(piece) > LONG:
+                del self.known[piece]
+        if self.bytes > self.remembered_bytes:
+            self.known.clear()
+            self.bytes = 0
+        return out
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
@@ -75,19 +114,19 @@ def _counter(path: str) -> PieceCounter:
     return _COUNTERS[path]
 
 
-def balanced(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` with about ``most`` characters each."""
+def balanced(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of these sizes in bytes, with about ``most`` bytes each."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= most:
             yield first, i + 1
             first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 512, batch_chars: int = 4 << 20) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 512, batch_bytes: int = 4 << 20) -> DataFrame:
     """Append ``n_bytes``, ``n_tokens`` and ``over_limit`` to the columns of ``df`` but the text.
 
     Every row gives one row. A null text counts as empty (0 bytes, 0 tokens);
@@ -104,10 +143,10 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", lim
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             texts = column.to_pylist()
-            n = []
-            for a, b in balanced(texts, batch_chars):
+            n, sizes = [], [len(t.encode()) for t in texts]
+            for a, b in balanced(sizes, batch_bytes):
                 n.extend(counter.counts(texts[a:b]))
-            n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())
+            n_bytes = pa.array(sizes, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[*batch.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"],

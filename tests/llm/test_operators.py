@@ -52,7 +52,7 @@ def test_decontaminate(spark, rows):
     got = decontaminate.decontaminate(frame(spark, rows), bench)
     same(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256").collect(), want)
     assert any(w[2] for w in want)
-    blocks = decontaminate.decontaminate(frame(spark, rows), bench, block_terms=7)
+    blocks = decontaminate.decontaminate(frame(spark, rows), bench, block_bytes=300)
     same(blocks.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256").collect(), want)
     none = decontaminate.decontaminate(frame(spark, rows), bench.limit(0))
     assert {r.n_hit for r in none.collect()} == {0}
@@ -167,6 +167,39 @@ def odd_strings(n: int) -> list[str]:
     return ["".join(rng.choice(parts) for _ in range(60)) for _ in range(n)]
 
 
+def test_texts_without_spaces_and_many_long_words():
+    """Long pieces are cut where the library agrees, and long words do not pile up."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    parts = ["abc", "'ll", "'s", "123", "!!", "日本", "é", "<|endoftext|>", "'", "l", "don't", "x1", "#", "ß", "“"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(100, 1500))) for _ in range(100)]
+    path = tokenizer_path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    for longest in (40, 200, 1 << 14):
+        assert tokens.PieceCounter(path, longest=longest).counts(texts) == want
+    big = "".join(rng.choice(parts) for _ in range(1_700_000))
+    assert len(big.encode()) > 5_000_000
+    counter = tokens.PieceCounter(path)
+    assert counter.counts([big]) == [len(whole.encode(big, add_special_tokens=False).ids)]
+    words = ["%030x%040x" % (rng.getrandbits(120), rng.getrandbits(160)) for _ in range(100_000)]
+    counter.counts([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
+    assert not counter.known or max(map(len, counter.known)) <= tokens.LONG
+    encoder = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    for i in range(0, len(words), 10_000):
+        text = " ".join(words[i : i + 10_000])
+        (ids,) = encoder.encode([text])
+    assert len(ids) // 4 == len(Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids)
+    assert not encoder.words and not encoder.cores
+    small = packing.WordIds(tokenizer_path("word_bpe_49k.json"), remembered_bytes=100_000)
+    assert small.encode([" ".join(f"w{i}" for i in range(5000)), "w1 w2"])[1] == small.encode(["w1 w2"])[0] and not small.words.keys() - {"w1", "w2"}
+    features = quality.Features(18, remembered_bytes=100_000)
+    for i in range(0, 20_000, 100):
+        features.of(" ".join(words[i : i + 100]) + " short")
+    assert len(features.known) < 2000 and all(len(w) <= 64 for w in features.known)
+
+
 def test_pieces_and_words_tokenize_like_whole_texts():
     from tokenizers import Tokenizer
 
@@ -255,11 +288,67 @@ def test_host_reputation_shrinks(spark):
     data = [("bad.x.org", 200, 190), ("good.x.org", 200, 5), ("new.x.org", 0, 0), ("few.y.org", 2, 2), ("a.y.org", 300, 10), ("b.z.com", 500, 20), ("c.co.uk", 1, 0)]
     r = {x.host: x for x in urls.host_reputation(spark.createDataFrame(data, "host string, n long, k long")).collect()}
     assert len(r) == len(data)
-    assert r["bad.x.org"].blocked and not any(x.blocked for h, x in r.items() if h != "bad.x.org")
+    assert r["bad.x.org"].blocked and not any(r[h].blocked for h in ("good.x.org", "a.y.org", "b.z.com", "c.co.uk"))
     assert r["few.y.org"].mean < 0.9 and r["good.x.org"].mean < r["new.x.org"].mean < r["bad.x.org"].mean
     assert urls.host_reputation(spark.createDataFrame([], "host string, n long, k long")).count() == 0
 
 
+def test_host_bounds_are_those_of_sampled_posteriors(spark):
+    """Hosts drawn around domains: the bound is met by a sampled beta posterior, and blocked hosts are truly worse than the average."""
+    rng = np.random.default_rng(3)
+    data, truth = [], {}
+    for d in range(12):
+        centre = rng.beta(2, 8)
+        for h in range(8):
+            name, n = f"h{h}.d{d}.org", int(rng.integers(0, 120))
+            truth[name] = rng.beta(1 + 20 * centre, 1 + 20 * (1 - centre))
+            data.append((name, n, int(rng.binomial(n, truth[name]))))
+    got = urls.host_reputation(spark.createDataFrame(data, "host string, n long, k long")).collect()
+    base = sum(k for *_, k in data) / sum(n for _, n, _ in data)
+    m = {x.host: x for x in got}
+    for name, n, k in data:
+        x = m[name]
+        strength = (x.mean * n - k) / (prior - x.mean) if abs((prior := m_prior(m, data, name)) - x.mean) > 1e-6 else None
+        if strength:  # the prior's strength, seen from outside: sample the posterior it gives
+            sample = rng.beta(strength * prior + k, strength * (1 - prior) + n - k, 40_000)
+            assert abs(np.quantile(sample, 0.05) - x.bound) < 0.03, name
+        assert x.blocked == (x.bound > base)
+    blocked = [h for h, x in m.items() if x.blocked]
+    assert 5 <= len(blocked) <= 60 and sum(truth[h] > base for h in blocked) >= 0.9 * len(blocked)
+
+
+def m_prior(found, data, name):
+    """The prior mean of a host: that of a host of its domain without outcomes, solved from two hosts of the domain."""
+    domain = name.split(".", 1)[1]
+    own = [(n, k, found[h].mean) for h, n, k in data if h.endswith(domain)]
+    rows = np.array([[1.0, -mean] for n, _, mean in own])  # strength * prior - mean * strength = mean * n - k
+    right = np.array([mean * n - k for n, k, mean in own])
+    both = np.linalg.lstsq(rows, right, rcond=None)[0]
+    return both[0] / both[1]
+
+
+def test_suffixes(spark, tmp_path):
+    (tmp_path / "suffixes.txt").write_text("// comment\n\ncom\nuk\nco.uk\n*.ck\n!www.ck\nblogs.com  trailing\n")
+    table = urls.read_suffixes(spark, str(tmp_path / "suffixes.txt"))
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "x.uk": ("x.uk", "uk"), "co.uk": ("co.uk", "co.uk"), "a.b.other.ck": ("b.other.ck", "other.ck"), "m.www.ck": ("www.ck", "ck"),
+        "me.blogs.com": ("me.blogs.com", "blogs.com"), "a.me.blogs.com": ("me.blogs.com", "blogs.com"), "a.unknown": ("a.unknown", "unknown"), "single": ("single", "single"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in urls.with_suffix(hosts, table).collect()} == want
+    rule = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.y.com.mx": ("y.com.mx", "com.mx"), "x.y.de": ("y.de", "de"), "x.co.com": ("co.com", "com"), "single": ("single", "single")}
+    hosts = spark.createDataFrame([(h,) for h in rule], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in urls.with_suffix(hosts, None).collect()} == rule
+
+
+def test_urls_by_reputation(spark):
+    """Pages without a rule take their host's verdict, and only those."""
+    pages = [(i, f"http://{h}/p/{i}") for i, h in enumerate(["bad.org"] * 60 + ["good.org"] * 60 + ["sub.example.com"] * 10)]
+    outcomes = [(i, int(u.startswith("http://bad") or i % 20 == 0)) for i, u in pages if i % 2 == 0] + [(None, 1), (3, None), (4, 0)]
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int"), RULES).collect()
+    assert {(r.host, r.rule, r.verdict) for r in got} == {("bad.org", None, "block"), ("good.org", None, "allow"), ("sub.example.com", "com/", "allow")}
+
+
 def test_language_id_holds_out(spark):
     rng = random.Random(4)
     parts = {"aa": ["kel", "mor", "tin"], "bb": ["zou", "fei", "xan"], "cc": ["är", "öl", "gün"]}
@@ -267,7 +356,7 @@ def test_language_id_holds_out(spark):
     data = [(i, " ".join(word(p) for _ in range(30)), p) for i in range(150) for p in [rng.choice(list(parts))]]
     extra = [(900, None, "aa"), (901, "", "bb"), (902, "12 34!", "aa"), (903, "kelmortin", None), (None, "zouzou fei", "bb"), data[0], data[0], (904, "kel" * 2000, "aa")]
     docs = spark.createDataFrame(data + extra, "doc_id long, text string, lang string")
-    got = language.held_out_languages(docs, language.Training(steps=150, hidden=12)).collect()
+    got = language.held_out_languages(docs, language.Training(steps=200)).collect()
     assert len(got) == len(data + extra)
     for r in got:
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
@@ -278,6 +367,35 @@ def test_language_id_holds_out(spark):
     assert language.held_out_languages(docs.limit(0)).count() == 0
 
 
+def test_language_id_without_spaces_and_in_mixed_scripts(spark):
+    """Held-out texts of scripts without spaces, and texts that mix two scripts: the larger share decides."""
+    rng = random.Random(11)
+    signs = {"han": "日月山川田人口木水火土金大小中上下左右天", "kana": "あいうえおかきくけこさしすせそたちつてと", "thai": "กขคงจฉชซญดตถทธนบปผพฟ", "latin": "abcdefghijklmnop"}
+    text = lambda p, n: "".join(rng.choice(signs[p]) for _ in range(n))
+    data = [(i, text(p, rng.choice([20, 60, 300])), p) for i in range(240) for p in [rng.choice(list(signs))]]
+    mixed = [(1000 + i, text(p, 60) + text(q, 20) + text(p, 60), p) for i in range(60) for p, q in [rng.sample(["han", "kana", "thai"], 2)]]
+    mixed += [(2000, text("han", 5000), "han"), (2001, text("kana", 300) * 50, "kana")]
+    docs = spark.createDataFrame([*data, *((i, t, None) for i, t, _ in mixed)], "doc_id long, text string, lang string")
+    by = {r.doc_id: r for r in language.held_out_languages(docs, language.Training(steps=250)).collect()}
+    right = [by[i].lang_pred == p for i, _, p in data if by[i].held_out] + [by[i].lang_pred == p for i, _, p in mixed]
+    assert sum(right) >= 0.97 * len(right)
+
+
+def test_stretches_label_each_byte_once():
+    for n in (0, 1, language.STRETCH, language.STRETCH + 1, 5 * language.STRETCH + 7):
+        data = bytes(i % 251 for i in range(n))
+        assert b"".join(s[a:b] for s, a, b in language.stretches(data)) == data
+    rng = np.random.default_rng(1)
+    net = language.ByteGru(["x", "y"], 6, 2)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 30, 200, 400)]
+    for x, got in zip(texts, language.means(net, texts)):  # one stretch: state by state, as in training
+        data = np.frombuffer(x, np.uint8)[:, None]
+        f = np.stack([s[0] for s in net._run("f", data)])[:, 0]
+        b = np.stack([s[0] for s in net._run("b", data[::-1])])[::-1, 0]
+        e = np.exp(f @ net.p["vf"] + b @ net.p["vb"] + net.p["c"])
+        assert np.allclose((e / e.sum(1, keepdims=True)).mean(0), got, atol=1e-4)
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(0)
     net = language.ByteGru(["x", "y", "z"], 5, 1)

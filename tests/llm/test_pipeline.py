@@ -87,10 +87,60 @@ def test_stages(spark, folder, tmp_path):
             before = got
 
 
+def test_rows_with_null_and_shared_ids(spark, folder):
+    """Rows are told apart by id and text: a hit or a copy takes no other row of its id with it, and a null id saves none."""
+    path, items = folder
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = text(40), text(40), text(40)
+    leak = text(5) + " " + items[0][1]
+    near = b.rsplit(" ", 1)[0] + " changed"
+    rows = [
+        (None, items[1][1]), (None, leak), (1, leak), (1, a), (None, a), (2, a), (2, b), (None, b), (5, near), (5, near), (5, near),
+        (None, c), (None, c), (7, None), (7, None), (None, None), (8, ""), (8, " "), (9, c + " more"), (9, c + " most"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, component_id string, __x int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash", "clash", n) for n, (i, t) in enumerate(rows)], schema).repartition(3)
+    left = corpus_pipeline.decontamination_stage(spark, docs, path)
+    assert left.columns == docs.columns
+    same_rows(left, [r for r in rows if r[1] is None or r[1] not in (items[1][1], leak)])
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, path)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    one = [x for x in got if x[1] and x[1].startswith(c)]
+    assert len(one) == 1 and one[0][0] == 9  # a null id is the largest
+    assert [x for x in got if x[1] and not x[1].startswith(c)] == sorted([(None, items[1][1]), (1, leak), (1, a), (2, b), (8, " ")], key=str)
+    assert [x for x in got if not x[1]] == sorted([(7, None), (7, None), (None, None), (8, "")], key=str)
+    lines = corpus_pipeline.line_stage(spark, spark.createDataFrame([(3, "x y\nz w", 1), (None, "x y\nz w", 1), (None, "x y\nz w\nown line", 1), (3, "x y\nz w", 1), (4, None, 1)], "doc_id long, text string, n_chars long"), path)
+    assert sorted(map(tuple, lines.collect()), key=str) == sorted([(3, "x y\nz w", 7), (3, "x y\nz w", 7), (None, "own line", 8)], key=str)
+    packed = corpus_pipeline.packing_stage(spark, docs, path)
+    assert packed.where("start = 0").count() == len(rows)
+
+
+def same_rows(frame, want):
+    assert sorted(((r.doc_id, r.text) for r in frame.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run(spark, folder):
+    """The whole pipeline against the brute-force stages one after another."""
+    path, items = folder
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
-    rows = corpus_pipeline.run(spark, folder[0]).collect()
-    assert rows and all(r.length > 0 for r in rows)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = quality.learn(docs, quality.grades_of_labels(spark.read.parquet(f"{path}/labels.parquet")), 3)
+    make = quality.Features(quality.Fit().bits)
+    good = lambda t: (t or "").strip() and 1 - model.at_most(np.array([model.weights[make.of(t)].sum(dtype=np.float64)]))[0, 1] >= 0.65
+    pairs = [(r.doc_id, r.text) for r in docs.collect() if good(r.text)]
+    pairs = [(i, t) for i, t, _, _ in brute.line_dedup(pairs) if brute.SPACE_WORD.search(t or "")]
+    first = {i for i, _, c in brute.jaccard_components(pairs) if c == i}
+    pairs = [p for p in pairs if p[0] in first]
+    clean = {r[0] for r in brute.decontaminate(pairs, items) if not r[2]}
+    pairs = [p for p in pairs if p[0] in clean]
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in pairs}
+    rows = corpus_pipeline.run(spark, path).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r.doc_id: (r.n, r.m) for r in rows} == {i: (n, n) for i, n in want.items()}
 
 
 def test_nothing_to_do(spark, folder, tmp_path):
