@@ -28,10 +28,22 @@ def width_of_literal(text: Column) -> Column:
 
 
 def width_of_binary(operator: Column, left: Column, right: Column) -> Column:
-    """Comparisons and logic give 1, shifts the left width, anything else the larger of two known widths."""
+    """Comparisons and logic give 1, shifts the left width, arithmetic and bit operators the larger of two known widths, others none."""
     one = operator.isin("==", "!=", "===", "!==", "<", "<=", ">", ">=", "&&", "||")
     shift = operator.isin("<<", ">>", "<<<", ">>>")
-    return F.when(one, F.lit(1).cast("long")).when(shift, left).when(left.isNotNull() & right.isNotNull(), F.greatest(left, right))
+    larger = operator.isin("+", "-", "*", "/", "%", "**", "&", "|", "^", "~^", "^~")
+    return F.when(one, F.lit(1).cast("long")).when(shift, left).when(larger & left.isNotNull() & right.isNotNull(), F.greatest(left, right))
+
+
+def width_of_repeat(times: Column, width: Column) -> Column:
+    return times.cast("long") * width
+
+
+def width_of_select(text: Column) -> Column:
+    """Width of a select: [i] is 1, [h:l] is |h - l| + 1, [b +: w] and [b -: w] are w."""
+    t = F.regexp_replace(text, r"[\s\[\]]", "")
+    part = F.regexp_extract(t, r"[+-]:([0-9]+)$", 1)
+    return F.when(F.rlike(t, F.lit(r"[+-]:")), _number(part)).when(F.instr(t, ":") > 0, width_of_range(t)).otherwise(F.lit(1).cast("long"))
 
 
 def width_of_concat(widths: Column) -> Column:

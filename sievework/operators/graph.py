@@ -19,23 +19,28 @@ def unit_graph(channels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return out.where("src <> dst").distinct()
 
 
+def resolved_names(wanted: DataFrame, files: DataFrame, folders: Sequence[str], key: str) -> DataFrame:
+    """(key, file): the first existing file for each name: ``wanted`` has dir, name and relative; the own folder comes first if relative, else last."""
+    search = F.array(*map(F.lit, folders))
+    order = F.when(F.col("relative"), F.concat(F.array("dir"), search)).otherwise(F.concat(search, F.array("dir")))
+    tried = wanted.select(key, "name", F.posexplode(order).alias("i", "d")).select(key, "i", F.concat("d", F.lit("/"), "name").alias("file"))
+    return tried.join(files, "file").groupBy(key).agg(F.min_by("file", "i").alias("file"))
+
+
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All pairs (src, dst) with a path of one edge or more; cycles are fine.
 
-    Path doubling: paths of up to 2^r edges after r rounds. Each round is stored in the shared folder, so lineage
-    stays short; only pairs that are new in the last round join in the next.
+    Path doubling: paths of up to 2^r edges after r rounds. A shortest path that is longer than all known ones begins with one
+    of the longest, which are those of the last round, so these are joined once with all. Each round's pairs are stored in the shared
+    folder, beside the earlier ones.
     """
-    known = stored(edges.select("src", "dst").distinct(), "closure")
-    new, size = known, known.count()
+    known = new = stored(edges.select("src", "dst").distinct(), "closure")
     for _ in range(most_rounds):
-        step = new.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        back = known.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        new = stored(step.unionByName(back).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
-        added = new.count()
-        if not added:
+        step = new.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        new = stored(step.join(known, ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
             return known
-        size += added
-        known = stored(known.unionByName(new), "closure")
+        known = known.unionByName(new)
     raise RuntimeError("the closure did not settle")
 
 
@@ -49,7 +54,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) ->
         front = stored(step.join(seen, ["root", "node"], "left_anti"), "reachable")
         if front.isEmpty():
             return seen
-        seen = stored(seen.unionByName(front), "reachable")
+        seen = seen.unionByName(front)
     raise RuntimeError("the search did not settle")
 
 

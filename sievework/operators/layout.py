@@ -40,6 +40,34 @@ def best_break(candidates: DataFrame, keys: Sequence[str], penalty: Column, posi
     return candidates.groupBy(*keys).agg(F.min_by(position, F.struct(penalty, -F.col(position))).alias(position))
 
 
+def break_points(rows: DataFrame, width: int) -> DataFrame:
+    """(path, line_no, break_at): the space of each line where a break costs least: what is over ``width`` before it, and twice what is over after it.
+
+    Of equal ones the rightmost; one pass over the line's words, inside the row. Lines without a space before their last character are left out.
+    """
+    none = F.lit(None).cast("int")
+    start = F.struct(F.length("raw").alias("size"), F.lit(0).alias("at"), none.alias("cost"), none.alias("best"))  # the length is taken once
+
+    def step(state: Column, word: Column) -> Column:
+        size, at = state["size"], state["at"] + F.length(word) + 1
+        cost = F.greatest(at - width, F.lit(0)) + 2 * F.greatest(size - at - width, F.lit(0))
+        better = (at < size) & (state["cost"].isNull() | (cost <= state["cost"]))
+        return F.struct(size.alias("size"), at.alias("at"), F.when(better, cost).otherwise(state["cost"]).alias("cost"), F.when(better, at).otherwise(state["best"]).alias("best"))
+
+    words = F.split("raw", " ", -1)
+    found = rows.withColumn("break_at", F.aggregate(F.slice(words, 1, F.size(words) - 1), start, step)["best"])
+    return found.where("break_at is not null").select("path", "line_no", "break_at")
+
+
+def wrapped(rows: DataFrame, width: int) -> DataFrame:
+    """(path, line_no, part_no, part): each line's words, in parts by the multiple of ``width`` characters that they end in."""
+    words = F.split(F.trim(F.regexp_replace("raw", r"[ \t]+", " ")), " ")
+    each = rows.select("path", "line_no", F.posexplode(words).alias("i", "w"))
+    end = F.sum(F.length("w") + 1).over(Window.partitionBy("path", "line_no").orderBy("i")) - 1
+    placed = each.withColumn("part_no", F.floor(end / width))
+    return placed.groupBy("path", "line_no", "part_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("part"))
+
+
 def depth_of_lines(rows: DataFrame, opener: str, closer: str) -> DataFrame:
     """Lines with ``depth``: blocks open before them, from counts of words that open and close; a closing line counts as closed."""
     count = lambda w: F.size(F.regexp_extract_all("raw", F.lit(rf"(\b(?:{w})\b)"), F.lit(1)))

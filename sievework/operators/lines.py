@@ -50,6 +50,12 @@ def joined_lines(rows: DataFrame) -> DataFrame:
     return grouped.groupBy("path", "g").agg(parts.alias("parts")).select("path", F.col("parts")[0]["line_no"].alias("line_no"), F.array_join(F.transform("parts", lambda x: x["raw"]), "").alias("raw"))
 
 
+def split_after(rows: DataFrame, pattern: str, gap: str) -> DataFrame:
+    """(path, line_no, part_no, part): lines cut after ``pattern`` where ``gap`` follows, which goes."""
+    parts = F.split(F.regexp_replace("raw", f"({pattern}){gap}", "$1\n"), "\n", -1)
+    return rows.select("path", "line_no", F.posexplode(parts).alias("part_no", "part"))
+
+
 #: Alternatives of the plain token pattern, longest symbols first.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|<<|>>|<=|>=|==|!=|&&|\|\||[^\sA-Za-z0-9_]"
 
@@ -64,6 +70,12 @@ def tokens(rows: DataFrame, keywords: DataFrame | None = None, pattern: str = TO
     return found.join(named, "content", "left").select("path", "line_no", "ord", "content", F.coalesce("named", base).alias("type"))
 
 
+def token_counts(rows: DataFrame, keywords: DataFrame, pattern: str = TOKEN) -> DataFrame:
+    """(content, n, type) of all tokens: counted first, so ``keywords`` join distinct contents and no token crosses a shuffle by itself."""
+    counted = tokens(rows, None, pattern).groupBy("content", "type").agg(F.count("*").alias("n"))
+    return counted.join(keywords.select("content", F.col("type").alias("named")), "content", "left").select("content", "n", F.coalesce("named", "type").alias("type"))
+
+
 def bracket_depth(found: DataFrame, openers: str = "([{", closers: str = ")]}") -> DataFrame:
     """Tokens with ``depth``: brackets that are open before each one."""
     step = F.when(F.instr(F.lit(openers), F.col("content")) > 0, 1).when(F.instr(F.lit(closers), F.col("content")) > 0, -1).otherwise(0)

@@ -61,8 +61,8 @@ def naming_violations(symbols: DataFrame, rules: Sequence[NamingRule], user: Use
 
 def suffix_conflicts(symbols: DataFrame, suffixes: DataFrame, of: str) -> DataFrame:
     """NC014 to NC016: names with a suffix that stands for another value of ``of``. ``suffixes``: suffix, meaning."""
-    joined = symbols.join(F.broadcast(suffixes), F.endswith(F.col("name"), F.col("suffix")) & (F.col(of) != F.col("meaning")))
-    return joined.drop("suffix", "meaning").distinct()
+    tails = symbols.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.expr("name").substr(-i, i))))
+    return tails.join(suffixes, "suffix").where(F.col(of) != F.col("meaning")).drop("suffix", "meaning").distinct()
 
 
 def severity_tally(diagnostics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

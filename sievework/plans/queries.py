@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import widths
 from ..operators import changes, directives, graph, layout, lines, rules, symbols
@@ -55,7 +56,7 @@ def style_tabs(spark, sf):
 
 
 _KEYWORDS = {"the": "keyword.article", "and": "keyword.and", "der": "keyword.article", "la": "keyword.article"}
-_TOKENS_SQL = f"SELECT path, unnest(regexp_extract_all(raw, '{lines.TOKEN.replace('?:', '?:')}')) AS content FROM ({_LINES_SQL})"
+_TOKENS_SQL = f"SELECT path, unnest(regexp_extract_all(raw, '{lines.TOKEN}')) AS content FROM ({_LINES_SQL})"
 
 
 @query(
@@ -65,7 +66,7 @@ _TOKENS_SQL = f"SELECT path, unnest(regexp_extract_all(raw, '{lines.TOKEN.replac
 )
 def token_histogram(spark, sf):
     keywords = spark.createDataFrame(list(_KEYWORDS.items()), "content string, type string")
-    return lines.tokens(_lines(spark, sf), keywords).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("content").alias("n_distinct"))
+    return lines.token_counts(_lines(spark, sf), keywords).groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
 
 
 @query(
@@ -191,11 +192,14 @@ def severity_tally(spark, sf):
     return rules.severity_tally(rules.naming_violations(_symbols(spark, sf), _RULES, _USER), ["path"])
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49 AND l_returnflag = 'R')")
+_NAMED_SQL = "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '_' || p_name ELSE p_name END AS name FROM part"
+
+
+@query(f"SELECT p_partkey, name FROM ({_NAMED_SQL}) WHERE name NOT LIKE '\\_%' ESCAPE '\\' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49 AND l_returnflag = 'R')")
 def unused_declarations(spark, sf):
-    declared = read_table(spark, sf, "part").select("p_partkey", "p_brand")
+    declared = read_table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("_"), "p_name")).otherwise(F.col("p_name")).alias("name"))
     used = read_table(spark, sf, "lineitem").where("l_quantity > 49 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return symbols.unused(declared, used, ["p_partkey"], "p_brand")
+    return symbols.unused(declared, used, ["p_partkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0)")
@@ -289,13 +293,13 @@ def parameter_overrides(spark, sf):
 
 
 @query(
-    "WITH a AS (SELECT l_suppkey AS c, l_linenumber = 7 AND l_orderkey % 50 = 0 AS is_default, CASE WHEN l_orderkey % 97 > 0 OR l_suppkey % 3 = 0 THEN l_linenumber - 1 END AS value, CASE WHEN l_suppkey % 2 = 0 THEN 3 ELSE 2 END AS width FROM lineitem WHERE l_linenumber <= 4 OR l_suppkey % 4 > 0) "
-    "SELECT c AS l_suppkey FROM a GROUP BY c HAVING NOT bool_or(is_default) AND NOT coalesce(bool_and(value IS NOT NULL OR is_default) AND count(DISTINCT value) = CAST(pow(2, max(width)) AS BIGINT) AND max(value) < pow(2, max(width)) AND min(value) >= 0, false)"
+    "WITH a AS (SELECT l_orderkey AS c, l_linestatus = 'O' AND l_linenumber = 3 AS is_default, CASE WHEN l_partkey % 29 > 0 THEN l_linenumber - 1 END AS value, CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 1 END AS width FROM lineitem) "
+    "SELECT c AS l_orderkey FROM a GROUP BY c HAVING NOT bool_or(is_default) AND NOT coalesce(bool_and(value IS NOT NULL OR is_default) AND count(DISTINCT value) = CAST(pow(2, max(width)) AS BIGINT) AND max(value) < pow(2, max(width)) AND min(value) >= 0, false)"
 )
 def uncovered_cases(spark, sf):
-    l, s, o = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_orderkey")
-    arms = read_table(spark, sf, "lineitem").where((l <= 4) | (s % 4 > 0)).select(s, ((l == 7) & (o % 50 == 0)).alias("is_default"), F.when((o % 97 > 0) | (s % 3 == 0), l - 1).alias("value"), F.when(s % 2 == 0, 3).otherwise(2).alias("width"))
-    return symbols.uncovered_cases(arms, ["l_suppkey"])
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    arms = read_table(spark, sf, "lineitem").select(o, ((F.col("l_linestatus") == "O") & (n == 3)).alias("is_default"), F.when(F.col("l_partkey") % 29 > 0, n - 1).alias("value"), F.when(o % 2 == 0, 2).otherwise(1).alias("width"))
+    return symbols.uncovered_cases(arms, ["l_orderkey"])
 
 
 @query("SELECT l_orderkey, l_returnflag, count(DISTINCT l_linestatus) AS n_ops FROM lineitem GROUP BY ALL HAVING n_ops > 1")
@@ -303,11 +307,17 @@ def mixed_assignments(spark, sf):
     return symbols.mixed_operators(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_returnflag"], "l_linestatus")
 
 
-_EDGES_SQL = "SELECT DISTINCT l_suppkey % 61 AS src, l_partkey % 61 AS dst FROM lineitem WHERE l_linenumber = 7 AND l_orderkey % 8 = 0 AND l_suppkey % 61 <> l_partkey % 61"
+#: Each order leads to its customer's next one; every seventh customer's last order leads back to the first.
+_EDGES_SQL = (
+    "SELECT DISTINCT src, dst FROM (SELECT o_orderkey AS src, coalesce(lead(o_orderkey) OVER w, CASE WHEN o_custkey % 7 = 0 THEN first(o_orderkey) OVER w END) AS dst "
+    "FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE src <> dst"
+)
 
 
 def _edges(spark, sf):
-    e = read_table(spark, sf, "lineitem").where("l_linenumber = 7 and l_orderkey % 8 = 0").select((F.col("l_suppkey") % 61).alias("src"), (F.col("l_partkey") % 61).alias("dst"))
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    back = F.when(F.col("o_custkey") % 7 == 0, F.first("o_orderkey").over(by))
+    e = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("src"), F.coalesce(F.lead("o_orderkey").over(by), back).alias("dst"))
     return graph.unit_graph([("instance", e)])
 
 
@@ -316,11 +326,15 @@ def unit_graph_closure(spark, sf):
     return graph.closure(_edges(spark, sf))
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGES_SQL}), r AS (SELECT v AS root, v AS node FROM (VALUES (1), (2), (3)) t(v) UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) SELECT CAST(node AS BIGINT) AS node, CAST(root AS BIGINT) AS root FROM r WHERE node % 5 = 0")
+@query(
+    f"WITH RECURSIVE e AS ({_EDGES_SQL}), r AS (SELECT o_orderkey AS root, o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000 UNION SELECT r.root, e.dst FROM r JOIN e ON r.node = e.src) "
+    "SELECT node, root FROM r WHERE node IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW')"
+)
 def unit_dependents(spark, sf):
-    roots = spark.createDataFrame([(1,), (2,), (3,)], "root long")
-    reached = graph.reachable(_edges(spark, sf), roots)
-    return graph.dependents(reached, reached.where("node % 5 = 0").select("node").distinct())
+    """Which expensive urgent orders come before each order of low priority."""
+    orders = read_table(spark, sf, "orders")
+    roots = orders.where("o_orderpriority = '1-URGENT' and o_totalprice > 300000").select(F.col("o_orderkey").alias("root"))
+    return graph.dependents(graph.reachable(_edges(spark, sf), roots), orders.where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("node")))
 
 
 @query(f"WITH e AS ({_EDGES_SQL}), x AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM x GROUP BY node")
@@ -351,15 +365,13 @@ def indented_lines(spark, sf):
 
 
 @query(
-    f"WITH c AS (SELECT path, line_no, raw, unnest(range(1, length(raw))) AS p FROM ({_LINES_SQL}) WHERE length(raw) > 100 AND path % 10 = 0) "
-    "SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST(p AS INTEGER) AS break_at FROM c WHERE substr(raw, CAST(p AS INTEGER), 1) = ' ' "
-    "QUALIFY row_number() OVER (PARTITION BY path, line_no ORDER BY greatest(p - 100, 0) + 2 * greatest(length(raw) - p - 100, 0), p DESC) = 1"
+    f"WITH c AS (SELECT path, line_no, length(raw) AS size, unnest(regexp_extract_all(raw, '[^ ]*[ ]')) AS w, generate_subscripts(regexp_extract_all(raw, '[^ ]*[ ]'), 1) AS i FROM ({_LINES_SQL}) WHERE length(raw) > 100), "
+    "d AS (SELECT *, sum(length(w)) OVER (PARTITION BY path, line_no ORDER BY i) AS p FROM c) "
+    "SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST(p AS INTEGER) AS break_at FROM d WHERE p < size "
+    "QUALIFY row_number() OVER (PARTITION BY path, line_no ORDER BY greatest(p - 100, 0) + 2 * greatest(size - p - 100, 0), p DESC) = 1"
 )
 def wrap_points(spark, sf):
-    wide = _lines(spark, sf).where((F.length("raw") > 100) & (F.col("path") % 10 == 0))
-    at = wide.select("path", "line_no", F.length("raw").alias("size"), F.posexplode(F.split("raw", "")).alias("i", "c")).where("c = ' '").withColumn("at", F.col("i") + 1).where("at < size")
-    penalty = F.greatest(F.col("at") - 100, F.lit(0)) + 2 * F.greatest(F.col("size") - F.col("at") - 100, F.lit(0))
-    return layout.best_break(at, ["path", "line_no"], penalty).withColumnRenamed("at", "break_at")
+    return layout.break_points(_lines(spark, sf).where(F.length("raw") > 100), 100).select("path", "line_no", "break_at")
 
 
 @query("SELECT event_type, k, count(*) AS n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY ALL")

@@ -50,17 +50,18 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_texts(rendered: DataFrame, path: str) -> None:
-    """One text file per partition of (path, text), in order of paths."""
-    rendered.sort("path").select("text").write.mode("overwrite").text(path)
+    """One folder ``path=...`` with one text file for each row of (path, text); paths must be distinct."""
+    rendered.select("path", "text").write.partitionBy("path").mode("overwrite").text(path)
 
 
 def summary_html(tally: DataFrame, title: str, most: int = 500) -> str:
-    """An HTML table of a small summary; the ``most`` first rows by its first column."""
+    """An HTML table of a small summary: the ``most`` first rows by its first column; if there are more, it says how many it leaves out."""
     rows = tally.orderBy(tally.columns[0]).limit(most).collect()
+    left = tally.count() - len(rows) if len(rows) == most else 0
     cell = lambda tag, x: f"<{tag}>{html.escape(str(x))}</{tag}>"
     head = "".join(cell("th", c) for c in tally.columns)
     body = "".join("<tr>" + "".join(cell("td", x) for x in r) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>"
+    return f"<!DOCTYPE html><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>" + (f"<p>{left} more rows are not shown.</p>" if left else "")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
