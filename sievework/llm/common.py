@@ -8,9 +8,10 @@ import zipfile
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Where the tables of ``stored`` lie.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -62,20 +63,48 @@ def buckets(docs: DataFrame, text_col: str = "text", bucket_bytes: int = 8 << 20
     return max(partitions(docs.sparkSession), -(-size // bucket_bytes))
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors, once per context, as ``--py-files`` would."""
+def marked(docs: DataFrame, key: Column, keys: DataFrame, most_bits: int = 25) -> DataFrame:
+    """``docs`` with ``__near``, which is false only where ``key``, a long, is not in ``keys`` (distinct).
+
+    A bitmap of hashed keys (4 MB at most) tells; so texts that no later join can
+    meet need not be shuffled for it. Where there are too many keys for the bitmap, more rows are near than need be.
+    """
+    bits = min(most_bits, max(16, keys.count().bit_length() + 5))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
+    bit = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
+    words = keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(bit("p")).alias("__marks"))
+    placed = docs.withColumn("__place", place(key)).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word", "left")
+    return placed.withColumn("__near", F.coalesce(F.col("__marks").bitwiseAND(bit("__place")) != 0, F.lit(False))).drop("__place", "__word", "__marks")
+
+
+def without(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key``, a long that is never null, is not in ``keys`` (distinct)."""
+    both = marked(docs.withColumn("__key", key), F.col("__key"), keys)
+    gone = keys.select(F.col(keys.columns[0]).alias("__key"))
+    left = both.where("__near").join(gone, "__key", "left_anti")
+    return both.where("not __near").unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
+    """Make a session ready for the registered queries, once per context.
+
+    The executors get the package, as by ``--py-files``. Arrow batches get ``batch_rows`` rows unless the session says otherwise: texts are long, and
+    a batch of 10,000 would be held several times over in each task.
+    """
     context = spark.sparkContext
-    if getattr(context, "_sievework_shipped", False):
+    if getattr(context, "_sievework_ready", False):
         return
+    if context.getConf().get(BATCH_ROWS) is None:
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
     package = Path(__file__).resolve().parent.parent
     archive = Path(tempfile.mkdtemp(prefix="sievework-")) / "sievework.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(archive))
-    context._sievework_shipped = True
+    context._sievework_ready = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

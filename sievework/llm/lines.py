@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, marked, stored
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -68,13 +68,16 @@ def line_dedup(df: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text
         docs.where(F.size("lines") >= w).select("id", "key", numbered.alias("numbered")).where(F.size("numbered") >= w)
         .select("id", "key", F.inline(_runs(F.col("numbered"), w)))
     )
-    repeated = prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    repeated = stored(prints.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "fingerprints")
     runs = stored(prints.join(repeated, "f").select("id", "key", F.inline("runs")), "runs")
     place = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("from_line").alias("l"))
-    first = runs.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("r1", "r2", "first")
-    later = runs.join(first, ["r1", "r2"]).where(place > F.col("first"))
-    deleted = later.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("from_line", "to_line"))).alias("gone"))
-    joined = docs.alias("d").join(deleted.alias("x"), F.col("d.id").eqNullSafe(F.col("x.id")) & (F.col("d.key") == F.col("x.key")), "left").select("rest", "lines", "gone")
+    first = stored(runs.groupBy("r1", "r2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("r1", "r2", "first"), "first-runs")
+    later = runs.join(first, ["r1", "r2"]).where(place > F.col("first"))  # stored tables on both sides: a very common run is split
+    deleted = stored(later.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("from_line", "to_line"))).alias("gone")), "deleted")
+    drop(repeated, runs, first)
+    placed = marked(docs, F.xxhash64("id", "key"), deleted.select(F.xxhash64("id", "key").alias("k")).distinct())
+    changed = placed.where("__near").alias("d").join(deleted.alias("x"), F.col("d.id").eqNullSafe(F.col("x.id")) & (F.col("d.key") == F.col("x.key")), "left").select("rest", "lines", "gone")
+    joined = placed.where("not __near").select("rest", "lines", F.lit(None).cast(deleted.schema["gone"].dataType).alias("gone")).unionByName(changed)
     n = F.size("gone")
     between = F.transform(
         F.sequence(F.lit(0), n),
