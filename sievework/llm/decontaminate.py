@@ -15,14 +15,13 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import drop, marked, stored
 
 #: A-Z become a-z; other ASCII characters but digits and a-z become spaces; the rest stays.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -44,10 +43,16 @@ def phrases(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return folded.where("phrase <> ''").groupBy("phrase").agg(F.collect_set("item").alias("items")).select(F.xxhash64("phrase").alias("pid"), "phrase", "items")
 
 
-def _blocks(terms: DataFrame, most: int) -> Iterator[list[bytes]]:
-    """The terms in blocks of a bounded number, each small enough to send to every task."""
-    rows = terms.toLocalIterator()
-    while block := [r[0].encode() for r in islice(rows, most)]:
+def _blocks(terms: DataFrame, most_bytes: int) -> Iterator[list[bytes]]:
+    """The terms in blocks of about ``most_bytes``, each small enough to send to every task."""
+    block, size = [], 0
+    for (term,) in terms.toLocalIterator():
+        block.append(term.encode())
+        size += len(block[-1]) + 40
+        if size >= most_bytes:
+            yield block
+            block, size = [], 0
+    if block:
         yield block
 
 
@@ -58,7 +63,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, block_terms: int) -> DataFrame:
+def term_counts(docs: DataFrame, terms: DataFrame, block_bytes: int) -> DataFrame:
     """How often each of ``terms`` occurs in all texts: term, n (terms that never occur are absent)."""
 
     def counter(block: list[bytes]) -> DataFrame:
@@ -74,10 +79,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, block_terms: int) -> DataFram
 
         return docs.select("text").mapInArrow(count, "term string, n long")
 
-    return _union([counter(b) for b in _blocks(terms, block_terms)] or [terms.select("term", F.lit(0).cast("long").alias("n")).limit(0)]).groupBy("term").agg(F.sum("n").alias("n"))
+    return _union([counter(b) for b in _blocks(terms, block_bytes)] or [terms.select("term", F.lit(0).cast("long").alias("n")).limit(0)]).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, block_terms: int) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, block_bytes: int) -> DataFrame:
     """The index: term, id, key, positions (ascending), for ``terms`` only."""
 
     def poster(block: list[bytes]) -> DataFrame:
@@ -108,7 +113,7 @@ def postings(docs: DataFrame, terms: DataFrame, block_terms: int) -> DataFrame:
 
         return docs.select("id", "key", "text").mapInArrow(post, "term string, id long, key long, positions array<int>")
 
-    return _union([poster(b) for b in _blocks(terms, block_terms)])
+    return _union([poster(b) for b in _blocks(terms, block_bytes)])
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int, rarest: int) -> DataFrame:
@@ -150,26 +155,30 @@ def matched(doc: list[bytes], item: list[bytes], delta: int, window: int) -> lis
     return out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, rarest: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_terms: int = 1_000_000) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, rarest: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, hits.
 
     A document word is hit if it lies in an occurrence of a window: ``window`` consecutive
     words of an item, or all words of a shorter one. ``hits`` lists the hit ranges
     (first, end). Null and empty texts have no words; items without words, or with a null id,
     are left out. Rows that share an id and a text give equal rows; a null id is
-    a document like others. Without documents there are no rows, without items no hits.
+    a document like others; ids must be integers, or text that casts to them. Without documents there are no rows, without items no hits.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     items = stored(phrases(benchmark, item_col, item_text_col), "phrases")
     terms = items.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
-    counts = stored(term_counts(docs, terms, block_terms), "terms")
+    counts = stored(term_counts(docs, terms, block_bytes), "terms")
     chosen = stored(anchors(items, counts, window, rarest), "anchors")
     searched = chosen.select("term").distinct()
     empty = df.sparkSession.createDataFrame([], "term string, id long, key long, positions array<int>")
-    index = stored(postings(docs, searched, block_terms), "postings") if not chosen.isEmpty() else empty
-    found = offsets(index, chosen).join(items, "pid").groupBy("id", "key").agg(F.collect_set(F.struct("phrase", "delta", "items")).alias("found"))
-    d, f = docs.alias("d"), found.alias("f")
-    joined = d.join(f, F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.key") == F.col("f.key")), "left").select("d.id", "d.text", F.coalesce("f.found", F.array()).alias("found"))
+    index = stored(postings(docs, searched, block_bytes), "postings") if not chosen.isEmpty() else empty
+    by_item = offsets(index, chosen).groupBy("id", "key", "pid").agg(F.collect_set("delta").alias("deltas"))  # at most as many as the document has words
+    found = stored(by_item.join(items, "pid").groupBy("id", "key").agg(F.collect_list(F.struct("phrase", "deltas", "items")).alias("found")), "candidates")
+    placed = marked(docs, F.xxhash64("id", "key"), found.select(F.xxhash64("id", "key").alias("k")).distinct())
+    d, f = placed.where("__near").alias("d"), found.alias("f")
+    candidates = d.join(f, F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.key") == F.col("f.key")), "left").select("d.id", "d.text", F.coalesce("f.found", F.array()).alias("found"))
+    joined = placed.where("not __near").select("id", "text", F.array().cast(candidates.schema["found"].dataType).alias("found")).unionByName(candidates)
+    drop(counts, chosen, items, *([] if index is empty else [index]))
     schema = f"`{id_col}` long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<struct<first:int,end:int>>"
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +188,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, rarest:
                 doc = words(text.as_py())
                 ranges: set[tuple[int, int]] = set()
                 names: set[str] = set()
-                for f in found.as_py() or ():
-                    if at := matched(doc, f["phrase"].encode().split(), f["delta"], window):
+                for f in found.as_py():
+                    item = f["phrase"].encode().split()
+                    at = [x for delta in f["deltas"] for x in matched(doc, item, delta, window)]
+                    if at:
                         ranges.update(at)
                         names.update(f["items"])
                 merged: list[list[int]] = []
