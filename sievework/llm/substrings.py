@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import BLOB_SCHEMA, pack, rows_of_blobs, slices, starts, unpack
-from .common import partitions
+from .common import buckets as bucket_count
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _LAST = (1 << 63) - 1
@@ -250,11 +250,11 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     id, or an earlier start in the same document. Null and empty texts have no
     words. Rows that share an id count as one place, so equal starts in them are not
     later than each other; a null id comes after all others, and rows with null ids count
-    as one place too. Other columns are ignored; an empty table gives no rows.
+    as one place too. Ids must be integers, or text that casts to them. Other columns are ignored; an empty table gives no rows.
     """
     if window < PERIOD + 7:
         raise ValueError(f"windows have {PERIOD + 7} words at least")
-    n = partitions(df.sparkSession)
+    n = bucket_count(df, text_col)
     id_ = F.col(id_col).cast("long")
     docs = df.select(
         F.coalesce(id_, F.lit(_LAST)).alias("id"),
