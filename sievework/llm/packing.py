@@ -42,7 +42,7 @@ class WordIds:
     them as they are; everything else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remembered_bytes: int = 96 << 20):
+    def __init__(self, path: str, remembered_bytes: int = 176 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -235,7 +235,7 @@ def pack_examples(df: DataFrame, tokenizer_path: str, end_id: int = 2, limits: L
     sequence_id, offset. An example's ids are those of its prompt (if ``prompt_col``
     is given; these bear no loss), then those of its text, then ``end_id``. A null
     text or prompt counts as empty, so each row has at least one id. Repeated rows
-    and null ids are packed like any other row, each on its own. Other columns are
+    and null ids are packed like any other row, each on its own; ids must be integers, or text that casts to them. Other columns are
     ignored; an empty table gives no rows. Sequence ids are unique over tasks: the
     task's partition in the upper bits, a count in the lower.
     """

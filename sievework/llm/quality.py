@@ -160,7 +160,7 @@ def fit_ordinal(index: np.ndarray, doc: np.ndarray, grades: np.ndarray, n_grades
 def learn(df: DataFrame, ratings: DataFrame, n_grades: int, f: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Ordinal | None:
     """Fit on about ``f.rows`` rated documents, drawn by a hash of their ids; None if fewer than two grades occur.
 
-    Ratings with a null id or grade, or a grade outside 0 .. n_grades - 1, are left out.
+    Ids must be integers. Ratings with a null id or grade, or a grade outside 0 .. n_grades - 1, are left out.
     """
     rated = ratings.where(F.col(id_col).isNotNull() & F.col(grade_col).between(0, n_grades - 1)).select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
     total = rated.count()
@@ -221,6 +221,6 @@ def score(df: DataFrame, model: Ordinal | None, wanted: int, f: Fit = Fit(), lea
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:
-    """Grades from binary labels: 0 low quality, 1 toxic, 2 good. Null labels count as unmarked."""
-    grade = F.when(F.coalesce("quality", F.lit(1)) == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2)
-    return labels.select("doc_id", grade.alias("grade"))
+    """Graded ratings 0 to 2: how many of two demands a document meets, being of quality and not being toxic. A null label counts as met."""
+    met = F.coalesce(F.col("quality"), F.lit(1)).cast("boolean").cast("int") + 1 - F.coalesce(F.col("toxic"), F.lit(0)).cast("boolean").cast("int")
+    return labels.select("doc_id", met.alias("grade"))
