@@ -6,11 +6,11 @@ the shared folder and read back as the next one's ``docs``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import quality
-from sievework.llm.common import stored, table
+from sievework.llm.common import drop, stored, table, without
 from sievework.llm.decontaminate import decontaminate
 from sievework.llm.jaccard import jaccard_components
 from sievework.llm.lines import line_dedup
@@ -18,34 +18,73 @@ from sievework.llm.packing import Limits, pack_examples
 from sievework.llm.queries import tokenizer_path
 
 
+def row_key() -> Column:
+    """Rows are told apart by id and text, since ids may be null or shared; rows equal in both are copies of one document."""
+    return F.xxhash64("doc_id", "text")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade reaches the classifier's bound stay."""
+    """Documents whose probability of the top grade reaches the classifier's bound stay.
+
+    Null texts and those without words go. Each row is judged by its own text, so rows with null or shared ids,
+    and repeated rows, are treated alike; the classifier learns only from ids that ``labels`` has. Without usable labels
+    every text with a word stays. Columns pass unchanged; an empty table gives no rows.
+    """
     ratings = quality.grades_of_labels(table(spark, sf_dir, "labels"))
     model = quality.learn(docs, ratings, n_grades=3)
     return quality.score(docs, model, wanted=2).where("kept").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and documents of which nothing but white space is left."""
+    """Later repeated runs of lines go, and documents of which nothing but white space is left.
+
+    So null, empty and blank texts go. Of two documents the one with the larger id loses a run, a null id being the
+    largest; rows that share an id are at one place, so none of them loses what both have at the same lines.
+    ``n_chars`` is counted anew; other columns pass unchanged. An empty table gives no rows.
+    """
     left = line_dedup(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    later = jaccard_components(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents one row stays: the smallest id's, a null id being the largest.
+
+    Rows of one id are documents of their own; among those of the smallest id a hash of the text decides, and
+    of rows equal in id and text one stays, whatever their other columns hold. Texts without words
+    (null, empty, blank) link with nothing and stay, repeats included. Columns pass unchanged; an empty table gives no rows.
+    """
+    keyed = docs.withColumn("__key", row_key())
+    found = jaccard_components(keyed.select("__key", "text"), id_col="__key").where("n_shingles > 0")
+    named = keyed.groupBy("__key").agg(F.first("doc_id").alias("id"), F.count("*").alias("rows"))
+    groups = stored(found.select("__key", "component_id").distinct().join(named, "__key"), "groups")
+    place = F.struct(F.col("id").isNull(), "id", "__key")
+    best = groups.groupBy("component_id").agg(F.min(place).alias("best"))
+    later = groups.join(best, "component_id").where(place > F.col("best")).select("__key")
+    repeated = groups.where("rows > 1").select("__key")
+    left = without(docs, row_key(), stored(later.union(repeated).distinct(), "later"))
+    kept = stored(repeated.join(later, "__key", "left_anti"), "repeated")
+    ones = keyed.join(kept, "__key").dropDuplicates(["__key"])
+    drop(groups)
+    return left.unionByName(ones.select(*docs.columns)).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark passage go.
+
+    Each row is judged by its own text, whatever its id, so rows with null or shared ids and repeated rows are
+    treated alike. Null and empty texts hold nothing and stay. Columns pass unchanged; an empty table gives no rows, and
+    without benchmark items all rows stay.
+    """
+    found = decontaminate(docs.select(row_key().alias("__key"), "text"), table(spark, sf_dir, "benchmark"), id_col="__key")
+    return without(docs, row_key(), stored(found.where("contaminated").select("__key").distinct(), "contaminated")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of up to 4096 tokens."""
+    """Pieces of documents in sequences of up to 4096 tokens.
+
+    A null text counts as empty, so each row gives at least one piece, its end token; rows with null or shared ids and
+    repeated rows are packed each on its own. An empty table gives no rows.
+    """
     return pack_examples(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, limits=Limits(4096, 64, 4096))
 
 
@@ -62,7 +101,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        if last:
+            drop(last)
+        last = docs
     return docs
