@@ -3,53 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Where the tables of ``stored`` lie.
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing a local master gets a temporary folder (tests);
-    any other master is an error, since its executors could not read such a folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..sources.tables import drop, stored  # noqa: F401  shared with the other operators
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage, and a lost executor costs no more than a second read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of ``stored`` that no later step reads."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(t))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A-Z become a-z; other ASCII characters but digits and a-z become spaces; the rest stays.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def partitions(spark: SparkSession) -> int:

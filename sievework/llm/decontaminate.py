@@ -21,14 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop, marked, stored
-
-#: A-Z become a-z; other ASCII characters but digits and a-z become spaces; the rest stays.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+from .common import FOLD, drop, marked, stored
 
 
 def words(text: str | None) -> list[bytes]:
-    return text.encode().translate(_FOLD).split() if text else []
+    return text.encode().translate(FOLD).split() if text else []
 
 
 def phrases(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:

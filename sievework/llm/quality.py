@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+from .common import FOLD
+
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SYMBOLS = b"#*$%&|<>~^{}[]@\\_="
 _STOPS = b"!?"
@@ -57,7 +58,7 @@ class Features:
     def of(self, text: str) -> np.ndarray:
         """Distinct features of a text; none without words."""
         data = text.encode()
-        words = data.translate(_FOLD).split()
+        words = data.translate(FOLD).split()
         if not words:
             return np.zeros(0, np.int64)
         counts = Counter(words)
