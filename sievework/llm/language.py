@@ -70,26 +70,27 @@ class ByteGru:
         return out
 
     def _logits(self, d: str, data: np.ndarray) -> np.ndarray:
-        """(length, rows, languages): what one network adds at every byte."""
-        H, x, u, v = self.hidden, self.p[f"x{d}"], self.p[f"u{d}"], self.p[f"v{d}"]
+        """(length, languages, rows): what one network adds at every byte. Rows lie along the second axis, so gates are whole blocks."""
+        H, x, u, v = self.hidden, self.p[f"x{d}"].T.copy(), self.p[f"u{d}"].T.copy(), self.p[f"v{d}"].T.copy()
         length, n = data.shape
-        h, out = np.zeros((n, H), np.float32), np.empty((length, n, v.shape[1]), np.float32)
-        half = np.float32(0.5)
+        u[2 * H :] *= 0.5  # a gate is (1 + g) / 2: here the half of the reset gate is taken beforehand
+        h, out = np.zeros((H, n), np.float32), np.empty((length, len(v), n), np.float32)
+        a, b = np.empty((3 * H, n), np.float32), np.empty((3 * H, n), np.float32)
+        g, c, update, reset = a[: 2 * H], b[2 * H :], a[:H], a[H : 2 * H]
         for t in range(length):
-            a, b = x.take(data[t], 0), h @ u
-            g = a[:, : 2 * H]
-            g += b[:, : 2 * H]
+            x.take(data[t], 1, a)
+            np.matmul(u, h, b)
+            g += b[: 2 * H]
             np.tanh(g, g)
-            g *= half
-            g += half
-            c = b[:, 2 * H :]
-            c *= g[:, H:]
-            c += a[:, 2 * H :]
+            g += 1
+            c *= reset
+            c += a[2 * H :]
             np.tanh(c, c)
             h -= c
-            h *= g[:, :H]
+            h *= update
+            h *= 0.5
             h += c
-            np.matmul(h, v, out[t])
+            np.matmul(v, h, out[t])
         return out
 
     def sums(self, stretches: list[tuple[bytes, int, int]]) -> np.ndarray:
@@ -103,14 +104,14 @@ class ByteGru:
         place = np.where(held, lengths[:, None] - 1 - np.arange(longest)[None, :], 0)
         turned = np.take_along_axis(data, place, 1)
         s = self._logits("f", np.ascontiguousarray(data.T))
-        s += self._logits("b", np.ascontiguousarray(turned.T))[place.T, np.arange(n)[None, :]]
-        s += self.p["c"]
-        s -= s.max(2, keepdims=True)
+        s += self._logits("b", np.ascontiguousarray(turned.T))[place.T, :, np.arange(n)[None, :]].transpose(0, 2, 1)
+        s += self.p["c"][:, None]
+        s -= s.max(1, keepdims=True)
         np.exp(s, s)
-        s /= s.sum(2, keepdims=True)
+        s /= s.sum(1, keepdims=True)
         first, end = (np.array([x[i] for x in stretches]) for i in (1, 2))
         t = np.arange(longest)[:, None]
-        return np.einsum("tnl,tn->nl", s, ((t >= first) & (t < end)).astype(np.float32))
+        return np.einsum("tln,tn->nl", s, ((t >= first) & (t < end)).astype(np.float32))
 
     def gradient(self, data: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over all positions of ``data`` (rows, length) and its gradient, through time in both directions."""
@@ -184,7 +185,7 @@ def stretches(data: bytes) -> list[tuple[bytes, int, int]]:
     return out
 
 
-def means(net: ByteGru, texts: list[bytes], rows: int = 768) -> np.ndarray:
+def means(net: ByteGru, texts: list[bytes], rows: int = 1024) -> np.ndarray:
     """Mean probabilities over the bytes of each text (zeros where it has none)."""
     total = np.zeros((len(texts), len(net.languages)))
     parts = [(i, s) for i, x in enumerate(texts) for s in stretches(x)]
