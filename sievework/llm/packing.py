@@ -42,7 +42,7 @@ class WordIds:
     them as they are; everything else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remembered_bytes: int = 176 << 20):
+    def __init__(self, path: str, remembered_bytes: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

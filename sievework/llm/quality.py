@@ -47,7 +47,7 @@ class Fit:
 class Features:
     """Hashed features of texts; hashes of short words are remembered, within ``remembered_bytes``."""
 
-    def __init__(self, bits: int, remembered_bytes: int = 64 << 20, longest: int = 64):
+    def __init__(self, bits: int, remembered_bytes: int = 40 << 20, longest: int = 64):
         self.mask, self.remembered_bytes, self.longest = (1 << bits) - 1, remembered_bytes, longest
         self.known: dict[bytes, int] = {}
         self.bytes = 0

@@ -39,7 +39,7 @@ class PieceCounter:
     more text could change. A part that is longer itself is encoded whole.
     """
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 20, remembered_bytes: int = 80 << 20, longest: int = 1 << 14):
+    def __init__(self, path: str, batch_bytes: int = 1 << 20, remembered_bytes: int = 48 << 20, longest: int = 1 << 14):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
