@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .blobs import BLOB_SCHEMA, pack, rows_of_blobs, slices, starts, unpack
-from .common import buckets, drop, stored
+from .common import buckets as bucket_count
+from .common import drop, marked, stored
 from .components import connected_components
 
 SHINGLE = 5
@@ -54,6 +55,27 @@ def shingles(text: str | None) -> list[bytes]:
     return [joined[a:b] for a, b in zip(begins[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
 
 
+class WordHashes(dict):
+    """Hashes of words, kept for one block of documents."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def hashed_set(text: str | None, known: WordHashes) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles, mixed from those of their words."""
+    words = text.encode().lower().split() if text else []
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = len(w) - SHINGLE + 1
+    if n <= 1:
+        return _mix((w * _FACTORS[: len(w)]).sum(keepdims=True)) if words else w
+    return np.unique(_mix(sum(w[i : i + n] * f for i, f in enumerate(_FACTORS))))
+
+
 @lru_cache(maxsize=None)
 def band(size: int) -> tuple[int, int, int]:
     """(number, lowest, highest size) of the band that ``size`` is in."""
@@ -162,15 +184,19 @@ def _groups(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, slack: np.ndarr
 
 
 def _pairs(order: np.ndarray, first: np.ndarray, many: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of each group's smallest id with the others, and how many groups and how much slack (16 bits each) they have."""
+    """Distinct pairs of each group's smallest id with the others: how many groups, and how much slack (16 bits each), they have.
+
+    Pairs whose sizes are too far apart to be linked have no groups.
+    """
     a, b = order[first[many]], order[many]
-    use = (ids[a] != ids[b]) & ~_apart(sizes[a], sizes[b])
+    use = ids[a] != ids[b]
     a, b = a[use], b[use]
     slack = np.clip(np.maximum(tag[a], tag[b]) >> 6, 0, 0xFFFF)
+    alike = ~_apart(sizes[a], sizes[b])
     o = np.lexsort((slack, ids[b], ids[a]))
-    a, b, slack = ids[a][o], ids[b][o], slack[o]
+    a, b, slack, alike = ids[a][o], ids[b][o], slack[o], alike[o].astype(np.int64)
     new = np.flatnonzero(starts(a, b)) if len(a) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(a)))
+    count = np.add.reduceat(alike, new) if len(a) else alike
     return a[new], b[new], np.minimum(count, 0xFFFF) << 16 | slack[new]
 
 
@@ -182,8 +208,6 @@ def _even(kind: int, spread: np.ndarray, buckets: int, *columns: np.ndarray) ->
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    hash_ = xxhash.xxh3_64_intdigest
-
     def flush(ids: list[int | None], sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
         known = np.array([i is not None for i in ids])
@@ -216,16 +240,17 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
                 d, s, slack = signatures(doc[pick], h[pick], sizes, lo, hi, number)
                 found.append((d, s, slack * 64 + min(number, 63)))
         d, sig, tag = (np.concatenate(x) for x in zip(*found))
+        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        sig = bucket << 32 | (sig >> np.uint64(32)).astype(np.int64)  # enough within a bucket, whose size is bounded
         order, group, head, many = _groups(sig, id_[d], sizes[d], tag)
         pairs = _pairs(order, head, many, id_[d], sizes[d], tag)
         rows += _even(PAIR, np.arange(len(pairs[0])), buckets, *pairs)
         m = order[many]
-        rows += _even(MEMBER, np.arange(len(m)), buckets, sig[m].astype(np.int64), id_[d[m]], tag[m].astype(np.int64))
+        rows += _even(MEMBER, np.arange(len(m)), buckets, sig[m], id_[d[m]], tag[m].astype(np.int64), id_[d[order[head[many]]]])
         one = order[np.unique(head)]
-        d, sig, tag = d[one], sig[one], tag[one]
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        d, sig, tag, bucket = d[one], sig[one], tag[one], bucket[one]
         order = np.argsort(bucket, kind="stable")
-        sig, entry = sig[order], ((d << 32) + (tag + 128))[order]
+        sig, entry = sig[order].astype(np.uint32), ((d << 32) + (tag + 128))[order]
         for b, s in slices(bucket[order]):
             named, at = np.unique(entry[s], return_inverse=True)
             e, t = named >> 32, (named & 0xFFFFFFFF) - 128
@@ -234,48 +259,50 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
 
     ids: list[int | None] = []
     sets: list[np.ndarray] = []
-    size = 0
+    known, size = WordHashes(), 0
     for batch in batches:
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py()
             ids.append(id_)
-            sets.append(np.unique(np.fromiter(map(hash_, shingles(text)), np.uint64)))
+            sets.append(hashed_set(text, known))
             size += len(text or "")
             if size >= block_bytes or len(ids) >= 20_000:
                 yield flush(ids, sets)
-                ids, sets, size = [], [], 0
+                ids, sets, known, size = [], [], WordHashes(), 0
     if ids:
         yield flush(ids, sets)
 
 
-_ROWS = "kind int, a long, b long, tag long"
+_ROWS = "kind int, a long, b long, tag long, head long"
 
 
-def _row_batches(kind: int, a: np.ndarray, b: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(a), 100_000):
-        s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[s]), kind, np.int32)), *(pa.array(np.ascontiguousarray(x[s]).astype(np.int64)) for x in (a, b, tag))], names=["kind", "a", "b", "tag"])
+def _row_batches(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    columns = (*columns, np.zeros(len(columns[0]), np.int64))[:4]
+    for i in range(0, len(columns[0]), 100_000):
+        part = [np.ascontiguousarray(x[i : i + 100_000]).astype(np.int64) for x in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *map(pa.array, part)], names=["kind", "a", "b", "tag", "head"])
 
 
 def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of one bucket (its number of records is bounded by how many buckets there are) and rows on their way."""
     parts = []
     for batch in batches:
-        for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             data = data.as_py()
             if kind:
-                yield from _row_batches(kind, *unpack(data, "<i8", "<i8", "<i8"))
+                yield from _row_batches(kind, *unpack(data, *["<i8"] * (4 if kind == MEMBER else 3)))
             else:
-                ids, sizes, tag, local, sig = unpack(data, "<i8", "<i4", "<i4", "<u2", "<u8")
-                parts.append((ids[local], sizes[local], sig, tag[local]))
+                ids, sizes, tag, local, sig = unpack(data, "<i8", "<i4", "<i4", "<u2", "<u4")
+                parts.append((ids[local], sizes[local], bucket << 32 | sig.astype(np.int64), tag[local]))
     if parts:
         ids, sizes, sig, tag = (np.concatenate(x) for x in zip(*parts))
         order, _, first, many = _groups(sig, ids, sizes, tag)
         yield from _row_batches(PAIR, *_pairs(order, first, many, ids, sizes, tag.astype(np.int64)))
         m = order[many]
-        yield from _row_batches(MEMBER, sig[m].astype(np.int64), ids[m], tag[m])
+        yield from _row_batches(MEMBER, sig[m], ids[m], tag[m], ids[order[first[many]]])
 
 
-_COMPARED = "hub long, id long, key long, n int, linked boolean, x array<long>"
+_COMPARED = "hub long, id long, c long, key long, n int, linked boolean, x array<long>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch], delta: bool, batch_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -283,17 +310,17 @@ def _compare(batches: Iterator[pa.RecordBatch], delta: bool, batch_bytes: int =
 
     x: hashes of the shingles in which a text differs from the hub's first text.
     """
-    out: list[tuple[int, int, int, int, bool, np.ndarray | None]] = []
+    out: list[tuple[int, int, int | None, int, int, bool, np.ndarray | None]] = []
     at, last, sets, size = None, None, [], 0
 
     def rows() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [()] * 6
+        columns = list(zip(*out)) or [()] * 7
         out.clear()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["hub", "id", "key", "n", "linked", "x"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["hub", "id", "c", "key", "n", "linked", "x"])
 
     for batch in batches:
-        for hub, part, id_, key, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+        for hub, part, id_, c, key, text in zip(*(x.to_pylist() for x in batch.columns[:5]), batch.column(5)):
             if last == (last := (hub, part, id_, key)):
                 continue  # a repeated row
             mine = frozenset(shingles(text.as_py()))
@@ -305,7 +332,7 @@ def _compare(batches: Iterator[pa.RecordBatch], delta: bool, batch_bytes: int =
             shared = [(len(mine & s), len(s)) for s in sets]
             linked = any(k and 100 * k >= 80 * (len(mine) + n - k) for k, n in shared)
             x = np.fromiter(map(xxhash.xxh3_64_intdigest, mine ^ sets[0]), np.uint64).view(np.int64) if delta else None
-            out.append((hub, id_, key, len(mine), linked, x))
+            out.append((hub, id_, c, key, len(mine), linked, x))
             size += 64 + (x.nbytes if delta else 0)
             if size >= batch_bytes:
                 yield rows()
@@ -314,17 +341,19 @@ def _compare(batches: Iterator[pa.RecordBatch], delta: bool, batch_bytes: int =
 
 
 def _against_hubs(pairs: DataFrame, docs: DataFrame, n: int, delta: bool = False, part_size: int = 256) -> DataFrame:
-    """``pairs`` (hub, id) with the texts compared: columns as _COMPARED; one row per text of the id.
+    """``pairs`` (hub, id, and c, which is passed on) with the texts compared: columns as _COMPARED; one row per text of the id.
 
     A hub's pairs are dealt in parts of about ``part_size``, and its text goes once to each.
     """
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / part_size).alias("parts"))
-    dealt = stored(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id"), "dealt")
+    c = F.col("c") if "c" in pairs.columns else F.lit(None).cast("long").alias("c")
+    dealt = stored(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", c), "dealt")
     named = dealt.select("id").union(dealt.select("hub")).distinct()
     texts = _with_ids(docs.where("text is not null"), named)
     hubs = dealt.select("hub", "part").distinct().join(texts.withColumnRenamed("id", "hub"), "hub")
-    both = dealt.join(texts, "id").select("hub", "part", "id", "text").unionByName(hubs.select("hub", "part", F.lit(None).cast("long").alias("id"), "text"))
-    rows = both.select("hub", "part", "id", F.xxhash64("text").alias("key"), "text")
+    none = F.lit(None).cast("long")
+    both = dealt.join(texts, "id").select("hub", "part", "id", "c", "text").unionByName(hubs.select("hub", "part", none.alias("id"), none.alias("c"), "text"))
+    rows = both.select("hub", "part", "id", "c", F.xxhash64("text").alias("key"), "text")
     placed = rows.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("id"), "key")
     found = stored(placed.mapInArrow(lambda b: _compare(b, delta), _COMPARED), "compared")
     drop(dealt)
@@ -335,15 +364,30 @@ def _links(compared: DataFrame) -> DataFrame:
     return compared.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
+def _open_members(members: DataFrame, met: DataFrame, component: DataFrame) -> DataFrame:
+    """Members (sig, id, tag) of all groups in several components, and of a few others.
+
+    In such a group some member's component is not that of its head, so their pair is in ``met``. Bitmaps of these pairs, and of the
+    groups that they show, drop nearly all other members before a shuffle.
+    """
+    of = lambda end: component.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    placed = met.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = stored(placed.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.xxhash64("a", "b").alias("pair")), "apart")
+    seen = stored(marked(members, F.xxhash64("head", "id"), apart).where("__near").select("sig").distinct(), "open-groups")
+    found = stored(marked(members, F.col("sig"), seen).where("__near").select("sig", "id", "tag"), "open-members")
+    drop(apart, seen)
+    return found
+
+
 def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
     """Members of groups in several components, of sets with too few settled groups to have met all partners.
 
     Columns: sig, id, tag, c (component), weight: how large the set's groups are in all, n: how many
     it has.
     """
-    placed = stored(members.join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c")), "members")
+    placed = stored(members.distinct().join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c")), "members")
     open_ = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 <> c1").select("sig", "g")
-    rows = placed.join(open_, "sig").distinct()
+    rows = placed.join(open_, "sig")
     needy = rows.groupBy("id", "tag").agg(F.count("*").alias("n"), F.sum("g").alias("weight")).where(F.col("n") > F.shiftright("tag", 6))
     found = stored(rows.join(needy, ["id", "tag"]).select("sig", "id", "tag", "c", "weight", "n"), "unsettled")
     drop(placed)
@@ -359,20 +403,20 @@ def _starred(left: DataFrame, others: int = 2) -> DataFrame:
 
 
 def _clusters(left: DataFrame) -> DataFrame:
-    """(hub, id): each set with the weightiest members of its unsettled groups, and each of those with itself.
+    """(hub, id, c): each set with the weightiest members of its unsettled groups, and each of those with itself.
 
     Two linked sets share more unsettled groups than either's slack. A set may leave out hubs that stand for half
     its slack at most, so some group that both share puts both with the same hub.
     """
-    hubs = left.groupBy("sig").agg(F.max_by("id", F.struct("weight", "id")).alias("hub"))
-    groups = left.join(hubs, "sig").groupBy("id", "tag", "n", "hub").agg(F.count("*").alias("k"))
+    hubs = left.groupBy("sig").agg(F.max(F.struct("weight", F.col("id").alias("hub"), F.col("c").alias("of_hub"))).alias("h")).select("sig", "h.hub", "h.of_hub")
+    groups = left.join(hubs, "sig").groupBy("id", "tag", "n", "c", "hub").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("id", "tag").orderBy(F.desc("k"), "hub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slack = F.greatest(F.shiftright("tag", 6), F.lit(0))
-    near = groups.withColumn("before", before).where(2 * (F.col("n") - F.col("before")) > slack).select("hub", "id")
-    return near.union(hubs.select("hub", F.col("hub").alias("id"))).distinct()
+    near = groups.withColumn("before", before).where(2 * (F.col("n") - F.col("before")) > slack).select("hub", "id", "c")
+    return near.union(hubs.select("hub", F.col("hub").alias("id"), F.col("of_hub").alias("c"))).distinct()
 
 
-def _near_hubs(compared: DataFrame, component: DataFrame) -> DataFrame:
+def _near_hubs(compared: DataFrame) -> DataFrame:
     """Pairs (hub, id) that may be linked across components, from how each set differs from a common hub.
 
     Sets of n and m elements that differ from the hub in x and y elements are linked if these differences
@@ -382,12 +426,12 @@ def _near_hubs(compared: DataFrame, component: DataFrame) -> DataFrame:
     (low) must share more of its own, so fewer of its elements are looked at. Elements that lie in one
     component only are the rarest of all; they stand first and meet nobody.
     """
-    placed = compared.join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).withColumn("d", F.size("x")).withColumn("e", 9 * F.size("x") - F.col("n"))
+    placed = compared.withColumn("d", F.size("x")).withColumn("e", 9 * F.size("x") - F.col("n"))
     members = placed.select("hub", "id", "c", "e")
     least = members.groupBy("hub").agg(F.min(F.struct("e", "id", "c")).alias("best"))
     apart = members.join(least, "hub").where("c <> best.c")
     sure = apart.where("e + best.e <= 0").select(F.col("best.id").alias("hub"), "id")
-    bounds = least.join(apart.groupBy("hub").agg(F.min("e").alias("second")), "hub")
+    bounds = stored(least.join(apart.groupBy("hub").agg(F.min("e").alias("second")), "hub"), "bounds")  # so that a large hub's sets are split where they meet it
     other = F.when(F.col("c") == F.col("best.c"), F.col("second")).otherwise(F.col("best.e"))
     shared = lambda e: F.greatest(F.lit(1), F.ceil((F.col("e") + e) / 18))
     sized = placed.join(bounds, "hub").withColumn("low", F.col("d") - shared(F.greatest("e", other)) + 1).withColumn("high", F.col("d") - shared(other) + 1)
@@ -403,22 +447,14 @@ def _near_hubs(compared: DataFrame, component: DataFrame) -> DataFrame:
     alike = 5 * F.least("i.n", "j.n") >= 4 * F.greatest("i.n", "j.n")
     pairs = one.join(two, ["hub", "h"]).where((F.col("i.c") != F.col("j.c")) & first & alike & (18 * most >= F.col("i.e") + F.col("j.e")))
     found = stored(pairs.select(F.least("i.id", "j.id").alias("hub"), F.greatest("i.id", "j.id").alias("id")).union(sure).distinct(), "pairs")
-    drop(heads)
+    drop(heads, bounds)
     return found
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, most_bits: int = 25) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (distinct).
-
-    A bitmap of hashed ids (4 MB at most) drops nearly all others before any text is shuffled; where
-    it is too small for that, the join alone decides.
-    """
-    bits = min(most_bits, max(16, ids.count().bit_length() + 5))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    words = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("marks"))
-    near = docs.withColumn("place", place).withColumn("word", F.shiftright("place", 6)).join(F.broadcast(words), "word").where(F.col("marks").bitwiseAND(bit) != 0)
-    return near.select(*docs.columns).join(ids, "id")  # a semi join would be pushed below the bitmap
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids`` (distinct); nearly all others are dropped before any text is shuffled."""
+    near = marked(docs, F.col("id"), ids).where("__near").select(*docs.columns)
+    return near.join(ids, "id")  # a semi join would be pushed below the bitmap
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
@@ -427,20 +463,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents link when the sets of their five-word shingles (ASCII letters lower-cased) have a
     Jaccard similarity of 0.8 or more. Null and empty texts have no shingles and link with nothing.
     Rows that share an id are one document: links of any of its texts count. A null id links
-    with nothing and has a null component. Other columns are ignored; an empty table
+    with nothing and has a null component. Ids must be integers, or text that casts to them. Other columns are ignored; an empty table
     gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = buckets(docs)
+    n = bucket_count(docs)
     dealt = docs.mapInArrow(lambda b: _signature_rows(b, n, block_bytes), BLOB_SCHEMA)
     rows = stored(dealt.repartitionById(n, F.col("bucket")).mapInArrow(_group_rows, _ROWS), "groups")
     kind = lambda k: rows.where(F.col("kind") == k)
-    met = kind(PAIR).groupBy("a", "b").agg(F.sum(F.shiftright("tag", 16)).alias("groups"), F.min(F.col("tag").bitwiseAND(0xFFFF)).alias("slack"))
-    pairs = stored(met.where("2 * groups > slack").select(F.col("a").alias("hub"), F.col("b").alias("id")), "pairs")  # the others are left to the later rounds
+    met = stored(kind(PAIR).groupBy("a", "b").agg(F.sum(F.shiftright("tag", 16)).alias("groups"), F.min(F.col("tag").bitwiseAND(0xFFFF)).alias("slack")), "met")
+    pairs = met.where("2 * groups > slack").select(F.col("a").alias("hub"), F.col("b").alias("id"))  # the others are left to the later rounds
     links = _against_hubs(pairs, docs, n)
     component = connected_components(_links(links).unionByName(kind(EQUAL).select("a", "b")))
-    left = _unsettled(kind(MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("id"), "tag"), component)
-    done = [pairs, links]
+    members = _open_members(kind(MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("id"), "tag", "head"), met, component)
+    left = _unsettled(members, component)
+    drop(met, members)
+    done = [links]
 
     def joined(compared: DataFrame) -> DataFrame:
         found = connected_components(_links(compared).unionByName(component.select(F.col("component").alias("a"), F.col("id").alias("b"))))
@@ -456,7 +494,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not rest.isEmpty():
             clusters = stored(_clusters(rest), "clusters")
             near = _against_hubs(clusters, docs, n, delta=True)
-            last = _near_hubs(near, component)
+            last = _near_hubs(near)
             links = _against_hubs(last, docs, n)
             component = joined(near.select("hub", "id", "linked").unionByName(links.select("hub", "id", "linked")))
             done += [clusters, near, last, links]
