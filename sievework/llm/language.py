@@ -214,7 +214,8 @@ def learn(df: DataFrame, t: Training = Training(), id_col: str = "doc_id", text_
     if not n:
         return None
     draw = F.pmod(F.xxhash64("id", F.lit(t.seed)), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(counts, "lang").where(draw * F.col("n") * n < t.rows).select("id", "lang", "text").collect()
+    few = F.broadcast(counts) if n <= 10_000 else counts  # else a language's texts would meet in one task
+    sample = rows.join(few, "lang").where(draw * F.col("n") * n < t.rows).select("id", "lang", "text").collect()
     sample = sorted((r for r in sample if r.text), key=lambda r: (r.lang, str(r.id), r.text))
     languages = sorted({r.lang for r in sample})
     if not languages:
