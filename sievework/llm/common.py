@@ -16,6 +16,11 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def column(name: str) -> Column:
+    """The top-level column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is tuned for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
