@@ -80,3 +80,55 @@ fits AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, len
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM page LEFT JOIN fits USING (page_id) LEFT JOIN blocked USING (host)
 """
+
+FILTER_AUDIT = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+mark AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+fail AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END AS a, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 1 ELSE 0 END AS b,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 1 ELSE 0 END AS c, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 1 ELSE 0 END AS d,
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 1 ELSE 0 END AS e
+  FROM doc),
+code AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM fail LEFT JOIN mark USING (doc_id) GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT v.x || w.x || x.x || y.x || z.x AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM letter v, letter w, letter x, letter y, letter z WHERE (v.bit | w.bit | x.bit | y.bit | z.bit) = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+told AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM code, steps GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM told
+"""
+
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT lang, row_number() OVER () AS piece, x FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+word AS (SELECT lang, piece, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT lang, piece, regexp_extract_all(x, '[^\x20\x09]+') AS x FROM piece)),
+total AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
+run AS (SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4 FROM word WINDOW p AS (PARTITION BY piece ORDER BY i)),
+gram AS (
+  SELECT lang, [w1] AS g, count(*) AS f FROM run GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM run WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM run WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM run WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, g, f AS a, k, g[1 : k] AS g1, g[k + 1 : ] AS g2 FROM (SELECT *, unnest(range(1, len(g))) AS k FROM gram WHERE len(g) > 1)),
+scored AS (
+  SELECT c.lang, c.g, c.a, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f)::HUGEINT AS score, c.k
+  FROM cut c JOIN gram x ON x.lang = c.lang AND x.g = c.g1 JOIN gram y ON y.lang = c.lang AND y.g = c.g2),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+held AS (SELECT lang, f, n, g, unnest(range(1, len(g) - n + 2)) AS i FROM (SELECT *, unnest(range(2, len(g))) AS n FROM gram WHERE len(g) > 2)),
+longer AS (SELECT lang, g[i : i + n - 1] AS g, max(f) AS f FROM held GROUP BY ALL),
+left_over AS (SELECT b.* FROM best b LEFT JOIN longer USING (lang, g) WHERE longer.f IS NULL OR 100::HUGEINT * longer.f < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM left_over)
+SELECT lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

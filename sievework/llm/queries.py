@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles, quality
+from .audit import filter_audit
+from .collocations import collocations
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard import jaccard_components
@@ -91,6 +93,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -103,6 +113,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
+        "op11_collocations": op11_collocations,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -112,4 +124,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": oracles.SUBSTRINGS,
         "op5_url_reputation": oracles.URLS,
         "op10_line_dedup": oracles.LINES,
+        "op11_collocations": oracles.COLLOCATIONS,
+        "op12_filter_audit": oracles.FILTER_AUDIT,
     }
