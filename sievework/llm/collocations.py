@@ -260,17 +260,8 @@ def _first_rows(scored: DataFrame, most: int, order: list) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(whole).cast("long")).where(F.col("rank") <= most)
 
 
-def collocations(df: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, cover_percent: int = 80, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20) -> DataFrame:
-    """The first ``most`` phrases of each language by cohesion: lang, rank, phrase, a, l, r, n, score.
-
-    A phrase of 2 to ``longest`` words that occurs ``least`` times (a) or more is scored by 2000000 * a / (l + r), floored, where
-    l and r count its two parts at the cut that gives the least score, the earliest of equals. It is left out if a longer phrase that
-    holds it occurs in ``cover_percent`` of 100 of its places or more. n counts all words of the language. Ties go by a, largest first, then by the phrase's bytes.
-
-    Words are compared as they are but for A-Z. Null and empty texts have no words; a null language is ``und``. Repeated rows count each. Other columns
-    are ignored; an empty table gives no rows.
-    """
-    phrases, totals = frequent_phrases(df, longest, least, text_col, lang_col, block_bytes)
+def ranked_phrases(phrases: DataFrame, totals: DataFrame, most: int = 2000, cover_percent: int = 80) -> DataFrame:
+    """What ``collocations`` returns, from the tables of ``frequent_phrases``."""
     words = F.split("phrase", " ")
     candidates = phrases.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), words.alias("words"))
     cut = candidates.select("lang", "phrase", "a", "words", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
@@ -288,3 +279,16 @@ def collocations(df: DataFrame, longest: int = 4, least: int = 30, most: int = 2
     left = scored.join(covered, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (percent(100, "longer") < percent(cover_percent, "a")))
     ranked = _first_rows(left, most, [F.desc("score"), F.desc("a"), F.asc("phrase")])
     return ranked.join(F.broadcast(totals) if totals.count() <= 10_000 else totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def collocations(df: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, cover_percent: int = 80, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20) -> DataFrame:
+    """The first ``most`` phrases of each language by cohesion: lang, rank, phrase, a, l, r, n, score.
+
+    A phrase of 2 to ``longest`` words that occurs ``least`` times (a) or more is scored by 2000000 * a / (l + r), floored, where
+    l and r count its two parts at the cut that gives the least score, the earliest of equals. It is left out if a longer phrase that
+    holds it occurs in ``cover_percent`` of 100 of its places or more. n counts all words of the language. Ties go by a, largest first, then by the phrase's bytes.
+
+    Words are compared as they are but for A-Z. Null and empty texts have no words; a null language is ``und``. Repeated rows count each. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    return ranked_phrases(*frequent_phrases(df, longest, least, text_col, lang_col, block_bytes), most, cover_percent)

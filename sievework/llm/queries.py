@@ -13,6 +13,7 @@ from .audit import filter_audit
 from .collocations import collocations
 from .common import table
 from .decontaminate import decontaminate
+from .genetic import pack_evolved
 from .jaccard import jaccard_components
 from .language import held_out_languages
 from .lines import line_dedup
@@ -101,6 +102,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_evolved(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -115,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_collocations": op11_collocations,
         "op12_filter_audit": op12_filter_audit,
+        "op13_genetic_packing": op13_genetic_packing,
     }
 
 
