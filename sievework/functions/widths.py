@@ -27,11 +27,15 @@ def width_of_literal(text: Column) -> Column:
     return F.when(size != "", size.try_cast("long")).when(fill, F.lit(0).cast("long")).otherwise(bits)
 
 
+#: Operators by how their width follows from those of their sides.
+ONE_BIT = ("==", "!=", "===", "!==", "<", "<=", ">", ">=", "&&", "||")
+SHIFTS = ("<<", ">>", "<<<", ">>>")
+LARGER = ("+", "-", "*", "/", "%", "**", "&", "|", "^", "~^", "^~")
+
+
 def width_of_binary(operator: Column, left: Column, right: Column) -> Column:
     """Comparisons and logic give 1, shifts the left width, arithmetic and bit operators the larger of two known widths, others none."""
-    one = operator.isin("==", "!=", "===", "!==", "<", "<=", ">", ">=", "&&", "||")
-    shift = operator.isin("<<", ">>", "<<<", ">>>")
-    larger = operator.isin("+", "-", "*", "/", "%", "**", "&", "|", "^", "~^", "^~")
+    one, shift, larger = operator.isin(*ONE_BIT), operator.isin(*SHIFTS), operator.isin(*LARGER)
     return F.when(one, F.lit(1).cast("long")).when(shift, left).when(larger & left.isNotNull() & right.isNotNull(), F.greatest(left, right))
 
 

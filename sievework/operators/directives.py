@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import intervals
+
 
 def directive_lines(rows: DataFrame, prefix: str) -> DataFrame:
     """(path, line_no, name, rest) of lines whose first non-blank characters are ``prefix``."""
@@ -69,7 +71,12 @@ def suppressed_ranges(marks: DataFrame) -> DataFrame:
 
 
 def unsuppressed(diagnostics: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Diagnostics (path, line and more) that start in no range; those without a line always stay."""
-    d, r = diagnostics.alias("d"), ranges.alias("r")
-    inside = (F.col("d.path") == F.col("r.path")) & (F.col("d.line") >= F.col("r.start")) & (F.col("r.end").isNull() | (F.col("d.line") < F.col("r.end")))
-    return d.join(r, inside, "left_anti")
+    """Diagnostics (path, line and more) that start in no range (path, start, end); those without a line always stay."""
+    return intervals.outside(diagnostics, ranges.select("path", F.col("start").alias("first"), "end"), ["path"], "line")
+
+
+def not_silenced(diagnostics: DataFrame, silenced: DataFrame) -> DataFrame:
+    """Diagnostics (path, line, code and more) that no row of ``silenced`` (path, first, end, codes: null for all) holds with their code."""
+    by_code = silenced.where("codes is not null").select("path", "first", "end", F.explode("codes").alias("code"))
+    left = intervals.outside(diagnostics, silenced.where("codes is null").select("path", "first", "end"), ["path"], "line")
+    return intervals.outside(left, by_code, ["path", "code"], "line")

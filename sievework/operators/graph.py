@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..sources.tables import stored
+from ..functions.paths import normal_path
+from ..sources.tables import drop, stored
 
 
 def unit_graph(channels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -44,17 +46,29 @@ def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(root, node) for all nodes that each root reaches, itself included: rounds of joins from the roots outwards."""
-    out = edges.select("src", "dst").distinct()
-    seen = stored(roots.select("root", F.col("root").alias("node")).distinct(), "reachable")
-    front = seen
+def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000, merged_after: int = 16) -> DataFrame:
+    """(root, node) for all nodes that each root reaches, itself included: rounds of joins from the roots outwards.
+
+    What was found is one table, beside those of the last rounds, which are merged into it every ``merged_after`` rounds; tables that are not read any more are
+    deleted, so a long chain makes no long plan.
+    """
+    out = stored(edges.select("src", "dst").distinct(), "edges")
+    seen = [stored(roots.select("root", F.col("root").alias("node")).distinct(), "reachable")]
     for _ in range(most_rounds):
-        step = front.join(out, front.node == out.src).select("root", F.col("dst").alias("node")).distinct()
-        front = stored(step.join(seen, ["root", "node"], "left_anti"), "reachable")
+        known = seen[0]
+        for more in seen[1:]:
+            known = known.unionByName(more)
+        step = seen[-1].join(out, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        front = stored(step.join(known, ["root", "node"], "left_anti"), "reachable")
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+            found = stored(known, "reached")
+            drop(out, front, *seen)
+            return found
+        if len(seen) >= merged_after:
+            merged = stored(known, "reachable")
+            drop(*seen)
+            seen = [merged]
+        seen.append(front)
     raise RuntimeError("the search did not settle")
 
 
@@ -67,3 +81,65 @@ def degrees(edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree) of every node."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
     return ends.groupBy("e.node").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
+
+
+def normal_edges(edges: DataFrame, base: Column | None = None, fold_case: bool = False) -> DataFrame:
+    """Edges (kind, src, dst) between the normal forms of paths, without self loops and repeats; ``base`` is what relative paths begin at."""
+    ends = {c: normal_path(F.col(c), base, fold_case) for c in ("src", "dst")}
+    return edges.withColumns(ends).where("src <> dst").distinct()
+
+
+def first_visits(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(forest, node, key, way): where a depth-first walk of each forest comes to a node first; a stored table.
+
+    ``edges``: forest, src, dst, ord, distinct; ``roots``: forest, node, ord. Children are taken in order of ``ord``, a visited node is not walked again. The walk reaches
+    a node by the least of all paths without a cycle, orders compared one by one; so each round tries the edges from nodes whose path became less, and keeps
+    the least. ``key`` are the orders on that path, ``way`` the nodes before.
+    """
+    none = F.array().cast(f"array<{roots.schema['node'].dataType.simpleString()}>")
+    edges = stored(edges.select("forest", "src", "dst", F.col("ord").cast("long").alias("ord")), "edges")
+    best = front = stored(roots.groupBy("forest", "node").agg(F.min(F.struct(F.array(F.col("ord").cast("long")).alias("key"), none.alias("way"))).alias("x")), "visits")
+    for _ in range(most_rounds):
+        tried = front.join(edges.withColumnRenamed("src", "node"), ["forest", "node"]).where(~F.array_contains("x.way", F.col("dst")) & (F.col("dst") != F.col("node")))
+        reached = tried.groupBy("forest", F.col("dst").alias("node")).agg(F.min(F.struct(F.concat("x.key", F.array("ord")).alias("key"), F.concat("x.way", F.array("node")).alias("way"))).alias("x"))
+        old = best.withColumnRenamed("x", "old")
+        less = stored(reached.join(old, ["forest", "node"], "left").where(F.col("old").isNull() | (F.col("x") < F.col("old"))).select("forest", "node", "x"), "less")
+        if less.isEmpty():
+            drop(less)
+            break
+        merged = stored(best.join(less.select("forest", "node"), ["forest", "node"], "left_anti").unionByName(less), "visits")
+        drop(*{id(t): t for t in (best, front)}.values())
+        best, front = merged, less
+    else:
+        raise RuntimeError("the walk did not settle")
+    found = stored(best.select("forest", "node", "x.key", "x.way"), "first-visits")
+    drop(edges, *{id(t): t for t in (best, front)}.values())
+    return found
+
+
+def rendered_forest(edges: DataFrame, roots: DataFrame, captions: DataFrame) -> DataFrame:
+    """(forest, root_ord, line_no, line): each root's tree as text; a node is walked where it comes first, later places say ``(seen)``.
+
+    ``edges``: forest, kind, src, dst, ord (the place among all edges of src); ``roots``: forest, node, ord; ``captions``: forest, node, caption. A root
+    that an earlier tree holds is shown with its children again.
+    """
+    visits = first_visits(edges.select("forest", "src", "dst", "ord").distinct(), roots)
+    last = Window.partitionBy("forest", "src").orderBy(F.desc("ord"))
+    children = edges.withColumn("last", F.row_number().over(last) == 1)
+    again = roots.select("forest", "node", F.array(F.col("ord").cast("long")).alias("key")).join(visits.select("forest", "node", F.col("key").alias("first")), ["forest", "node"]).where("key <> first").select("forest", "node", "key")
+    shown = visits.select("forest", "node", "key").unionByName(again)
+    placed = shown.withColumnRenamed("node", "src").join(children, ["forest", "src"])
+    lines = placed.select("forest", F.concat("key", F.array(F.col("ord").cast("long"))).alias("key"), "kind", "dst", "last", F.col("key").alias("up"))
+    # the bars before a line: for each node between root and line, whether its siblings go on; these are the lines of the key's beginnings
+    beginnings = F.when(F.size("up") > 1, F.transform(F.sequence(F.lit(2), F.size("up")), lambda n: F.slice("up", F.lit(1), n)))
+    inner = lines.select("forest", F.explode(beginnings).alias("begin"), F.col("key").alias("of")).withColumnRenamed("begin", "key")
+    bars = inner.join(lines.select("forest", "key", "last"), ["forest", "key"]).groupBy("forest", F.col("of").alias("key")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.size("key").alias("n"), "last"))), lambda x: F.when(x["last"], "    ").otherwise("\u2502   ")), "").alias("bars"))
+    first = visits.select("forest", F.col("node").alias("dst"), F.col("key").alias("first"))
+    named = captions.select("forest", F.col("node").alias("dst"), "caption")
+    full = lines.join(bars, ["forest", "key"], "left").join(first, ["forest", "dst"]).join(named, ["forest", "dst"])
+    branch = F.when(F.col("last"), "\u2514\u2500 ").otherwise("\u251c\u2500 ")
+    text = F.concat(F.coalesce("bars", F.lit("")), branch, F.lit("["), "kind", F.lit("] "), "caption", F.when(F.col("key") == F.col("first"), "").otherwise("  (seen)"))
+    heads = roots.select("forest", F.array(F.col("ord").cast("long")).alias("key"), F.col("node").alias("dst")).join(named, ["forest", "dst"])
+    rows = full.select("forest", "key", text.alias("line")).unionByName(heads.select("forest", "key", F.concat(F.lit("\u25cf "), "caption", F.lit("  [root]")).alias("line")))
+    by = Window.partitionBy("forest", F.col("key")[0]).orderBy("key")
+    return rows.select("forest", F.col("key")[0].alias("root_ord"), (F.row_number().over(by) - 1).alias("line_no"), "line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,13 +60,26 @@ def break_points(rows: DataFrame, width: int) -> DataFrame:
     return found.where("break_at is not null").select("path", "line_no", "break_at")
 
 
-def wrapped(rows: DataFrame, width: int) -> DataFrame:
-    """(path, line_no, part_no, part): each line's words, in parts by the multiple of ``width`` characters that they end in."""
-    words = F.split(F.trim(F.regexp_replace("raw", r"[ \t]+", " ")), " ")
-    each = rows.select("path", "line_no", F.posexplode(words).alias("i", "w"))
-    end = F.sum(F.length("w") + 1).over(Window.partitionBy("path", "line_no").orderBy("i")) - 1
-    placed = each.withColumn("part_no", F.floor(end / width))
-    return placed.groupBy("path", "line_no", "part_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("part"))
+def wrapped(rows: DataFrame, width: int, marker: str = "//") -> DataFrame:
+    """(path, line_no, part_no, part): comment lines of more than ``width`` characters, filled anew word by word; other lines are their only part.
+
+    A comment line begins with ``marker`` after white space; its parts begin with the same white space, the marker and a space. A part is as long as fits into ``width``, but a word
+    that is longer by itself stays whole. Done within the row.
+    """
+    mark = re.escape(marker)
+    lead, text = F.regexp_extract("raw", rf"^(\s*){mark}", 1), F.regexp_replace("raw", rf"^\s*{mark}\s*|\s+$", "")
+    head = F.concat(lead, F.lit(marker + " "))
+    words = F.split(text, r"\s+")
+    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, word: Column) -> Column:
+        full = (state["now"] != "") & (F.length(state["now"]) + 1 + F.length(word) > width - F.length(lead) - len(marker) - 1)
+        now = F.when((state["now"] == "") | full, word).otherwise(F.concat(state["now"], F.lit(" "), word))
+        return F.struct(now.alias("now"), F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"))
+
+    filled = F.transform(F.aggregate(words, start, step, lambda x: F.concat(x["done"], F.array(x["now"]))), lambda part: F.concat(head, part))
+    wide = F.rlike("raw", F.lit(rf"^\s*{mark}")) & (F.length("raw") > width) & (text != "")
+    return rows.select("path", "line_no", F.posexplode(F.when(wide, filled).otherwise(F.array("raw"))).alias("part_no", "part"))
 
 
 def depth_of_lines(rows: DataFrame, opener: str, closer: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import intervals
+
 
 def source_lines(found: DataFrame, line_map: DataFrame) -> DataFrame:
     """Findings (path, line from 0) with ``source_line``: that of ``line_map`` (path, out_line from 0, src_line from 1), else their own."""
@@ -14,20 +16,19 @@ def source_lines(found: DataFrame, line_map: DataFrame) -> DataFrame:
 
 
 def macro_of_line(found: DataFrame, regions: DataFrame, order: str = "ord") -> DataFrame:
-    """Findings (path, line) with the macro of the first region (path, macro, first, end, ``order``) that holds their line, or null.
+    """Findings (path, line) with the macro of the region (path, macro, first, end, ``order``) that holds their line and has the smallest ``order``, or null."""
+    return intervals.best_at(found, regions, ["path"], "line", F.col(order), F.col("macro"), "macro")
+
 
-    A region is met only by findings of its own path; of several the smallest ``order`` counts.
-    """
-    at = found.select("path", "line").distinct()
-    f, r = at.alias("f"), regions.alias("r")
-    hit = f.join(r, (F.col("f.path") == F.col("r.path")) & (F.col("f.line") >= F.col("r.first")) & (F.col("f.line") < F.col("r.end")))
-    first = hit.groupBy("f.path", "f.line").agg(F.min_by("r.macro", f"r.{order}").alias("macro"))
-    return found.join(first, ["path", "line"], "left")
+def narrowest_region(found: DataFrame, regions: DataFrame) -> DataFrame:
+    """Places (path, line and more) with ``region``: the node of the narrowest region (path, node, first, end) that holds the line; of equal ones the last to begin, then the smallest node."""
+    order = F.struct(F.col("end") - F.col("first"), -F.col("first"), "node")
+    return intervals.best_at(found, regions, ["path"], "line", order, F.col("node"), "region")
 
 
 def covering_spans(spans: DataFrame, edits: DataFrame) -> DataFrame:
-    """(path, node, depth): spans (path, node, first, end) that cover an edit (path, edit_first, edit_end), the outermost at depth 0."""
-    over = spans.join(edits, "path").where("first <= edit_first and edit_end <= end")
+    """(path, edit_first, edit_end, node, depth): spans (path, node, first, end) that cover an edit (path, edit_first, edit_end: at least one place), the outermost at depth 0."""
+    over = intervals.holding(edits, spans, ["path"], "edit_first").where("edit_end <= end")
     by = Window.partitionBy("path", "edit_first", "edit_end").orderBy(F.desc(F.col("end") - F.col("first")), "first", "node")
     return over.select("path", "edit_first", "edit_end", "node", (F.row_number().over(by) - 1).alias("depth"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import intervals
+
 
 def repeats(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Every row after the first of its key (E001, LAB001, TAG001, TP004)."""
@@ -88,3 +90,15 @@ def uncovered_cases(arms: DataFrame, keys: Sequence[str]) -> DataFrame:
 def mixed_operators(assigned: DataFrame, keys: Sequence[str], operator: str = "op") -> DataFrame:
     """AW002: (block, signal) assigned with two operators."""
     return assigned.groupBy(*keys).agg(F.count_distinct(operator).alias("n_ops")).where("n_ops > 1")
+
+
+def visible(uses: DataFrame, declared: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Uses (path, name, line and more) with ``symbol`` and ``scope``: the declaration that holds there, or null.
+
+    ``scopes``: path, scope, first, end (nested; end is not within, null runs on); ``declared``: path, name, line, scope, symbol. A declaration holds from its line to the end of
+    its scope. Of those that hold the one of the innermost scope counts, of one scope the latest line, then the largest symbol.
+    """
+    spans = declared.join(scopes, ["path", "scope"]).select("path", "name", F.col("line").alias("first"), "end", F.col("first").alias("opened"), "scope", "symbol")
+    inner = F.struct(-F.col("opened"), F.coalesce(F.col("end"), F.lit(intervals.NO_END)), -F.col("first"), -F.col("symbol"))
+    found = intervals.best_at(uses, spans, ["path", "name"], "line", inner, F.struct("symbol", "scope"), "__held")
+    return found.select(*(F.col(f"`{c}`") for c in uses.columns), F.col("__held.symbol").alias("symbol"), F.col("__held.scope").alias("scope"))

@@ -187,15 +187,3 @@ def applied_edits(spark, sf):
 def split_lines(spark, sf):
     """Lines split where a pattern ends, as statements that share a line are."""
     return lines.split_after(_lines(spark, sf), r"\.", " ").select("path", "line_no", "part_no", F.md5("part").alias("digest"))
-
-
-@query(
-    "WITH RECURSIVE w AS (SELECT path, line_no, string_split(trim(regexp_replace(raw, '[ \\t]+', ' ', 'g')), ' ') AS x FROM (" + _LINES_SQL + ") WHERE length(raw) > 100), "
-    "u AS (SELECT path, line_no, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM w), "
-    "p AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY path, line_no ORDER BY i) AS upto FROM u) "
-    "SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST((upto - 1) // 80 AS BIGINT) AS part_no, md5(string_agg(word, ' ' ORDER BY i)) AS digest FROM p GROUP BY ALL"
-)
-def wrapped_comments(spark, sf):
-    """Words of long lines in parts by where they end, in steps of eighty characters."""
-    wide = _lines(spark, sf).where(F.length("raw") > 100)
-    return layout.wrapped(wide, 80).select("path", "line_no", "part_no", F.md5("part").alias("digest"))

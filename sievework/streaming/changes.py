@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
+from ..functions.text import TAIL, raw_line, without_tail
 from ..operators import lines
 
 
@@ -33,3 +39,78 @@ def edits_per_window(snapshots: DataFrame, window: str = "10 minutes", delay: st
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there, write it as Parquet, and stop; the checkpoint makes a second run go on from there."""
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+
+
+_HELD = "hashes array<bigint>, found array<struct<code:string,line_no:int,hash:bigint>>, seen timestamp"
+_CHANGES = "path string, ts timestamp, first int, old_end int, new_end int, came array<struct<code:string,line_no:int>>, gone array<struct<code:string,line_no:int>>"
+
+
+class _Snapshots(StatefulProcessor):
+    """Keeps, for each path, hashes of the last snapshot's lines and its findings."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", _HELD, self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts", "tie"], kind="stable")
+        out = []
+        old = self.held.get() if self.held.exists() else None
+        hashes, found, seen = (list(old[0]), [tuple(x) for x in old[1]], old[2]) if old else ([], [], None)
+        for ts, now, findings in zip(new["ts"], new["hashes"], new["found"]):
+            if seen is not None and ts < pd.Timestamp(seen):
+                continue  # late: the state is newer
+            now, marks = [int(x) for x in now], [(x["code"], int(x["line_no"]), int(now[x["line_no"]])) for x in findings]
+            seen = ts.to_pydatetime()
+            if now != hashes or marks != found:
+                out.append(_change(key[0], ts, hashes, now, found, marks))
+            hashes, found = now, marks
+        self.held.update((hashes, found, seen))
+        yield pd.DataFrame(out, columns=["path", "ts", "first", "old_end", "new_end", "came", "gone"])
+
+    def close(self) -> None:
+        pass
+
+
+def _change(path: str, ts: pd.Timestamp, old: list[int], new: list[int], found: list[tuple], marks: list[tuple]) -> tuple:
+    """The lines between the common head and tail, and the findings that one side has more often, by code and line text."""
+    n = min(len(old), len(new))
+    head = next((i for i in range(n) if old[i] != new[i]), n)
+    tail = next((i for i in range(n - head) if old[-1 - i] != new[-1 - i]), n - head)
+    spare = Counter((code, h) for code, _, h in found)
+    came = []
+    for code, line, h in marks:
+        if spare[code, h]:
+            spare[code, h] -= 1
+        else:
+            came.append({"code": code, "line_no": line})
+    spare = Counter((code, h) for code, _, h in marks)
+    gone = []
+    for code, line, h in found:
+        if spare[code, h]:
+            spare[code, h] -= 1
+        else:
+            gone.append({"code": code, "line_no": line})
+    return path, ts, head, len(old) - tail, len(new) - tail, came, gone
+
+
+def snapshot_changes(snapshots: DataFrame, most: int = 100, ttl_ms: int | None = None) -> DataFrame:
+    """(path, ts, first, old_end, new_end, came, gone) whenever a path's text differs from its last one: the damaged lines, and the style findings that came or went.
+
+    ``snapshots``: path, text, ts. The first snapshot of a path is all new. Within a batch a path's snapshots are taken by ts (equal ones by their text's hash); one that is older than the state
+    is left out. Only hashes of lines and findings are kept and cross a shuffle, never texts; a path without a snapshot for ``ttl_ms`` is forgotten. Null texts are empty texts.
+    """
+    text = F.coalesce("text", F.lit(""))
+    raw = F.transform(F.split(text, "\n", -1), raw_line)
+    size = lambda x: F.length(x)
+    checks = {
+        "ST001": lambda x: F.rlike(x, F.lit(TAIL)),
+        "ST002": lambda x: F.instr(without_tail(x), "\t") > 0,
+        "ST003": lambda x: size(x) > most if most else F.lit(False),
+    }
+    mark = lambda x, i: F.array_compact(F.array(*(F.when(test(x), F.struct(F.lit(code).alias("code"), i.alias("line_no"))) for code, test in checks.items())))
+    found = F.flatten(F.transform(raw, mark))
+    rows = snapshots.select("path", "ts", F.transform(raw, lambda x: F.xxhash64(x)).alias("hashes"), found.alias("found"), F.xxhash64(text).alias("tie"))
+    return rows.groupBy("path").transformWithStateInPandas(_Snapshots(ttl_ms), _CHANGES, "Append", "ProcessingTime")
