@@ -9,6 +9,7 @@ Files are reached through Arrow's file systems, so a path may be local, or a URI
 
 from __future__ import annotations
 
+import io
 import posixpath
 import uuid
 from collections.abc import Iterator, Sequence
@@ -57,7 +58,7 @@ class TextFilesReader(DataSourceReader):
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
         files, base = _opened(self.root)
         whole = posixpath.join(base, partition.path) if files.get_file_info(base).type == fs.FileType.Directory else base
-        with files.open_input_file(whole) as f:
+        with io.BufferedReader(files.open_input_file(whole), 1 << 16) as f:
             at = partition.first
             if at:  # the line that holds the byte before belongs to an earlier range
                 f.seek(at - 1)

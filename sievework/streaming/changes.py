@@ -8,8 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import TAIL, raw_line, without_tail
 from ..operators import lines
@@ -41,37 +41,32 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
 
 
-_HELD = "hashes array<bigint>, found array<struct<code:string,line_no:int,hash:bigint>>, seen timestamp"
+_HELD = "hashes array<bigint>, codes array<string>, lines array<int>, seen long"
 _CHANGES = "path string, ts timestamp, first int, old_end int, new_end int, came array<struct<code:string,line_no:int>>, gone array<struct<code:string,line_no:int>>"
 
 
-class _Snapshots(StatefulProcessor):
-    """Keeps, for each path, hashes of the last snapshot's lines and its findings."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", _HELD, self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "tie"], kind="stable")
-        out = []
-        old = self.held.get() if self.held.exists() else None
-        hashes, found, seen = (list(old[0]), [tuple(x) for x in old[1]], old[2]) if old else ([], [], None)
-        for ts, now, findings in zip(new["ts"], new["hashes"], new["found"]):
-            if seen is not None and ts < pd.Timestamp(seen):
-                continue  # late: the state is newer
-            now, marks = [int(x) for x in now], [(x["code"], int(x["line_no"]), int(now[x["line_no"]])) for x in findings]
-            seen = ts.to_pydatetime()
-            if now != hashes or marks != found:
-                out.append(_change(key[0], ts, hashes, now, found, marks))
-            hashes, found = now, marks
-        self.held.update((hashes, found, seen))
-        yield pd.DataFrame(out, columns=["path", "ts", "first", "old_end", "new_end", "came", "gone"])
-
-    def close(self) -> None:
-        pass
+def _compared(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None) -> Iterator[pd.DataFrame]:
+    """The changes of one path's snapshots against the state, which keeps hashes of the last one's lines, its findings and its time."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    new = pd.concat(list(batches)).sort_values(["at", "tie"], kind="stable")
+    hashes, codes, places, seen = state.get if state.exists else ([], [], [], None)
+    hashes = [int(x) for x in hashes]
+    found = [(c, int(i), hashes[i]) for c, i in zip(codes, places)]
+    out = []
+    for at, ts, now, codes, places in zip(new["at"], new["ts"], new["hashes"], new["codes"], new["lines"]):
+        if seen is not None and at < seen:
+            continue  # late: the state is newer
+        now = [int(x) for x in now]
+        marks = [(c, int(i), now[i]) for c, i in zip(codes, places)]
+        if now != hashes or marks != found:
+            out.append(_change(key[0], ts, hashes, now, found, marks))
+        hashes, found, seen = now, marks, int(at)
+    state.update((hashes, [c for c, _, _ in found], [i for _, i, _ in found], seen))
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
+    yield pd.DataFrame(out, columns=["path", "ts", "first", "old_end", "new_end", "came", "gone"])
 
 
 def _change(path: str, ts: pd.Timestamp, old: list[int], new: list[int], found: list[tuple], marks: list[tuple]) -> tuple:
@@ -112,5 +107,7 @@ def snapshot_changes(snapshots: DataFrame, most: int = 100, ttl_ms: int | None =
     }
     mark = lambda x, i: F.array_compact(F.array(*(F.when(test(x), F.struct(F.lit(code).alias("code"), i.alias("line_no"))) for code, test in checks.items())))
     found = F.flatten(F.transform(raw, mark))
-    rows = snapshots.select("path", "ts", F.transform(raw, lambda x: F.xxhash64(x)).alias("hashes"), found.alias("found"), F.xxhash64(text).alias("tie"))
-    return rows.groupBy("path").transformWithStateInPandas(_Snapshots(ttl_ms), _CHANGES, "Append", "ProcessingTime")
+    rows = snapshots.select("path", "ts", F.unix_micros("ts").alias("at"), F.transform(raw, lambda x: F.xxhash64(x)).alias("hashes"), found.alias("found"), F.xxhash64(text).alias("tie"))
+    rows = rows.select("path", "ts", "at", "hashes", "tie", F.col("found.code").alias("codes"), F.col("found.line_no").alias("lines"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("path").applyInPandasWithState(lambda key, batches, state: _compared(key, batches, state, ttl_ms), _CHANGES, _HELD, "append", timeout)
