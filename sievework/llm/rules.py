@@ -24,9 +24,9 @@ _SYMBOL = re.compile(r"[#*$%&|<>]")
 
 @dataclass(frozen=True)
 class Fences:
-    """Spreads from the median that are still kept, and the least distance per statistic."""
+    """How many spreads (of the group's middle half) from the median are still kept; and, only for groups whose middle half has no spread, the distance per statistic."""
 
-    spreads: float = 8.0
+    spreads: float = 10.0
     least_rows: int = 100
     word_length: float = 2.0
     symbols: float = 0.05
@@ -85,7 +85,7 @@ def _fenced(sketches: DataFrame, f: Fences, level: str) -> DataFrame:
     bounds = []
     for name, (_, _, low) in RATIOS.items():
         q = [F.kll_sketch_get_quantile_double(F.col(name), F.lit(x)) for x in (0.25, 0.5, 0.75)]
-        width = F.greatest(f.spreads * (q[2] - q[0]), F.lit(getattr(f, name)))
+        width = F.when(q[2] > q[0], f.spreads * (q[2] - q[0])).otherwise(F.lit(getattr(f, name)))
         bounds.append((q[1] + width).alias(f"{name}_most"))
         bounds.append(((q[1] - width) if low else F.lit(-1.0)).alias(f"{name}_least"))
     keys = [c for c in sketches.columns if c not in RATIOS and c != "n"]
