@@ -7,7 +7,7 @@ hold, at the same shift, equal anchors of 8 words that start at covered position
 1. Hash the anchors at covered positions and deal them by hash; those met twice are live.
 2. Extend: hash, in full, only windows around live anchors, and deal them by hash. The
    earliest place of each window stays; all others are later repeats.
-3. Bring the later places back to their documents and drop the words they cover.
+3. Bring the later places back to their documents and drop the words they cover. Only texts that may have such places cross a shuffle.
 
 A task first merges what its own documents share: one row per hash and block of text
 goes on, so a passage that a third of all documents hold makes no large group.
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .blobs import BLOB_SCHEMA, pack, rows_of_blobs, slices, starts, unpack
 from .common import buckets as bucket_count
+from .common import column, drop, marked, stored
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
-_LAST = (1 << 63) - 1
+#: Stands for a null id; the key tells it from a real one.
+_NULL = 0
 
 
 def _words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -70,8 +72,8 @@ class Block:
 
 def _by_document(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
     """Rows of kind 1: places, in the bucket of their document."""
-    mixed = (ids.astype(np.uint64) ^ (keys.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ keys.astype(np.uint64)
+    bucket = ((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return [(b, 1, pack(ids[o], keys[o], at[o])) for b, o in ((b, order[s]) for b, s in slices(bucket[order]))]
 
@@ -99,7 +101,7 @@ def _lists(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(keys[f]), places], names=["id", "key", "at"])
 
 
-_LISTS = "id long, key int, at array<int>"
+_LISTS = "id long, key long, at array<int>"
 
 
 def _joined(parts: list[list[np.ndarray]], *kinds: str) -> list[np.ndarray]:
@@ -115,18 +117,18 @@ def _found(rows: Iterator[pa.RecordBatch], buckets: int, pick: Callable[..., np.
             if kind:
                 out.append((bucket, 1, data))
             else:
-                ids, keys, local, *rest = unpack(data, "<i8", "<i4", "<u2", *kinds)
+                ids, keys, local, *rest = unpack(data, "<i8", "<i8", "<u2", *kinds)
                 records.append([ids[local], keys[local], *rest])
         yield rows_of_blobs(out)
-    ids, keys, at, *rest = _joined(records, "<i8", "<i4", *kinds)
-    chosen = pick(ids, at, *rest)
+    ids, keys, at, *rest = _joined(records, "<i8", "<i8", *kinds)
+    chosen = pick(ids, keys, at, *rest)
     yield rows_of_blobs(_by_document(ids[chosen], keys[chosen], at[chosen], buckets))
 
 
 def _gathered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The places of each document from rows of kind 1."""
-    parts = [unpack(data, "<i8", "<i4", "<u4") for batch in rows for data in batch.column(2).to_pylist()]
-    yield from _lists(*_joined(parts, "<i8", "<i4", "<u4"))
+    parts = [unpack(data, "<i8", "<i8", "<u4") for batch in rows for data in batch.column(2).to_pylist()]
+    yield from _lists(*_joined(parts, "<i8", "<i8", "<u4"))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
     hash_ = xxhash.xxh3_64_intdigest
 
     def flush(block: Block) -> pa.RecordBatch:
-        ids, keys = np.array(block.ids, np.int64), np.array(block.keys, np.int32)
+        ids, keys = np.array(block.ids, np.int64), np.array(block.keys, np.int64)
         doc, at, h = block.arrays()
         order = np.argsort(h, kind="stable")
         doc, at, h = doc[order], at[order], h[order]
@@ -166,7 +168,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
         yield flush(block)
 
 
-def _live(ids: np.ndarray, at: np.ndarray, high: np.ndarray, low: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _live(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, high: np.ndarray, low: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Anchors that are met twice, but for those whose block knows already."""
     h = (high.astype(np.uint64) << np.uint64(16)) | low
     order = np.argsort(h, kind="stable")
@@ -177,22 +179,23 @@ def _live(ids: np.ndarray, at: np.ndarray, high: np.ndarray, low: np.ndarray, kn
     return np.flatnonzero(live & (known == 0))
 
 
-def _later(ids: np.ndarray, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort order by hash and place, where a hash begins in it, and what comes later than the first place of its hash."""
-    order = np.lexsort((at, ids, g, h))
-    ids, at = ids[order], at[order]
+def _later(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort order by hash and place, where a hash begins in it, and what comes later than the first place of its hash; null ids come last."""
+    null = keys & 1
+    order = np.lexsort((at, ids, null, g, h))
+    ids, null, at = ids[order], null[order], at[order]
     new = starts(h[order], g[order])
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(ids) else np.zeros(0, np.int64)
-    return order, new, (ids != ids[first]) | (at != at[first])
+    return order, new, (ids != ids[first]) | (null != null[first]) | (at != at[first])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
 
     def flush(block: Block) -> pa.RecordBatch:
-        ids, keys = np.array(block.ids, np.int64), np.array(block.keys, np.int32)
+        ids, keys = np.array(block.ids, np.int64), np.array(block.keys, np.int64)
         doc, at, h, g = block.arrays()
-        order, new, later = _later(ids[doc], at, h, g)
+        order, new, later = _later(ids[doc], keys[doc], at, h, g)
         doc, at, h, g = doc[order], at[order], h[order], g[order]
         rows = _by_document(ids[doc[later]], keys[doc[later]], at[later], buckets)
         stay = ~later  # the first place, and rows that repeat it
@@ -217,8 +220,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int, b
         yield flush(block)
 
 
-def _repeats(ids: np.ndarray, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    order, _, later = _later(ids, at, h, g)
+def _repeats(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    order, _, later = _later(ids, keys, at, h, g)
     return order[later]
 
 
@@ -254,14 +257,12 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     """
     if window < PERIOD + 7:
         raise ValueError(f"windows have {PERIOD + 7} words at least")
-    n = bucket_count(df, text_col)
-    id_ = F.col(id_col).cast("long")
-    docs = df.select(
-        F.coalesce(id_, F.lit(_LAST)).alias("id"),
-        F.hash(F.col(text_col)).bitwiseAND(F.lit(-2)).bitwiseOR(id_.isNull().cast("int")).alias("key"),
-        F.col(text_col).alias("text"),
-    )
-    texts = docs.repartition(n, "id", "key")  # both joins read this one exchange
+    id_, text = column(id_col).cast("long"), column(text_col)
+    rows = df.select(id_.alias("raw"), text.alias("text"))
+    n = bucket_count(rows)
+    # a row's key: 63 bits of its text, and whether its id is null
+    null = F.col("raw").isNull().cast("long")
+    docs = rows.select(F.coalesce("raw", F.lit(_NULL)).alias("id"), F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(null).alias("key"), "text")
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartitionById(n, F.col("bucket"))
@@ -270,9 +271,16 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
         found = dealt(rows).mapInArrow(lambda b: _found(b, n, pick, *kinds), BLOB_SCHEMA)
         return dealt(found).mapInArrow(_gathered, _LISTS)
 
-    live = places(docs.mapInArrow(lambda b: _anchor_rows(b, window, n, block_bytes), BLOB_SCHEMA), _live, "<u4", "<u4", "<u2", "u1")
-    windows = texts.join(live, ["id", "key"]).mapInArrow(lambda b: _window_rows(b, window, n, block_bytes), BLOB_SCHEMA)
-    later = places(windows, _repeats, "<u4", "<u8", "<u4")
+    def near(known: DataFrame) -> DataFrame:
+        return marked(docs, F.xxhash64("id", "key"), known.select(F.xxhash64("id", "key").alias("k")).distinct())
+
+    live = stored(places(docs.mapInArrow(lambda b: _anchor_rows(b, window, n, block_bytes), BLOB_SCHEMA), _live, "<u4", "<u4", "<u2", "u1"), "live-anchors")
+    windows = near(live).where("__near").join(live, ["id", "key"]).select("id", "key", "text", "at").mapInArrow(lambda b: _window_rows(b, window, n, block_bytes), BLOB_SCHEMA)
+    later = stored(places(windows, _repeats, "<u4", "<u8", "<u4"), "later-windows")
+    drop(live)
     names = [id_col, "n_words", "n_removed", "kept", "removed"]
     schema = f"`{id_col}` long, n_words long, n_removed long, kept string, removed array<struct<first:int,end:int>>"
-    return texts.join(later, ["id", "key"], "left").mapInArrow(lambda b: _remove(b, window, names), schema)
+    placed = near(later)
+    changed = placed.where("__near").join(later, ["id", "key"], "left").select("id", "key", "text", "at")
+    whole = placed.where("not __near").select("id", "key", "text", F.lit(None).cast("array<int>").alias("at"))
+    return whole.unionByName(changed).mapInArrow(lambda b: _remove(b, window, names), schema)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import decontaminate, jaccard, language, lines, packing, quality, rules, substrings, tokens, urls
 from sievework.llm.queries import tokenizer_path
@@ -83,6 +84,40 @@ def test_substring_dedup(spark, rows):
         substrings.substring_dedup(frame(spark, rows), window=10)
 
 
+def test_substring_rows_of_one_id(spark):
+    """Texts that share an id, null or not, keep what is their own, even where short hashes of them collide; a null id comes after the largest and is not id 0."""
+    w, v = (" ".join(f"{c}{i}" for i in range(25)) for c in "wv")
+    for id_ in (None, 7):
+        rows = [(1, w), (id_, w + " x2313"), (id_, v + " y81814")]
+        same([(r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept)) for r in substrings.substring_dedup(frame(spark, rows)).collect()], brute.substring_dedup(rows))
+    rows = [(None, v), (0, v), ((1 << 63) - 1, v), (None, w), ((1 << 63) - 1, w), (0, "a " + v), (0, "b " + v)]
+    same([(r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept)) for r in substrings.substring_dedup(frame(spark, rows)).collect()], brute.substring_dedup(rows))
+
+
+CLASHES = "doc_id long, text string, `kept` string, `tail_probability` string, `__key` string, `a.b` int, `__text` string, `__near` int, `__word` int, `__place` int, `__marks` string, key string, c1 string, `rest` string, `__` int"
+
+
+def clashing(spark, rows):
+    """Rows of (doc_id, text) with columns that are named like those of steps, or oddly."""
+    return spark.createDataFrame([(i, t, "user", "odd", f"k{n}", n, "t", 1, 2, 3, "m", "key", "c", "r", n) for n, (i, t) in enumerate(rows)], CLASHES).repartition(3)
+
+
+def test_columns_of_the_user_pass(spark, rows):
+    df = clashing(spark, rows)
+    rest = [c for c in df.columns if c != "text"]
+    as_rows = lambda d, names: sorted((tuple(r[n] for n in names) for r in d.collect()), key=str)
+    counted = tokens.token_counts(df, tokenizer_path("byte_bpe_50k.json"))
+    assert counted.columns == [*rest, "n_bytes", "n_tokens", "over_limit"] and as_rows(counted, rest) == as_rows(df, rest)
+    assert as_rows(lines.line_dedup(df), rest) == as_rows(df, rest)
+    model = quality.Ordinal(np.zeros(1 << quality.Fit().bits, np.float32), np.array([-1.0, 1.0]))
+    scored = quality.score(df, model, wanted=2)
+    own = [c for c in df.columns if c not in ("kept", "tail_probability")]
+    assert scored.columns == [*own, "expected_grade", "tail_probability", "kept"] and as_rows(scored, own) == as_rows(df, own)
+    net = language.held_out_languages(df.withColumn("lang", F.lit("en")))
+    assert net.count() == len(rows)
+    assert jaccard.jaccard_components(df).count() == substrings.substring_dedup(df).count() == len(rows)
+
+
 def test_every_shift_meets_the_cover():
     cover = set(substrings.COVER)
     for d in range(substrings.PERIOD):
