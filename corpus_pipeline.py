@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import quality
-from sievework.llm.common import drop, stored, table, without
+from sievework.llm.common import column, drop, keyed, named, stored, table, without
 from sievework.llm.decontaminate import decontaminate
 from sievework.llm.jaccard import jaccard_components
 from sievework.llm.lines import line_dedup
@@ -32,7 +32,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     ratings = quality.grades_of_labels(table(spark, sf_dir, "labels"))
     model = quality.learn(docs, ratings, n_grades=3)
-    return quality.score(docs, model, wanted=2).where("kept").select(*docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    kept = quality.score(plain, model, wanted=2, text_col=f"c{docs.columns.index('text')}").where("kept")
+    return named(kept, docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` is counted anew; other columns pass unchanged. An empty table gives no rows.
     """
     left = line_dedup(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return left.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else column(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,19 +55,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of rows equal in id and text one stays, whatever their other columns hold. Texts without words
     (null, empty, blank) link with nothing and stay, repeats included. Columns pass unchanged; an empty table gives no rows.
     """
-    keyed = docs.withColumn("__key", row_key())
-    found = jaccard_components(keyed.select("__key", "text"), id_col="__key").where("n_shingles > 0")
-    named = keyed.groupBy("__key").agg(F.first("doc_id").alias("id"), F.count("*").alias("rows"))
-    groups = stored(found.select("__key", "component_id").distinct().join(named, "__key"), "groups")
-    place = F.struct(F.col("id").isNull(), "id", "__key")
+    rows = docs.select("doc_id", "text", row_key().alias("key"))
+    found = jaccard_components(rows, id_col="key").where("n_shingles > 0")
+    each = rows.groupBy("key").agg(F.first("doc_id").alias("id"), F.count("*").alias("rows"))
+    groups = stored(found.select("key", "component_id").distinct().join(each, "key"), "groups")
+    place = F.struct(F.col("id").isNull(), "id", "key")
     best = groups.groupBy("component_id").agg(F.min(place).alias("best"))
-    later = groups.join(best, "component_id").where(place > F.col("best")).select("__key")
-    repeated = groups.where("rows > 1").select("__key")
+    later = groups.join(best, "component_id").where(place > F.col("best")).select("key")
+    repeated = groups.where("rows > 1").select("key")
     left = without(docs, row_key(), stored(later.union(repeated).distinct(), "later"))
-    kept = stored(repeated.join(later, "__key", "left_anti"), "repeated")
-    ones = keyed.join(kept, "__key").dropDuplicates(["__key"])
+    kept = stored(repeated.join(later, "key", "left_anti"), "repeated")
+    ones = named(keyed(docs, row_key()).join(kept, "key").dropDuplicates(["key"]), docs.columns)
     drop(groups)
-    return left.unionByName(ones.select(*docs.columns)).select(*docs.columns)
+    return left.unionByName(ones)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +77,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     treated alike. Null and empty texts hold nothing and stay. Columns pass unchanged; an empty table gives no rows, and
     without benchmark items all rows stay.
     """
-    found = decontaminate(docs.select(row_key().alias("__key"), "text"), table(spark, sf_dir, "benchmark"), id_col="__key")
-    return without(docs, row_key(), stored(found.where("contaminated").select("__key").distinct(), "contaminated")).select(*docs.columns)
+    found = decontaminate(docs.select(row_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    return without(docs, row_key(), stored(found.where("contaminated").select("key").distinct(), "contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,12 +46,21 @@ def marked(docs: DataFrame, key: Column, keys: DataFrame, most_bits: int = 25) -
     return placed.withColumn("__near", F.coalesce(F.col("__marks").bitwiseAND(bit("__place")) != 0, F.lit(False))).drop("__place", "__word", "__marks")
 
 
+def keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """``docs`` under the names c0, c1 and so on, with ``key``: no name of theirs can clash with one of a step."""
+    return docs.select(*map(column, docs.columns), key).toDF(*(f"c{i}" for i in range(len(docs.columns))), "key")
+
+
+def named(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns c0, c1 and so on under ``names``."""
+    return rows.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+
+
 def without(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``key``, a long that is never null, is not in ``keys`` (distinct)."""
-    both = marked(docs.withColumn("__key", key), F.col("__key"), keys)
-    gone = keys.select(F.col(keys.columns[0]).alias("__key"))
-    left = both.where("__near").join(gone, "__key", "left_anti")
-    return both.where("not __near").unionByName(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+    both = marked(keyed(docs, key), F.col("key"), keys)
+    left = both.where("__near").join(keys.select(F.col(keys.columns[0]).alias("key")), "key", "left_anti")
+    return named(both.where("not __near").unionByName(left), docs.columns)
 
 
 def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FOLD, drop, marked, stored
+from .common import FOLD, column, drop, marked, stored
 
 
 def words(text: str | None) -> list[bytes]:
@@ -161,7 +161,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, rarest:
     are left out. Rows that share an id and a text give equal rows; a null id is
     a document like others; ids must be integers, or text that casts to them. Without documents there are no rows, without items no hits.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    docs = df.select(column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text"))
     items = stored(phrases(benchmark, item_col, item_text_col), "phrases")
     terms = items.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()
     counts = stored(term_counts(docs, terms, block_bytes), "terms")

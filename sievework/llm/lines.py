@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, marked, stored
+from .common import column, drop, marked, stored
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -57,8 +57,8 @@ def line_dedup(df: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text
     w = least_lines
     rest = [c for c in df.columns if c != text_col]
     docs = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("__")).alias("rest"),
-        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.split(F.col(text_col), "\n", -1).alias("lines"),
+        F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("rest"),
+        column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("key"), F.split(column(text_col), "\n", -1).alias("lines"),
     )
     numbered = F.filter(
         F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(_WORD), F.xxhash64(x)).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))),
@@ -88,6 +88,6 @@ def line_dedup(df: DataFrame, least_lines: int = 2, id_col: str = "doc_id", text
     )
     kept = F.flatten(F.transform(F.filter(between, lambda x: x["b"] > x["a"]), lambda x: F.slice(F.col("lines"), x["a"] + 1, x["b"] - x["a"])))
     left = joined.select("rest", F.when(F.col("lines").isNotNull(), F.size("lines")).otherwise(0).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
-    columns = [F.array_join("kept", "\n").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in df.columns if not (counts and c in ("n_lines", "n_removed"))]
+    columns = [F.array_join("kept", "\n").alias(text_col) if c == text_col else F.col(f"rest.c{rest.index(c)}").alias(c) for c in df.columns if not (counts and c in ("n_lines", "n_removed"))]
     extra = [F.col("n_lines"), (F.col("n_lines") - F.when(F.col("kept").isNotNull(), F.size("kept")).otherwise(0)).cast("long").alias("n_removed")] if counts else []
     return left.select(*columns, *extra)

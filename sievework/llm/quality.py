@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD
+from .common import FOLD, column
 
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SYMBOLS = b"#*$%&|<>~^{}[]@\\_="
@@ -199,8 +199,8 @@ def score(df: DataFrame, model: Ordinal | None, wanted: int, f: Fit = Fit(), lea
     sent = df.sparkSession.sparkContext.broadcast(model)
     names = [c for c in df.columns if c not in ("expected_grade", "tail_probability", "kept")]
     at = names.index(text_col)
-    source = df.select(*names)
-    schema = df.select(*names).schema.add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
+    source = df.select(*map(column, names)).toDF(*(f"c{i}" for i in range(len(names))))  # names of the columns cannot clash
+    schema = source.select("*").schema.add("expected_grade", "double").add("tail_probability", "double").add("kept", "boolean")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, model = Features(f.bits), sent.value
@@ -218,7 +218,7 @@ def score(df: DataFrame, model: Ordinal | None, wanted: int, f: Fit = Fit(), lea
                 columns = [pa.array(empty, pa.float64()), pa.array(empty, pa.float64()), pa.array(some, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "expected_grade", "tail_probability", "kept"])
 
-    return source.mapInArrow(rate, schema)
+    return source.mapInArrow(rate, schema).toDF(*names, "expected_grade", "tail_probability", "kept")
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import column
+
 #: White space as the splitting pattern's \s sees it.
 _SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -135,8 +137,9 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", lim
     an empty result.
     """
     kept = [c for c in df.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
-    source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = df.select(*kept).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    numbers = [f"c{i}" for i in range(len(kept))]  # names of the columns cannot clash
+    source = df.select(*map(column, kept), F.coalesce(column(text_col), F.lit(""))).toDF(*numbers, "text")
+    schema = source.drop("text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer_path)
@@ -152,4 +155,4 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", lim
                 names=[*batch.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return source.mapInArrow(count, schema)
+    return source.mapInArrow(count, schema).toDF(*kept, "n_bytes", "n_tokens", "over_limit")

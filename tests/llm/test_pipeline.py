@@ -117,6 +117,21 @@ def test_rows_with_null_and_shared_ids(spark, folder):
     assert packed.where("start = 0").count() == len(rows)
 
 
+def test_columns_of_the_user_pass_each_stage(spark, folder):
+    """Names that stages use themselves, names with dots and names of other results: values stay, whatever the stage."""
+    path, items = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    extra = {"kept": "user", "tail_probability": "odd", "__key": "k", "a.b": "dot", "__text": "t", "__near": "n", "__word": "w", "__place": "p", "__marks": "m", "key": "x", "c1": "y", "rest": "r", "row": "z"}
+    wide = docs.select("*", *(F.concat(F.lit(v), F.col("doc_id").cast("string")).alias(k) for k, v in extra.items())).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        want = {r.doc_id for r in stage(spark, docs, path).collect()}
+        left = stage(spark, wide, path)
+        assert left.columns == wide.columns, name
+        rows = left.collect()
+        assert {r.doc_id for r in rows} == want and len(rows) == len(want)
+        assert all(r[k] == f"{v}{r.doc_id}" for r in rows for k, v in extra.items()), name
+
+
 def same_rows(frame, want):
     assert sorted(((r.doc_id, r.text) for r in frame.collect()), key=str) == sorted(want, key=str)
 
