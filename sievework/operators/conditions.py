@@ -54,7 +54,7 @@ def untaken(found: DataFrame, defined: Column) -> DataFrame:
 
 
 def configurations(found: DataFrame, most: int) -> DataFrame:
-    """(path, config, level, block, arm): choices of one arm for each block, the first ``most`` combinations of a path.
+    """(path, config, level, block, arm, n_all): choices of one arm for each block, the first ``most`` combinations of a path; ``n_all`` says how many there are.
 
     Arms are a block's branches and, where it has no 'else', none of them. Combinations are counted like
     digits, blocks in order of their first line, so no join is needed.
@@ -62,20 +62,30 @@ def configurations(found: DataFrame, most: int) -> DataFrame:
     arms = found.groupBy("path", "level", "block").agg(F.min("line").alias("line"), F.greatest(F.max("branch") + 1, F.lit(2)).alias("n"))
     blocks = arms.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "level", "block", "n"))).alias("blocks"))
     size = lambda a: F.aggregate(a, F.lit(1).cast("long"), lambda x, b: F.least(x * b["n"], F.lit(most).cast("long")))
-    each = blocks.select("path", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), size(F.col("blocks")) - 1)).alias("config"))
-    digits = each.select("path", "config", F.posexplode("blocks").alias("i", "b"), size(F.slice("blocks", 1, F.col("i"))).alias("weight"))
+    total = F.aggregate("blocks", F.lit(1.0), lambda x, b: x * b["n"])
+    each = blocks.select("path", "blocks", total.alias("n_all"), F.explode(F.sequence(F.lit(0).cast("long"), size(F.col("blocks")) - 1)).alias("config"))
+    digits = each.select("path", "config", "n_all", F.posexplode("blocks").alias("i", "b"), size(F.slice("blocks", 1, F.col("i"))).alias("weight"))
     arm = F.when(F.col("weight") >= most, 0).otherwise(F.expr("config div weight") % F.col("b.n"))
-    return digits.select("path", "config", "b.level", "b.block", arm.cast("int").alias("arm"))
+    return digits.select("path", "config", "b.level", "b.block", arm.cast("int").alias("arm"), "n_all")
 
 
 def in_configurations(rows: DataFrame, found: DataFrame, configs: DataFrame, line: str = "line_no") -> DataFrame:
     """``rows`` once for each configuration of their path in which they are active (config 0 where a path has no blocks)."""
-    off = found.join(configs, ["path", "level", "block"]).where("branch <> arm").select("path", "config", "line", "end")
+    off = found.join(configs.drop("n_all"), ["path", "level", "block"]).where("branch <> arm").select("path", "config", "line", "end")
     all_configs = configs.select("path", "config").distinct()
     each = rows.join(all_configs, "path", "left").withColumn("config", F.coalesce("config", F.lit(0).cast("long")))
     return active_lines(each, off, ["path", "config"], line)
 
 
+def merged_findings(findings: DataFrame, found: DataFrame, configs: DataFrame, line: str = "line_no") -> DataFrame:
+    """Findings, equal ones of all configurations as one row, with ``configs`` (in which they hold, ascending), ``n_tried`` and ``n_all`` of their path."""
+    columns = findings.columns
+    held = in_configurations(findings, found, configs, line).groupBy(*columns).agg(F.sort_array(F.collect_set("config")).alias("configs"))
+    tried = configs.groupBy("path").agg(F.count_distinct("config").alias("n_tried"), F.max("n_all").alias("n_all"))
+    one = {"n_tried": F.coalesce("n_tried", F.lit(1).cast("long")), "n_all": F.coalesce("n_all", F.lit(1.0))}
+    return held.join(tried, "path", "left").withColumns(one)
+
+
 def regions(flags: DataFrame, keys: list[str], line: str = "line_no", flag: str = "flag") -> DataFrame:
     """(keys, first, end): runs of lines next to each other whose flag is set."""
     run = F.col(line) - F.row_number().over(Window.partitionBy(*keys).orderBy(line))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import normal_path
-from ..sources.tables import drop, stored
+from ..sources.tables import Gathered, drop, stored
 
 
 def unit_graph(channels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -33,42 +33,29 @@ def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All pairs (src, dst) with a path of one edge or more; cycles are fine.
 
     Path doubling: paths of up to 2^r edges after r rounds. A shortest path that is longer than all known ones begins with one
-    of the longest, which are those of the last round, so these are joined once with all. Each round's pairs are stored in the shared
-    folder, beside the earlier ones.
+    of the longest, which are those of the last round, so these are joined once with all. The result is a stored table.
     """
-    known = new = stored(edges.select("src", "dst").distinct(), "closure")
+    known = Gathered("closure")
+    new = known.add(edges.select("src", "dst").distinct())
     for _ in range(most_rounds):
-        step = new.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        new = stored(step.join(known, ["src", "dst"], "left_anti"), "closure")
+        step = new.select("src", F.col("dst").alias("mid")).join(known.rows().select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        new = known.add(step.join(known.rows(), ["src", "dst"], "left_anti"))
         if new.isEmpty():
-            return known
-        known = known.unionByName(new)
+            return known.whole()
     raise RuntimeError("the closure did not settle")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000, merged_after: int = 16) -> DataFrame:
-    """(root, node) for all nodes that each root reaches, itself included: rounds of joins from the roots outwards.
-
-    What was found is one table, beside those of the last rounds, which are merged into it every ``merged_after`` rounds; tables that are not read any more are
-    deleted, so a long chain makes no long plan.
-    """
+    """(root, node) for all nodes that each root reaches, itself included: a stored table. Rounds of joins from the roots outwards; a long chain makes no long plan."""
     out = stored(edges.select("src", "dst").distinct(), "edges")
-    seen = [stored(roots.select("root", F.col("root").alias("node")).distinct(), "reachable")]
+    seen = Gathered("reachable", merged_after)
+    front = seen.add(roots.select("root", F.col("root").alias("node")).distinct())
     for _ in range(most_rounds):
-        known = seen[0]
-        for more in seen[1:]:
-            known = known.unionByName(more)
-        step = seen[-1].join(out, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = stored(step.join(known, ["root", "node"], "left_anti"), "reachable")
+        step = front.join(out, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        front = seen.add(step.join(seen.rows(), ["root", "node"], "left_anti"))
         if front.isEmpty():
-            found = stored(known, "reached")
-            drop(out, front, *seen)
-            return found
-        if len(seen) >= merged_after:
-            merged = stored(known, "reachable")
-            drop(*seen)
-            seen = [merged]
-        seen.append(front)
+            drop(out)
+            return seen.whole()
     raise RuntimeError("the search did not settle")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import widths
-from ..sources.tables import stored
+from ..sources.tables import Gathered, drop, stored
 from .symbols import first_definer
 
 
@@ -109,22 +109,22 @@ def port_drivers(drivers: DataFrame, links: DataFrame, ports: DataFrame, most_ro
     is the number of instances passed. A link that was taken before is not taken again, so cycles end. Rounds of joins: each
     passes one instance and meets only what the last one reached.
     """
-    own = drivers.select("unit", "signal", "ref").distinct()
-    edges = links.select("unit", "signal", "inst", "target", F.col("port").alias("inner")).distinct()
+    own = stored(drivers.select("unit", "signal", "ref").distinct(), "own-drivers")
     known = ports.select(F.col("unit").alias("target"), F.col("port").alias("inner"), F.lit(True).alias("known")).distinct()
-    front = stored(ports.select("unit", "port", F.col("unit").alias("at"), F.col("port").alias("signal")).distinct(), "drivers")
-    seen, out = front, None
+    edges = stored(links.select("unit", "signal", "inst", "target", F.col("port").alias("inner")).distinct().join(known, ["target", "inner"], "left"), "links")
+    seen, out = Gathered("drivers"), Gathered("driven")
+    front = seen.add(ports.select("unit", "port", F.col("unit").alias("at"), F.col("port").alias("signal")).distinct())
     for via in range(most_rounds):
         hit = front.join(own.withColumnRenamed("unit", "at"), ["at", "signal"]).select("unit", "port", "ref")
-        step = front.join(edges.withColumnRenamed("unit", "at"), ["at", "signal"]).join(known, ["target", "inner"], "left")
+        step = front.join(edges.withColumnRenamed("unit", "at"), ["at", "signal"])
         black = step.where("known is null").select("unit", "port", F.concat(F.lit("inst:"), F.col("inst").cast("string")).alias("ref"))
-        found = hit.unionByName(black).distinct().withColumn("via", F.lit(via))
-        out = found if out is None else out.unionByName(found)
+        out.add(hit.unionByName(black).distinct().withColumn("via", F.lit(via)))
         inward = step.where("known").select("unit", "port", F.col("target").alias("at"), F.col("inner").alias("signal")).distinct()
-        front = stored(inward.join(seen, ["unit", "port", "at", "signal"], "left_anti"), "drivers")
+        front = seen.add(inward.join(seen.rows(), ["unit", "port", "at", "signal"], "left_anti"))
         if front.isEmpty():
-            return out.groupBy("unit", "port", "ref").agg(F.min("via").alias("via"))
-        seen = seen.unionByName(front)
+            found = stored(out.rows().groupBy("unit", "port", "ref").agg(F.min("via").alias("via")), "port-drivers")
+            drop(own, edges, *seen.tables, *out.tables)
+            return found
     raise RuntimeError("the drivers did not settle")
 
 
@@ -158,16 +158,18 @@ def expand_roles(roles: DataFrame, own: DataFrame, used: DataFrame, most_rounds:
     joins, one a nesting level.
     """
     at = roles.select("type", "role", F.col("type").alias("t"), F.col("role").alias("r"), F.lit("").alias("prefix"), F.lit(False).alias("turned"), F.array(F.concat_ws(".", "type", "role")).alias("chain"))
-    out, front = None, stored(at, "roles")
+    own = stored(own.select(F.col("type").alias("t"), F.col("role").alias("r"), "port", "direction"), "own-ports")
+    used = stored(used.select(F.col("type").alias("t"), F.col("role").alias("r"), "name", "used_type", "used_role", "inverted"), "used-roles")
+    out, front = Gathered("ports"), stored(at, "roles")
     for _ in range(most_rounds):
         turn = F.when(F.col("turned") & (F.col("direction") == "input"), "output").when(F.col("turned") & (F.col("direction") == "output"), "input").otherwise(F.col("direction"))
-        flat = front.join(own.select(F.col("type").alias("t"), F.col("role").alias("r"), "port", "direction"), ["t", "r"])
-        found = flat.select("type", "role", F.concat("prefix", "port").alias("port"), turn.alias("direction"), F.array_join("chain", ">").alias("chain"))
-        out = found if out is None else out.unionByName(found)
+        out.add(front.join(own, ["t", "r"]).select("type", "role", F.concat("prefix", "port").alias("port"), turn.alias("direction"), F.array_join("chain", ">").alias("chain")))
         inner = F.concat_ws(".", "used_type", "used_role")
-        nested = front.join(used.select(F.col("type").alias("t"), F.col("role").alias("r"), "name", "used_type", "used_role", "inverted"), ["t", "r"]).where(~F.array_contains("chain", inner))
+        nested = front.join(used, ["t", "r"]).where(~F.array_contains("chain", inner))
         step = nested.select("type", "role", F.col("used_type").alias("t"), F.col("used_role").alias("r"), F.concat("prefix", "name", F.lit("_")).alias("prefix"), (F.col("turned") != F.col("inverted")).alias("turned"), F.array_append("chain", inner).alias("chain"))
-        front = stored(step, "roles")
+        last, front = front, stored(step, "roles")
+        drop(last)
         if front.isEmpty():
-            return out
+            drop(front, own, used)
+            return out.whole()
     raise RuntimeError("roles are nested too deeply")

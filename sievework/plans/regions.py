@@ -62,27 +62,32 @@ def inactive_regions(spark, sf):
 _CONFIGS_SQL = (
     "arms AS (SELECT path, level, block, min(line) AS line, greatest(max(branch) + 1, 2) AS n FROM br GROUP BY ALL), "
     "weighed AS (SELECT *, coalesce(product(n) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS weight, product(n) OVER (PARTITION BY path) AS total FROM arms), "
-    "cf AS (SELECT path, config, level, block, CASE WHEN weight >= 6 THEN 0 ELSE CAST((config // CAST(weight AS BIGINT)) % n AS INTEGER) END AS arm FROM (SELECT *, unnest(range(CAST(least(total, 6) AS BIGINT))) AS config FROM weighed))"
+    "cf AS (SELECT path, config, level, block, total, CASE WHEN weight >= 6 THEN 0 ELSE CAST((config // CAST(weight AS BIGINT)) % n AS INTEGER) END AS arm FROM (SELECT *, unnest(range(CAST(least(total, 6) AS BIGINT))) AS config FROM weighed))"
 )
 
 
-@query(f"WITH {_BRANCHES_SQL}, {_CONFIGS_SQL} SELECT path, config, level, block, arm FROM cf")
+@query(f"WITH {_BRANCHES_SQL}, {_CONFIGS_SQL} SELECT path, config, level, block, arm, total AS n_all FROM cf")
 def condition_configurations(spark, sf):
     """At most six configurations a path, as the bound of the operator."""
     return conditions.configurations(_branches(spark, sf), 6)
 
 
 @query(
-    f"WITH {_BRANCHES_SQL}, {_CONFIGS_SQL}, wide AS (SELECT path, line_no FROM l WHERE length(raw) > 100 AND op IS NULL), "
-    "each AS (SELECT w.path, w.line_no, coalesce(c.config, 0) AS config FROM wide w LEFT JOIN (SELECT DISTINCT path, config FROM cf) c USING (path)) "
-    "SELECT path, CAST(line_no AS INTEGER) AS line_no, count(*) AS n_configs FROM each e WHERE NOT EXISTS (SELECT 1 FROM br JOIN cf USING (path, level, block) "
-    "WHERE br.path = e.path AND cf.config = e.config AND br.branch <> cf.arm AND br.line <= e.line_no AND (br.stop IS NULL OR br.stop > e.line_no)) GROUP BY ALL"
+    f"WITH {_BRANCHES_SQL}, {_CONFIGS_SQL}, tl AS (SELECT path, line_no, op, CASE WHEN (path + line_no) % 7 = 0 THEN raw || ' ' || chr(9) WHEN (path + line_no) % 5 = 0 THEN 'a' || chr(9) || raw ELSE raw END AS raw FROM l), "
+    "fi AS (SELECT path, line_no, 'ST001' AS code FROM tl WHERE op IS NULL AND regexp_matches(raw, '[ \\t]+$') UNION ALL SELECT path, line_no, 'ST002' FROM tl WHERE op IS NULL AND contains(rtrim(raw, ' ' || chr(9)), chr(9)) UNION ALL SELECT path, line_no, 'ST003' FROM tl WHERE op IS NULL AND length(raw) > 100), "
+    "each AS (SELECT f.path, f.line_no, f.code, coalesce(c.config, 0) AS config FROM fi f LEFT JOIN (SELECT DISTINCT path, config FROM cf) c USING (path)), "
+    "held AS (SELECT * FROM each e WHERE NOT EXISTS (SELECT 1 FROM br JOIN cf USING (path, level, block) WHERE br.path = e.path AND cf.config = e.config AND br.branch <> cf.arm AND br.line <= e.line_no AND (br.stop IS NULL OR br.stop > e.line_no))) "
+    "SELECT path, CAST(line_no AS INTEGER) AS line_no, code, string_agg(CAST(config AS VARCHAR), ' ' ORDER BY config) AS configs, coalesce(any_value(t.n_tried), 1) AS n_tried, coalesce(any_value(t.n_all), 1.0) AS n_all "
+    "FROM held LEFT JOIN (SELECT path, count(DISTINCT config) AS n_tried, max(total) AS n_all FROM cf GROUP BY path) t USING (path) GROUP BY path, line_no, code"
 )
 def findings_in_all_configurations(spark, sf):
-    """Wide lines, each with the number of configurations in which it is active."""
+    """The findings of all line checks, each with the configurations in which its line is active."""
     found = _branches(spark, sf)
-    wide = lines.wide_lines(_marked(spark, sf).where("op is null"), 100).select("path", "line_no")
-    return conditions.in_configurations(wide, found, conditions.configurations(found, 6)).groupBy("path", "line_no").agg(F.count("*").alias("n_configs"))
+    n = F.col("path") + F.col("line_no")
+    raw = F.when(n % 7 == 0, F.concat("raw", F.lit(" \t"))).when(n % 5 == 0, F.concat(F.lit("a\t"), "raw")).otherwise(F.col("raw"))
+    all_ = lines.style(_marked(spark, sf).where("op is null").withColumn("raw", raw), 100)
+    merged = conditions.merged_findings(all_, found, conditions.configurations(found, 6))
+    return merged.select("path", "line_no", "code", F.array_join(F.transform("configs", lambda x: x.cast("string")), " ").alias("configs"), "n_tried", "n_all")
 
 
 @query(

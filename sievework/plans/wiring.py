@@ -295,12 +295,12 @@ def settings_by_name(spark, sf):
 
 
 @query(
-    f"WITH l AS (SELECT path, line_no, 'the ' || w AS raw, w FROM (SELECT path, line_no, regexp_extract(raw, '\\bthe ([a-z]+)', 1) AS w FROM ({_LINES_SQL})) WHERE w <> '') "
+    f"WITH l AS (SELECT path, line_no, unnest(regexp_extract_all(raw, '\\bthe ([a-z]+)', 1)) AS w FROM ({_LINES_SQL})) "
     "SELECT name, path, CAST(line_no AS INTEGER) AS line_no FROM (SELECT w AS name, path, line_no, row_number() OVER (PARTITION BY w ORDER BY path, line_no) AS nth FROM l) WHERE nth = 1"
 )
 def keyword_index(spark, sf):
     """The first place of each name that a keyword declares."""
-    found = _lines(spark, sf).select("path", "line_no", F.explode(F.slice(F.regexp_extract_all("raw", F.lit(r"\bthe ([a-z]+)"), F.lit(1)), 1, 1)).alias("name"))
+    found = _lines(spark, sf).select("path", "line_no", F.explode(F.regexp_extract_all("raw", F.lit(r"\bthe ([a-z]+)"), F.lit(1))).alias("name"))
     return symbols.first_definer(found, ["name"], ["path", "line_no"]).select("name", "path", "line_no")
 
 

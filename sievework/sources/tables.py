@@ -103,3 +103,34 @@ def drop(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(t))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Gathered:
+    """The rows of many rounds. Each round is stored; after ``merged_after`` of them the earlier ones become one table and are deleted, so plans stay short."""
+
+    def __init__(self, name: str, merged_after: int = 16):
+        self.name, self.merged_after = name, merged_after
+        self.tables: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Store ``df`` as the newest round; rounds before it must not be read by themselves any more."""
+        newest = stored(df, self.name)
+        if len(self.tables) >= self.merged_after:
+            self.tables = [self.whole()]
+        self.tables.append(newest)
+        return newest
+
+    def rows(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def whole(self) -> DataFrame:
+        """All rows as one stored table, in place of those of the rounds."""
+        if len(self.tables) == 1:
+            return self.tables[0]
+        found = stored(self.rows(), self.name)
+        drop(*self.tables)
+        self.tables = [found]
+        return found
