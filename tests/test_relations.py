@@ -91,7 +91,8 @@ def test_settings_layers(spark):
 def test_breaks_and_closure(spark):
     text = spark.createDataFrame([("p", 0, "aaa bbb cccc dd"), ("p", 1, "nospaces"), ("p", 2, "ends "), ("p", 3, "a b")], "path string, line_no int, raw string")
     assert rows(layout.break_points(text, 8), "line_no", "break_at") == [(0, 8), (3, 2)]
-    assert rows(layout.wrapped(text, 8), "line_no", "part_no", "part")[:2] == [(0, 0, "aaa bbb"), (0, 1, "cccc dd")]
+    marked = text.withColumn("raw", F.concat(F.lit("//"), "raw"))
+    assert rows(layout.wrapped(marked, 11), "line_no", "part_no", "part")[:2] == [(0, 0, "// aaa bbb"), (0, 1, "// cccc dd")]
     assert rows(lines.split_after(text.where("line_no = 0"), "b", " "), "part_no", "part") == [(0, "aaa bbb"), (1, "cccc dd")]
     edges = [(i, i + 1) for i in range(20)] + [(20, 5)]
     want = set()
