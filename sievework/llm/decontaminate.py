@@ -140,6 +140,27 @@ def proximity(index: DataFrame, chosen: DataFrame, span: int) -> DataFrame:
     return seen.where("n_places >= need").groupBy("id", "key", "pid").agg(F.max(F.struct("n_places", -F.col("first"), "last")).alias("b")).select("id", "key", "pid", "b.n_places", (-F.col("b.col2")).alias("first"), "b.last")
 
 
+def proximity_matches(df: DataFrame, benchmark: DataFrame, span: int = 20, window: int = 10, rarest: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """Near matches, one row per document and item: id, item, n_places, first, last (document words).
+
+    An item's indexed places are the ``rarest`` terms of each of its windows that can occur. It is near where ``span`` consecutive words hold
+    as many of these places as an exact window needs, in any order and with anything between; the row tells of the stretch that holds most, the
+    earliest of equals. Nulls, repeats and ids are as in ``decontaminate``, but rows equal in id and text give one row.
+    """
+    docs = df.select(column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col)).alias("key"), column(text_col).alias("text")).dropDuplicates(["id", "key"])
+    items = stored(phrases(benchmark, item_col, item_text_col), "phrases")
+    counts = term_counts(df.select(column(text_col).alias("text")), items.select(F.explode(F.split("phrase", " ")).alias("term")).distinct(), block_bytes)
+    chosen = stored(anchors(items, counts, window, rarest), "anchors")
+    empty = df.sparkSession.createDataFrame([], f"`{id_col}` long, item string, n_places int, first int, last int")
+    if chosen.isEmpty():
+        return empty
+    index = postings(docs, chosen.select("term").distinct(), block_bytes)
+    near = proximity(index, chosen, span).join(items, "pid").select(F.col("id").alias(id_col), F.explode("items").alias("item"), F.col("n_places").cast("int").alias("n_places"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    found = stored(near, "near")
+    drop(items, chosen)
+    return found
+
+
 def matched(doc: list[bytes], item: list[bytes], delta: int, window: int) -> list[tuple[int, int]]:
     """Ranges of document words that lie in occurrences of the item's windows at this offset."""
     need = min(window, len(item))

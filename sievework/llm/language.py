@@ -27,9 +27,10 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Training:
-    """rows: bound of the sample, in equal shares for all languages; their whole texts are used. length, batch, steps: of the fit."""
+    """rows: bound of the sample, in equal shares for all languages, but one document of each at least. chars: of a longer document, so many characters from a place drawn by its id. length, batch, steps: of the fit."""
 
     rows: int = 1000
+    chars: int = 1 << 16
     length: int = 96
     hidden: int = 12
     steps: int = 500
@@ -206,16 +207,18 @@ def has_letter(text: str) -> bool:
 def learn(df: DataFrame, t: Training = Training(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru | None:
     """Fit on a sample of about ``t.rows`` documents with non-null id, text and language; None without any.
 
-    The sample, drawn by a hash of the id, has about as many documents of each language; the driver holds their whole texts.
+    The sample, drawn by a hash of the id, has about as many documents of each language, and at least the one with the least hash; the driver holds at most ``t.chars`` characters of each.
     """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("id", F.lit(t.seed)), F.lit(1_000_000)) / 1_000_000
+    counts = rows.where("text <> ''").groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least"))
     n = counts.count()
     if not n:
         return None
-    draw = F.pmod(F.xxhash64("id", F.lit(t.seed)), F.lit(1_000_000)) / 1_000_000
     few = F.broadcast(counts) if n <= 10_000 else counts  # else a language's texts would meet in one task
-    sample = rows.join(few, "lang").where(draw * F.col("n") * n < t.rows).select("id", "lang", "text").collect()
+    spare = F.length("text") - t.chars
+    part = F.when(spare > 0, F.substring("text", F.pmod(F.xxhash64("id"), spare + 1).cast("int") + 1, F.lit(t.chars))).otherwise(F.col("text"))
+    sample = rows.join(few, "lang").where((draw * F.col("n") * n < t.rows) | (draw == F.col("least"))).select("id", "lang", part.alias("text")).collect()
     sample = sorted((r for r in sample if r.text), key=lambda r: (r.lang, str(r.id), r.text))
     languages = sorted({r.lang for r in sample})
     if not languages:

@@ -38,6 +38,34 @@ def decontaminate(docs, items, window=10):
     return out
 
 
+def proximity(docs, items, span, window=10, rarest=2):
+    """(id, item, n_places, first, last) for each text and item with enough of the item's rarest places near each other."""
+    cut = {(i, t): ITEM_WORD.findall((t or "").translate(ASCII_LOWER)) for i, t in docs}
+    n = Counter(w for _, t in docs for w in ITEM_WORD.findall((t or "").translate(ASCII_LOWER)))
+    out = []
+    for item, text in items:
+        words = ITEM_WORD.findall((text or "").translate(ASCII_LOWER))
+        if item is None or not words:
+            continue
+        places = set()
+        for s in range(max(1, len(words) - window + 1)):
+            ranked = sorted((n[words[q]], q) for q in range(s, min(s + window, len(words))))
+            if ranked[0][0]:
+                places.update(q for _, q in ranked[:rarest])
+        need = min(len(words), rarest)
+        for (id_, _), doc in cut.items():
+            best = None
+            hits = sorted((p, q) for q in places for p, w in enumerate(doc) if w == words[q])
+            for p, _ in hits:
+                inside = [(b, q) for b, q in hits if p <= b < p + span]
+                found = len({q for _, q in inside}), -p, max(b for b, _ in inside)
+                if found[0] >= need and (best is None or found > best):
+                    best = found
+            if best:
+                out.append((id_, str(item), best[0], -best[1], best[2]))
+    return out
+
+
 def substring_dedup(docs, window=20):
     place = lambda i: (i is None, i or 0)
     first = {}

@@ -70,6 +70,27 @@ def test_proximity(spark):
     assert [tuple(r) for r in decontaminate.proximity(index, chosen, 8).collect()] == [(1, 0, 5, 2, 0, 4)]
 
 
+def test_proximity_matches(spark):
+    """Against brute force: shuffled, spread and damaged passages, some within the span."""
+    rng = random.Random(21)
+    common, rare = [f"c{i}" for i in range(8)], [f"r{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(n))) for i, n in enumerate((3, 10, 11, 25, 40))] + [(7, None), (None, "c1 r1"), (8, "absent words only")]
+    docs = []
+    for i in range(80):
+        words = [rng.choice(common) for _ in range(60)]
+        part = rng.choice(items[:5])[1].split()
+        rng.shuffle(part)
+        for w in part[: rng.randrange(8)]:
+            words.insert(rng.randrange(len(words)), w)
+        docs.append((i if i % 11 else None, " ".join(words)))
+    docs += [(500, None), (501, ""), (502, items[1][1]), docs[3], docs[3]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for span in (1, 6, 20):
+        got = decontaminate.proximity_matches(frame(spark, docs), bench, span)
+        same(got.collect(), brute.proximity(docs, items, span))
+    assert decontaminate.proximity_matches(frame(spark, []), bench).isEmpty() and decontaminate.proximity_matches(frame(spark, docs), bench.limit(0)).isEmpty()
+
+
 def test_substring_dedup(spark, rows):
     got = substrings.substring_dedup(frame(spark, rows)).collect()
     want = brute.substring_dedup(rows)
@@ -448,6 +469,14 @@ def test_language_id_holds_out(spark):
     assert language.held_out_languages(docs.limit(0)).count() == 0
 
 
+def test_language_sample_has_every_language_and_a_bound(spark):
+    """Two hundred languages of few documents are all learned; long documents give a bounded part, drawn alike each time."""
+    rows = [(i, f"text {i} " + ("x" * 900 if i % 40 == 0 else ""), f"l{i % 200}") for i in range(600)] + [(9999, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    t = language.Training(rows=50, steps=1, hidden=2, batch=2, chars=100)
+    assert language.learn(docs, t).languages == sorted({f"l{i}" for i in range(200)})
+
+
 def test_language_id_without_spaces_and_in_mixed_scripts(spark):
     """Held-out texts of scripts without spaces, and texts that mix two scripts: the larger share decides."""
     rng = random.Random(11)
