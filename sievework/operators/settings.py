@@ -25,6 +25,5 @@ def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def merged_by_name(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Lists of named entries (keys, layer, ord, name, value) as one list: entries of a name take the highest layer's value at the first one's place."""
-    by = Window.partitionBy(*keys, "name")
-    placed = rows.select(*keys, "name", F.max_by("value", F.struct("layer", "ord")).over(by).alias("value"), F.min(F.struct("layer", "ord")).over(by).alias("first")).distinct()
+    placed = rows.groupBy(*keys, "name").agg(F.max_by("value", F.struct("layer", "ord")).alias("value"), F.min(F.struct("layer", "ord")).alias("first"))
     return placed.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1).alias("ord"), "name", "value")

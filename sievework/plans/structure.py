@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import normal_path
+from ..functions.widths import root_signal
 from ..operators import directives, graph, includes, layout, lines, linemap, pairs, scan, symbols, trees
 from ..sources.tables import read_table, stored
 from .queries import _LINES_SQL, _lines, query
@@ -324,3 +325,62 @@ def wrapped_comments(spark, sf):
     n = F.col("path") + F.col("line_no")
     marked = F.when(n % 3 == 0, F.col("raw")).otherwise(F.concat(F.repeat(F.lit(" "), (F.col("path") % 5).cast("int")), F.lit("//"), "raw"))
     return layout.wrapped(_lines(spark, sf).withColumn("raw", marked), 80).select("path", "line_no", F.col("part_no"), F.md5("part").alias("digest"))
+
+
+_OPERATORS = ("+", "-", "*", "/", "%", "&", "|", "<")
+_CHAIN_SQL = (
+    "it AS (SELECT l_orderkey AS path, row_number() OVER w AS k, CASE WHEN l_suppkey % 17 > 0 THEN l_partkey % 100 - 50 END AS own FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)), "
+    "ch AS (SELECT path, k, own::BIGINT AS v FROM it WHERE k = 1 UNION ALL SELECT ch.path, it.k, CASE (ch.path + ch.k) % 8 WHEN 0 THEN TRY_CAST(v::HUGEINT + own AS BIGINT) WHEN 1 THEN TRY_CAST(v::HUGEINT - own AS BIGINT) WHEN 2 THEN TRY_CAST(v::HUGEINT * own AS BIGINT) "
+    "WHEN 3 THEN CASE WHEN own <> 0 THEN v // own END WHEN 4 THEN CASE WHEN own <> 0 THEN v % own END WHEN 5 THEN v & own WHEN 6 THEN v | own ELSE CAST(v < own AS BIGINT) END FROM ch JOIN it ON it.path = ch.path AND it.k = ch.k + 1)"
+)
+
+
+@query(f"WITH RECURSIVE {_CHAIN_SQL} SELECT path, arg_max(coalesce(v, -999999), k) AS value FROM ch GROUP BY path")
+def folded_constants(spark, sf):
+    """Values of constant expressions: the lines of an order, combined from the left by eight operators; unknown ones as -999999."""
+    by = Window.partitionBy("tree")
+    item = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tree"), "l_linenumber", "l_partkey", "l_suppkey")
+    item = item.select("tree", F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("k"), F.count("*").over(by).alias("n"), F.when(F.col("l_suppkey") % 17 > 0, F.col("l_partkey") % 100 - 50).alias("own"))
+    k, n = F.col("k"), F.col("n")
+    turn = F.get(F.array(*map(F.lit, _OPERATORS)), ((F.col("tree") + k) % 8).cast("int"))
+    above = F.get(F.array(*map(F.lit, _OPERATORS)), ((F.col("tree") + F.greatest(k - 1, F.lit(1))) % 8).cast("int"))
+    after = F.get(F.array(*map(F.lit, _OPERATORS)), ((F.col("tree") + k + 1) % 8).cast("int"))
+    none = F.lit(None).cast("long")
+    leaf = F.struct((n + k - 2).alias("node"), F.lit(1).cast("long").alias("size"), F.when(n > 1, n - F.greatest(k, F.lit(2))).alias("parent"), F.when(n > 1, above).alias("parent_kind"), F.when(k == 1, 0).otherwise(1).alias("ord"), F.lit("leaf").alias("kind"), F.col("own").alias("own"))
+    inner = F.struct((n - 1 - k).alias("node"), (2 * k + 1).alias("size"), F.when(k < n - 1, n - 2 - k).alias("parent"), F.when(k < n - 1, after).alias("parent_kind"), F.lit(0).alias("ord"), turn.alias("kind"), none.alias("own"))
+    nodes = item.select("tree", F.explode(F.array_compact(F.array(leaf, F.when(k < n, inner)))).alias("x")).select("tree", "x.*")
+    found = trees.folded(nodes, trees.CONSTANTS).where("parent is null")
+    return found.select(F.col("tree").alias("path"), F.coalesce("value", F.lit(-999999)).alias("value"))
+
+
+@query(
+    "SELECT l_orderkey AS path, l_linenumber AS line_no, l_partkey AS k, CASE l_suppkey % 6 WHEN 0 THEN CAST(l_linenumber < l_quantity / 10 AS INTEGER) WHEN 1 THEN CAST(l_linenumber <= l_quantity / 10 AS INTEGER) WHEN 2 THEN CAST(l_linenumber > l_quantity / 10 AS INTEGER) WHEN 3 THEN CAST(l_linenumber >= l_quantity / 10 AS INTEGER) WHEN 4 THEN CAST(l_linenumber <> l_quantity / 10 AS INTEGER) ELSE -1 END AS runs FROM lineitem"
+)
+def loop_executions(spark, sf):
+    """Whether loops surely run once: 1, 0, or -1 where it is not known."""
+    s = F.col("l_suppkey") % 6
+    op = F.when(s == 0, "<").when(s == 1, "<=").when(s == 2, ">").when(s == 3, ">=").when(s == 4, "!=").otherwise("in")
+    runs = trees.loop_runs(F.col("l_linenumber"), op, F.col("l_quantity") / 10)
+    return read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("k"), F.coalesce(runs.cast("int"), F.lit(-1)).alias("runs"))
+
+
+@query(
+    f"WITH dl AS (SELECT path, line_no, CASE (path + line_no) % 3 WHEN 0 THEN '  #  define ' ELSE '' END || raw AS raw FROM ({_LINES_SQL})), b AS (SELECT path, line_no, ltrim(substr(ltrim(raw, ' ' || chr(9)), 2), ' ' || chr(9)) AS body FROM dl WHERE starts_with(ltrim(raw, ' ' || chr(9)), '#')) "
+    "SELECT path, CAST(line_no AS INTEGER) AS line_no, regexp_extract(body, '^(\\S*)', 1) AS name, md5(regexp_extract(body, '^\\S*\\s+(.*)$', 1)) AS digest FROM b"
+)
+def directive_lines(spark, sf):
+    """Directives read from raw lines: their name and what follows."""
+    n = F.col("path") + F.col("line_no")
+    marked = _lines(spark, sf).withColumn("raw", F.concat(F.when(n % 3 == 0, "  #  define ").otherwise(""), "raw"))
+    return directives.directive_lines(marked, "#").select("path", "line_no", "name", F.md5("rest").alias("digest"))
+
+
+@query(
+    "WITH t AS (SELECT l_orderkey AS path, l_linenumber AS line_no, l_partkey AS k, CASE l_suppkey % 4 WHEN 0 THEN 'sig' || l_partkey || '[' || l_linenumber || ':0]' WHEN 1 THEN ' { a_' || l_partkey || ', b }' WHEN 2 THEN l_partkey || 'x' ELSE '_q$' || l_partkey || '.f' END AS target, l_suppkey % 4 AS s FROM lineitem) "
+    "SELECT path, line_no, k, CASE s WHEN 0 THEN 'sig' || k WHEN 1 THEN 'a_' || k WHEN 2 THEN '' ELSE '_q$' || k END AS signal FROM t"
+)
+def target_signals(spark, sf):
+    """The signal that an assignment's target names first."""
+    s, k = F.col("l_suppkey") % 4, F.col("l_partkey").cast("string")
+    target = F.when(s == 0, F.concat(F.lit("sig"), k, F.lit("["), F.col("l_linenumber").cast("string"), F.lit(":0]"))).when(s == 1, F.concat(F.lit(" { a_"), k, F.lit(", b }"))).when(s == 2, F.concat(k, F.lit("x"))).otherwise(F.concat(F.lit("_q$"), k, F.lit(".f")))
+    return read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("k"), root_signal(target).alias("signal"))
