@@ -82,7 +82,7 @@ def matched_rule(host_: Column, path_: Column, rules: Sequence[Rule]) -> tuple[C
     """The longest rule that fits (null if none does) and its verdict.
 
     The rules are written out in the expression, which suits lists up to about a
-    thousand entries.
+    thousand entries; ``joined_rules`` takes any number.
     """
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.host + r.path), r.host, r.path)):  # the longest last, so outermost
@@ -92,6 +92,18 @@ def matched_rule(host_: Column, path_: Column, rules: Sequence[Rule]) -> tuple[C
     return rule, verdict
 
 
+def joined_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, rule_verdict) for each distinct host and path of ``pages`` that a rule (verdict, host, path) fits: the longest, as in ``matched_rule``.
+
+    A host's tails, label by label, are keys of the join. Of two rules that differ in their verdict only the larger verdict counts.
+    """
+    tails = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
+    known = rules.select(F.col("host").alias("tail"), F.col("path").alias("begin"), "verdict")
+    fits = pages.select("host", "path").distinct().withColumn("tail", F.explode(F.array_distinct(tails))).join(known, "tail").where(F.startswith("path", F.col("begin")))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct((F.length("tail") + F.length("begin")).alias("size"), "tail", "begin", "verdict")).alias("b"))
+    return best.select("host", "path", F.concat("b.tail", "b.begin").alias("rule"), F.col("b.verdict").alias("rule_verdict"))
+
+
 def _strength(groups: DataFrame, rate: float, p: Reputation) -> float:
     """The beta prior's strength from the spread of bad rates between groups (one row comes back)."""
     g = groups.where("n > 0").agg(
@@ -128,12 +140,12 @@ def host_reputation(counts: DataFrame, p: Reputation = Reputation(), suffixes: D
     return hosts.join(domains, "domain").select("host", "n", "k", mean.alias("mean"), bound.alias("bound"), F.coalesce(bound > p.lift * rate, F.lit(False)).alias("blocked"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], p: Reputation = Reputation(), suffixes: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] | DataFrame, p: Reputation = Reputation(), suffixes: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge every row of ``pages``: id, host, path, rule, verdict.
 
     ``outcomes`` has ``id_col`` and ``bad`` (0 or 1; several rows of an id count as
     one, bad if any is; null outcomes and ids are left out). The longest fitting rule
-    decides; else the host's reputation. A null url, or one without ``://``, has an
+    decides (``rules`` may be a table of verdict, host and path, of any size); else the host's reputation. A null url, or one without ``://``, has an
     empty host and path, which no outcome speaks about: it is allowed. Repeated rows are
     judged, and counted, each on their own. An empty table gives no rows.
     """
@@ -141,7 +153,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], p:
     outcomes = outcomes.where(F.col("bad").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("bad").alias("bad"))
     counts = named.where("host <> ''").join(outcomes, id_col, "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     blocked = host_reputation(counts, p, suffixes).where("blocked").select("host", F.lit("block").alias("learned"))
-    rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
+    if isinstance(rules, DataFrame):
+        named = named.join(joined_rules(named, rules), ["host", "path"], "left")
+        rule, verdict = F.col("rule"), F.col("rule_verdict")
+    else:
+        rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     return named.join(blocked, "host", "left").select(
         id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("learned"), F.lit("allow")).alias("verdict")
     )

@@ -384,6 +384,10 @@ def test_urls(spark):
     for r, u in zip(sorted(urls.filter_urls(pages, none, RULES).collect()), [*cases, *cases]):
         assert (r.host, r.path, r.rule, r.verdict) == cases[u], u
     assert urls.filter_urls(pages.limit(0), none, RULES).count() == 0
+    table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in RULES] + [("block", f"h{i}.io", "/") for i in range(3000)], "verdict string, host string, path string")
+    for r, u in zip(sorted(urls.filter_urls(pages, none, table).collect()), [*cases, *cases]):
+        assert (r.host, r.path, r.rule, r.verdict) == cases[u], u
+    assert urls.filter_urls(pages, none, table.limit(0)).where("rule is not null or verdict <> 'allow'").isEmpty()
 
 
 def test_host_reputation_shrinks(spark):
