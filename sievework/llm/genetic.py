@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,35 +43,43 @@ class Evolution:
     progress: float = 0.75
 
 
-class _Room:
-    """Bins by free places. The fullest that still fits is found by the lowest set bit of a number."""
+@lru_cache(maxsize=4)
+def _powers(n: int) -> list[int]:
+    return [1 << k for k in range(n + 1)]
 
-    def __init__(self, capacity: int, free: list[int]):
-        self.capacity, self.n, self.bits = capacity, len(free), 0
-        self.bins: dict[int, list[int]] = {}
-        for b, f in enumerate(free):
-            self.put(b, f)
 
-    def put(self, b: int, free: int) -> None:
-        if free:
-            if stack := self.bins.get(free):
-                stack.append(b)
-            else:
-                self.bins[free] = [b]
-                self.bits |= 1 << free
+def best_fit(free: list[int], lengths: list[int], capacity: int) -> list[int]:
+    """The bin of each piece, put one after the other into the fullest bin that still has room, else into a new one.
 
-    def take(self, need: int) -> int:
-        above = self.bits >> need
+    Bins are kept by their free places; a number's bits say which of these occur, so the fullest that fits is its lowest set bit.
+    """
+    power, stacks, bits, n = _powers(capacity), {}, 0, len(free)
+    for b, f in enumerate(free):
+        if f:
+            stacks.setdefault(f, []).append(b)
+    for f in stacks:
+        bits |= power[f]
+    out = []
+    for need in lengths:
+        above = bits >> need
         if above:
-            free = need + (above & -above).bit_length() - 1
-            stack = self.bins[free]
+            room = need + (above & -above).bit_length() - 1
+            stack = stacks[room]
             b = stack.pop()
             if not stack:
-                self.bits ^= 1 << free
+                bits ^= power[room]
+                del stacks[room]
         else:
-            b, free, self.n = self.n, self.capacity, self.n + 1
-        self.put(b, free - need)
-        return b
+            b, room, n = n, capacity, n + 1
+        rest = room - need
+        if rest:
+            if rest in stacks:
+                stacks[rest].append(b)
+            else:
+                stacks[rest] = [b]
+                bits |= power[rest]
+        out.append(b)
+    return out
 
 
 class Packings:
@@ -101,10 +110,9 @@ class Packings:
         bins = (bins_ - (len(used) > 0 and used[0] == -1)).astype(np.int64)
         fixed = bins >= 0
         fill = np.bincount(bins[fixed], self.lengths[fixed]).astype(np.int64) if fixed.any() else np.zeros(0, np.int64)
-        room = _Room(self.capacity, (self.capacity - fill).tolist())
         if order is None:
             order = loose[np.argsort(-self.lengths[loose], kind="stable")]
-        bins[order] = list(map(room.take, self.lengths[order].tolist()))
+        bins[order] = best_fit((self.capacity - fill).tolist(), self.lengths[order].tolist(), self.capacity)
         return bins
 
     def first(self, noise: float) -> np.ndarray:
