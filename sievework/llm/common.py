@@ -4,18 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import drop, stored  # noqa: F401  shared with the other operators
 
+T = TypeVar("T")
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A-Z become a-z; other ASCII characters but digits and a-z become spaces; the rest stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: What an operator keeps in a Python worker from task to task.
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept_in_worker(operator: str, name: str, make: Callable[[], T]) -> T:
+    """The object that ``make`` gives, kept for later tasks of this worker; what other operators kept goes."""
+    if (operator, name) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[operator, name] = make()
+    return _KEPT[operator, name]
+
+
+def free_worker() -> None:
+    """Let go what other operators kept in this worker."""
+    _KEPT.clear()
+
+
 def column(name: str) -> Column:
     """The top-level column of that very name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .blobs import BLOB_SCHEMA, pack, rows_of_blobs, slices, starts, unpack
 from .common import buckets as bucket_count
-from .common import drop, marked, stored
+from .common import drop, free_worker, marked, stored
 from .components import connected_components
 
 SHINGLE = 5
@@ -257,6 +257,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
             rows.append((b, 0, pack(id_[e], sizes[e].astype(np.int32), t.astype(np.int32), at.astype(np.uint16), sig[s])))
         return rows_of_blobs(rows)
 
+    free_worker()
     ids: list[int | None] = []
     sets: list[np.ndarray] = []
     known, size = WordHashes(), 0
@@ -457,7 +458,7 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "id")  # a semi join would be pushed below the bitmap
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links).
 
     Documents link when the sets of their five-word shingles (ASCII letters lower-cased) have a
@@ -467,7 +468,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = bucket_count(docs)
+    n = bucket_count(docs, bucket_bytes=4 << 20)  # a task's arrays are some forty times the bytes of its texts
     dealt = docs.mapInArrow(lambda b: _signature_rows(b, n, block_bytes), BLOB_SCHEMA)
     rows = stored(dealt.repartitionById(n, F.col("bucket")).mapInArrow(_group_rows, _ROWS), "groups")
     kind = lambda k: rows.where(F.col("kind") == k)

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_in_worker
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -123,13 +125,10 @@ class WordIds:
 
 #: Words of more characters are not remembered.
 LONG = 64
-_IDS: dict[str, WordIds] = {}
 
 
 def _word_ids(path: str) -> WordIds:
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    return _IDS[path]
+    return kept_in_worker("packing", path, lambda: WordIds(path))
 
 
 class Packer:

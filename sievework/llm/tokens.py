@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, kept_in_worker
 
 #: White space as the splitting pattern's \s sees it.
 _SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -107,13 +107,8 @@ class PieceCounter:
         return out
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
-
-
 def _counter(path: str) -> PieceCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PieceCounter(path)
-    return _COUNTERS[path]
+    return kept_in_worker("tokens", path, lambda: PieceCounter(path))
 
 
 def balanced(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
