@@ -12,11 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 #: Where intervals without an end stop; points must be smaller.
 NO_END = 1 << 40
 _LEVELS = 41
 
 
+def _top(a: Column, b: Column) -> Column:
+    """The last level of which a block may fit into [a, b): one as long as the interval."""
+    return F.when(a < b, F.least(F.length(F.bin(b - a)) - 1, F.lit(_LEVELS - 1))).otherwise(0)
+
+
 def blocks(first: Column, end: Column) -> Column:
     """The blocks (level, block) that make up [first, end), for first from 0; null ends run on."""
     a, b = first.cast("long"), F.coalesce(end.cast("long"), F.lit(NO_END))
@@ -28,14 +35,20 @@ def blocks(first: Column, end: Column) -> Column:
         right = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("block")))
         return F.array(left, right)
 
-    both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), of_level))
+    both = F.flatten(F.transform(F.sequence(F.lit(0), _top(a, b)), of_level))
     return F.array_distinct(F.array_compact(both))
 
 
 def cut(intervals: DataFrame, first: str = "first", end: str = "end") -> DataFrame:
     """``intervals`` once for each of their blocks: with ``level`` and ``block``; empty ones are left out."""
-    found = intervals.where(F.col(end).isNull() | (F.col(first) < F.col(end)))
-    return found.withColumn("__b", F.explode(blocks(F.col(first), F.col(end)))).select(*intervals.columns, "__b.level", "__b.block")
+    a, b = F.col(first).cast("long"), F.coalesce(F.col(end).cast("long"), F.lit(NO_END))
+    found = intervals.where(a < b)
+    # rows of one level each, not one array: plain columns are compiled, functions over arrays are not
+    each = found.select("*", F.explode(F.sequence(F.lit(0), _top(a, b))).alias("level"))
+    low = F.call_function("shiftright", a + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level")) - 1, F.col("level"))
+    fits = each.select("*", low.alias("__low"), F.call_function("shiftright", b, F.col("level")).alias("__high")).where("__low < __high and (__low % 2 = 1 or __high % 2 = 1)")
+    odd = F.array(F.when(F.col("__low") % 2 == 1, F.col("__low")), F.when(F.col("__high") % 2 == 1, F.col("__high") - 1))
+    return fits.select(*intervals.columns, "level", F.explode(odd).alias("block")).where("block is not null")
 
 
 def _looked_up(points: DataFrame, known: DataFrame, point: str) -> DataFrame:
@@ -51,9 +64,9 @@ def best_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point:
     Rows of equal keys and point are looked up once.
     """
     pieces = cut(intervals.select(*keys, "first", "end", F.struct(order.alias("o"), value.alias("v")).alias("__x")))
-    known = pieces.groupBy(*keys, "level", "block").agg(F.min("__x").alias("__x"))
+    known = stored(pieces.groupBy(*keys, "level", "block").agg(F.min("__x").alias("__x")), "blocks")
     at = _looked_up(points.select(*keys, point).distinct(), known, point)
-    found = at.join(known, [*keys, "level", "block"]).groupBy(*keys, point).agg(F.min("__x")["v"].alias(name))
+    found = at.join(known.hint("merge"), [*keys, "level", "block"]).groupBy(*keys, point).agg(F.min("__x")["v"].alias(name))
     return points.join(found, [*keys, point], "left")
 
 
@@ -61,11 +74,12 @@ def outside(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point:
     """The points that no interval of their keys holds; those without a point always stay."""
     known = cut(intervals.select(*keys, "first", "end")).select(*keys, "level", "block").distinct()
     at = _looked_up(points.where(F.col(point).isNotNull()).select(*keys, point).distinct(), known, point)
-    inside = at.join(known, [*keys, "level", "block"]).select(*keys, point).distinct()
+    inside = at.join(known.hint("merge"), [*keys, "level", "block"]).select(*keys, point).distinct()
     return points.join(inside, [*keys, point], "left_anti")
 
 
 def holding(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str) -> DataFrame:
     """Every pair of a point and an interval that holds it, once: the columns of both; each pair meets in one block only."""
     pieces = cut(intervals)
-    return _looked_up(points, pieces, point).join(pieces, [*keys, "level", "block"]).drop("level", "block")
+    # merged: Spark takes the exploded side for as small as its source and would broadcast it
+    return _looked_up(points, pieces, point).join(pieces.hint("merge"), [*keys, "level", "block"]).drop("level", "block")
