@@ -52,7 +52,7 @@ def naming_violations(symbols: DataFrame, rules: Sequence[NamingRule], user: Use
     ``per_file`` maps a glob on paths to the rules that are off there. The rules come from configuration, so
     their join is on a table of a few rows; a null name breaks no rule.
     """
-    found = symbols.join(rule_table(symbols.sparkSession, active_rules(rules, user)), "kind").where(~matches_from_start(F.col("name"), F.col("pattern")))
+    found = symbols.join(F.broadcast(rule_table(symbols.sparkSession, active_rules(rules, user))), "kind").where(~matches_from_start(F.col("name"), F.col("pattern")))
     for glob, ids in (user.per_file or {}).items():
         found = found.where(~(F.rlike("path", F.lit(glob_pattern(glob))) & F.col("id").isin(*ids)))
     values = {c: F.col(c) for c in ("name", "kind", "pattern", "id", "severity")}
@@ -60,9 +60,14 @@ def naming_violations(symbols: DataFrame, rules: Sequence[NamingRule], user: Use
 
 
 def suffix_conflicts(symbols: DataFrame, suffixes: DataFrame, of: str) -> DataFrame:
-    """NC014 to NC016: names with a suffix that stands for another value of ``of``. ``suffixes``: suffix, meaning."""
-    tails = symbols.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.expr("name").substr(-i, i))))
-    return tails.join(suffixes, "suffix").where(F.col(of) != F.col("meaning")).drop("suffix", "meaning").distinct()
+    """NC014 to NC016: names with a suffix that stands for another value of ``of``. ``suffixes``: suffix, meaning.
+
+    The suffixes come from configuration; they are what is broadcast, and names are cut only to the lengths that suffixes have.
+    """
+    lengths = suffixes.where("suffix <> ''").agg(F.collect_set(F.length("suffix")).alias("__lengths"))
+    fitting = F.filter("__lengths", lambda i: i <= F.length("name"))
+    tails = symbols.join(F.broadcast(lengths)).withColumn("suffix", F.explode(F.transform(fitting, lambda i: F.expr("name").substr(-i, i)))).drop("__lengths")
+    return tails.join(F.broadcast(suffixes), "suffix").where(F.col(of) != F.col("meaning")).drop("suffix", "meaning").distinct()
 
 
 def severity_tally(diagnostics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -21,3 +21,16 @@ def test_covering_spans_broadcast_nothing(spark):
     assert "BroadcastHashJoin" not in plan_of(found)
     want = sorted((k % 5, k) for k in range(50) if k % 7 <= k % 5 + 3 < k % 7 + k and k % 5 + 5 <= k % 7 + k)
     assert sorted((r.path, r.node) for r in found.collect()) == want
+
+
+def test_suffixes_are_what_is_broadcast(spark):
+    n = F.col("id")
+    names = spark.range(60).select(n.alias("id"), F.concat(F.lit("n"), n.cast("string")).alias("name"), F.when(n % 2 == 0, "even").otherwise("odd").alias("of"))
+    table = spark.createDataFrame([("1", "odd"), ("12", "even"), ("2", "odd"), ("", "none"), ("longer than any", "x")], "suffix string, meaning string")
+    found = rules.suffix_conflicts(names, table, "of")
+    assert "BuildLeft" not in plan_of(found)
+    assert sorted(r.id for r in found.collect()) == [2, 12, 22, 32, 42, 52]
+    rule = rules.NamingRule("R", "k", "n1", "{name}")
+    kinds = names.select(F.lit("p").alias("path"), "name", F.lit("k").alias("kind"))
+    broken = rules.naming_violations(kinds, [rule])
+    assert "BuildLeft" not in plan_of(broken) and broken.count() == 49
