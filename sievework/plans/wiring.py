@@ -230,7 +230,8 @@ def expanded_roles(spark, sf):
     "CASE WHEN b <= 0 THEN CASE WHEN -b >= 63 THEN CASE WHEN a < 0 THEN -1 ELSE 0 END ELSE a >> CAST(-b AS INTEGER) END WHEN a = 0 THEN 0 WHEN b < 63 THEN TRY_CAST(ha * power(2, b)::HUGEINT AS BIGINT) END AS shifted FROM y"
 )
 def constant_arithmetic(spark, sf):
-    a = ((F.col("l_orderkey") - 900) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("l_linenumber") * 7)).alias("a")
+    # out of 64 bits a is unknown, and so is what follows from it
+    a = F.try_multiply(F.col("l_orderkey") - 900, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("l_linenumber") * 7)).alias("a")
     x = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), a, (F.col("l_partkey") - 100).alias("b"))
     two = {"added": "+", "taken": "-", "product": "*", "quotient": "/", "rest": "%", "both": "&", "one": "|", "either": "^", "less": "<"}
     one = {"flipped": "~", "negative": "-", "nought": "!"}

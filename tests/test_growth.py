@@ -34,3 +34,11 @@ def test_suffixes_are_what_is_broadcast(spark):
     kinds = names.select(F.lit("p").alias("path"), "name", F.lit("k").alias("kind"))
     broken = rules.naming_violations(kinds, [rule])
     assert "BuildLeft" not in plan_of(broken) and broken.count() == 49
+
+
+def test_constants_beyond_64_bits_are_unknown(spark, tmp_path):
+    rows = [(149_999, 7, 105), (901, 1, 105)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    wide, plain = sorted(wiring.constant_arithmetic(spark, str(tmp_path)).collect(), key=lambda r: -r.k)
+    assert all(v is None for c, v in wide.asDict().items() if c not in ("k", "n"))
+    assert (plain.added, plain.product, plain.negative, plain.shifted) == (133, 640, -128, 4096)
