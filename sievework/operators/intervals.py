@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.tables import stored
 
@@ -70,12 +71,36 @@ def best_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point:
     return points.join(found, [*keys, point], "left")
 
 
+#: Bits of a place within its stretch.
+_STRETCH = 16
+
+
+def _held(points: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The points (keys, __g, __at, __row) that a span (keys, __g, __at, __end) holds or not: with ``__in``. One pass in order of places: a point is held if an earlier span ends behind it."""
+    both = points.withColumn("__end", F.lit(None).cast("long")).unionByName(spans, allowMissingColumns=True)
+    by = Window.partitionBy(*keys, "__g").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__in", F.coalesce(F.max("__end").over(by) > F.col("__at"), F.lit(False))).where("__row is not null").drop("__end")
+
+
 def outside(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str) -> DataFrame:
-    """The points that no interval of their keys holds; those without a point always stay."""
-    known = cut(intervals.select(*keys, "first", "end")).select(*keys, "level", "block").distinct()
-    at = _looked_up(points.where(F.col(point).isNotNull()).select(*keys, point).distinct(), known, point)
-    inside = at.join(known.hint("merge"), [*keys, "level", "block"]).select(*keys, point).distinct()
-    return points.join(inside, [*keys, point], "left_anti")
+    """The points that no interval of their keys holds; those without a point always stay.
+
+    The places of a key are cut into stretches of 2^16. An interval is at most two pieces, in its first and its last stretch, and a range of whole stretches between. Whole stretches
+    are looked at first; those that are held become pieces. So a point crosses one shuffle, whatever the lengths, and a key with very many places is spread.
+    """
+    at = F.col(point).cast("long")
+    a, b = F.col("first").cast("long"), F.coalesce(F.col("end").cast("long"), F.lit(NO_END))
+    low, high = F.shiftright(a + (1 << _STRETCH) - 1, _STRETCH), F.shiftright(b, _STRETCH)
+    found = intervals.select(*keys, a.alias("a"), b.alias("b"), low.alias("low"), high.alias("high")).where("a < b").na.drop(subset=list(keys))
+    wide = found.where("low < high").groupBy(*keys, F.lit(0).cast("long").alias("__g"), F.col("low").alias("__at")).agg(F.max("high").alias("__end"))
+    seen = points.where(at.isNotNull()).select(*keys, F.lit(0).cast("long").alias("__g"), F.shiftright(at, _STRETCH).alias("__at"), F.lit(True).alias("__row")).distinct()
+    start = lambda c: F.shiftleft(F.col(c), _STRETCH)
+    whole = _held(seen, wide, keys).where("__in").select(*keys, F.col("__at").alias("__g"), start("__at").alias("__at"), (start("__at") + (1 << _STRETCH)).alias("__end"))
+    ends = F.array(F.struct(F.col("a").alias("__at"), F.least("b", start("low")).alias("__end")), F.struct(F.greatest("a", start("high")).alias("__at"), F.col("b").alias("__end")))
+    pieces = found.select(*keys, F.inline(ends)).where("__at < __end").withColumn("__g", F.shiftright("__at", _STRETCH))
+    row = F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("__row")
+    placed = points.select(*keys, F.shiftright(at, _STRETCH).alias("__g"), at.alias("__at"), row)
+    return _held(placed, whole.unionByName(pieces), keys).where("not __in").select(*(F.col(f"__row.`{c}`").alias(c) for c in points.columns))
 
 
 def holding(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str) -> DataFrame:

@@ -53,3 +53,16 @@ def test_instance_widths_end_with_the_join_of_names(spark):
     above = plan_of(found).split("SortMergeJoin")[0]
     assert "Aggregate" not in above and "Exchange" not in above
     assert sorted((r.inst, r.name, r.width) for r in found.collect()) == [(1, "a", 8), (1, "b", 8), (1, "c", 1), (1, "d", 1), (2, "a", 4), (2, "b", 4), (2, "c", 1), (2, "d", 1), (3, "a", 4), (3, "e", None)]
+
+
+def test_outside_takes_a_point_through_one_shuffle(spark):
+    """Intervals over several stretches of 2^16, within one, at borders and without an end; points are never copied by level."""
+    s = 1 << 16
+    spans = [("a", 5, 9), ("a", s - 2, s + 3), ("a", 2 * s, 3 * s), ("a", 4 * s - 1, 7 * s + 1), ("b", s, s), ("b", 9 * s + 5, None), (None, 0, None), ("c", None, 5)]
+    places = sorted({max(0, x + d) for _, a, b in spans for x in (a, b) if x is not None for d in (-1, 0, 1)} | {5 * s, 20 * s, None}, key=str)
+    points = [(k, p, i) for k in ("a", "b", "c", None) for i, p in enumerate(places)]
+    df = spark.createDataFrame(points, "path string, line long, id int")
+    found = intervals.outside(df, spark.createDataFrame(spans, "path string, first long, end long"), ["path"], "line")
+    held = lambda k, p: p is not None and any(k is not None and k == x and a is not None and a <= p and (b is None or p < b) for x, a, b in spans)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(str(x) for x in points if not held(*x[:2]))
+    assert "explode(array(struct" not in plan_of(found) and found.columns == ["path", "line", "id"]
