@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import stored
 from . import intervals
 
 
@@ -77,6 +78,7 @@ def unsuppressed(diagnostics: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def not_silenced(diagnostics: DataFrame, silenced: DataFrame) -> DataFrame:
     """Diagnostics (path, line, code and more) that no row of ``silenced`` (path, first, end, codes: null for all) holds with their code."""
+    silenced = stored(silenced, "silenced")  # read twice; few rows, but much work to find
     by_code = silenced.where("codes is not null").select("path", "first", "end", F.explode("codes").alias("code"))
     left = intervals.outside(diagnostics, silenced.where("codes is null").select("path", "first", "end"), ["path"], "line")
     return intervals.outside(left, by_code, ["path", "code"], "line")

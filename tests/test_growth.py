@@ -66,3 +66,19 @@ def test_outside_takes_a_point_through_one_shuffle(spark):
     held = lambda k, p: p is not None and any(k is not None and k == x and a is not None and a <= p and (b is None or p < b) for x, a, b in spans)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(str(x) for x in points if not held(*x[:2]))
     assert "explode(array(struct" not in plan_of(found) and found.columns == ["path", "line", "id"]
+
+
+def test_silenced_ranges_are_found_once(spark):
+    """What finds the ranges (here a function that counts its calls) runs for them once, not once for each use."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    ranges = spark.createDataFrame([("a", 1, 3, None), ("a", 5, None, ["X"])], "path string, first int, end int, codes array<string>").coalesce(1)
+    found = spark.createDataFrame([("a", n, c) for n in (0, 1, 3, 6) for c in "XY"], "path string, line int, code string")
+    left = directives.not_silenced(found, ranges.mapInArrow(counted, ranges.schema))
+    assert sorted((r.line, r.code) for r in left.collect()) == [(0, "X"), (0, "Y"), (3, "X"), (3, "Y"), (6, "Y")]
+    assert calls.value == 2
