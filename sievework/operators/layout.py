@@ -69,17 +69,12 @@ def wrapped(rows: DataFrame, width: int, marker: str = "//") -> DataFrame:
     mark = re.escape(marker)
     lead, text = F.regexp_extract("raw", rf"^(\s*){mark}", 1), F.regexp_replace("raw", rf"^\s*{mark}\s*|\s+$", "")
     head = F.concat(lead, F.lit(marker + " "))
-    words = F.split(text, r"\s+")
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
-
-    def step(state: Column, word: Column) -> Column:
-        full = (state["now"] != "") & (F.length(state["now"]) + 1 + F.length(word) > width - F.length(lead) - len(marker) - 1)
-        now = F.when((state["now"] == "") | full, word).otherwise(F.concat(state["now"], F.lit(" "), word))
-        return F.struct(now.alias("now"), F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"))
-
-    filled = F.transform(F.aggregate(words, start, step, lambda x: F.concat(x["done"], F.array(x["now"]))), lambda part: F.concat(head, part))
+    # the longest run of whole words that fits, else one long word; a regular expression, since functions over arrays are not compiled
+    room = F.greatest(F.lit(width - len(marker) - 1) - F.length(lead), F.lit(1)).cast("string")
+    filled = F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.concat(F.lit("(?s) ?(.{1,"), room, F.lit(r"}(?= |\z)|[^ ]+)")), F.lit(1))
     wide = F.rlike("raw", F.lit(rf"^\s*{mark}")) & (F.length("raw") > width) & (text != "")
-    return rows.select("path", "line_no", F.posexplode(F.when(wide, filled).otherwise(F.array("raw"))).alias("part_no", "part"))
+    each = rows.select("path", "line_no", F.when(wide, head).otherwise("").alias("head"), F.posexplode(F.when(wide, filled).otherwise(F.array("raw"))).alias("part_no", "part"))
+    return each.select("path", "line_no", "part_no", F.concat("head", "part").alias("part"))
 
 
 def depth_of_lines(rows: DataFrame, opener: str, closer: str) -> DataFrame:
