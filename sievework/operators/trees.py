@@ -51,44 +51,55 @@ OPEN, PART, DONE = 0, 1, 2
 def _fold(batches: Iterator[pa.RecordBatch], f: Fold, width: int) -> Iterator[pa.RecordBatch]:
     """Rows come in order of tree and range, the last node first; parts before the node that they belong to."""
     schema = _schema(f)
-    out: list[tuple] = []
     states: dict[int, tuple[str, Any]] = {}
+    begun: list[tuple] = []
     here = None
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
-
     def known(node: int, kind: str, state: Any) -> None:
         before = states.get(node, (kind, None))[1]
         states[node] = kind, state if before is None else f.merge(kind, before, state)
 
     def left() -> None:
-        out.extend((here[0], node, None, None, None, None, kind, None, state, None, PART) for node, (kind, state) in states.items())
+        begun.extend((here[0], node, None, None, None, None, kind, None, state, None, PART) for node, (kind, state) in states.items())
         states.clear()
 
+    def parts() -> pa.RecordBatch:
+        columns = list(zip(*begun)) or [()] * len(schema)
+        begun.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, schema)], names=[n for n, _ in schema])
+
     for batch in batches:
-        for tree, node, size, parent, parent_kind, ord_, kind, own, state, _, stage in zip(*(batch.column(n).to_pylist() for n, _ in schema)):
+        # what a row holds passes as it came; only the last three columns are new
+        kept, after, values, stages = [], [], [], []
+        for i, (tree, node, size, parent, parent_kind, ord_, kind, own, state, _, stage) in enumerate(zip(*(batch.column(n).to_pylist() for n, _ in schema))):
             if here != (tree, node // width):
-                left()
+                if states:
+                    left()
                 here = tree, node // width
             if state is not None:
                 known(node, kind, state)
             if stage == PART:
                 continue
             mine = states.pop(node, (kind, None))[1]
+            kept.append(i)
             if node + size > (here[1] + 1) * width:
-                out.append((tree, node, size, parent, parent_kind, ord_, kind, own, mine, None, OPEN))
+                after.append(mine)
+                values.append(None)
+                stages.append(OPEN)
                 continue
             value = f.close(kind, own, mine)
-            out.append((tree, node, size, parent, parent_kind, ord_, kind, own, None, value, DONE))
+            after.append(None)
+            values.append(value)
+            stages.append(DONE)
             if parent is not None:
                 states[parent] = parent_kind, f.gather(parent_kind, states.get(parent, ("", None))[1], ord_, value)
-        if len(out) >= 10_000:
-            yield batch_of(out)
-            out.clear()
+        same = batch if len(kept) == batch.num_rows else batch.take(pa.array(kept, pa.int64()))
+        new = {"state": pa.array(after, _ARROW[f.state]), "value": pa.array(values, _ARROW[f.value]), "stage": pa.array(stages, pa.int64())}
+        yield pa.RecordBatch.from_arrays([new.get(n, same.column(n)) for n, _ in schema], names=[n for n, _ in schema])
+        if begun:
+            yield parts()
     left()
-    yield batch_of(out)
+    yield parts()
 
 
 def folded(nodes: DataFrame, f: Fold, width: int = 4096, step: int = 64, most_rounds: int = 12) -> DataFrame:
@@ -223,6 +234,16 @@ def _width(kind: str, own: int | None, so_far: list[int] | None) -> int | None:
 WIDTHS = Fold(_listed, _widths_merged, _width, "bigint", "array<bigint>", "bigint")
 
 
+_UNARY = {"-": lambda a: -a, "+": lambda a: a, "~": lambda a: ~a, "!": lambda a: int(not a)}
+_BINARY = {
+    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "&": lambda a, b: a & b, "|": lambda a, b: a | b, "^": lambda a, b: a ^ b,
+    "/": lambda a, b: (abs(a) // abs(b)) * (1 if (a < 0) == (b < 0) else -1) if b else None,
+    "%": lambda a, b: abs(a) % abs(b) * (-1 if a < 0 else 1) if b else None,
+    "==": lambda a, b: int(a == b), "!=": lambda a, b: int(a != b), "<": lambda a, b: int(a < b), "<=": lambda a, b: int(a <= b), ">": lambda a, b: int(a > b), ">=": lambda a, b: int(a >= b),
+    "&&": lambda a, b: int(bool(a and b)), "||": lambda a, b: int(bool(a or b)),
+}
+
+
 def _constant(kind: str, own: int | None, so_far: list[int] | None) -> int | None:
     if kind == "leaf":
         return own
@@ -231,18 +252,9 @@ def _constant(kind: str, own: int | None, so_far: list[int] | None) -> int | Non
         return None if sides[0] is None else sides[1] if sides[0] else sides[2]
     if not sides or None in sides:
         return None
-    a, b = sides[0], sides[-1]
-    if len(sides) == 1:
-        found = {"-": lambda: -a, "+": lambda: a, "~": lambda: ~a, "!": lambda: int(not a)}
-    else:
-        found = {
-            "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "&": lambda: a & b, "|": lambda: a | b, "^": lambda: a ^ b,
-            "/": lambda: (abs(a) // abs(b)) * (1 if (a < 0) == (b < 0) else -1) if b else None,
-            "%": lambda: abs(a) % abs(b) * (-1 if a < 0 else 1) if b else None,
-            "==": lambda: int(a == b), "!=": lambda: int(a != b), "<": lambda: int(a < b), "<=": lambda: int(a <= b), ">": lambda: int(a > b), ">=": lambda: int(a >= b),
-            "&&": lambda: int(bool(a and b)), "||": lambda: int(bool(a or b)),
-        }
-    value = found.get(kind, lambda: None)()
+    one = len(sides) == 1
+    of = (_UNARY if one else _BINARY).get(kind)
+    value = None if of is None else of(sides[0]) if one else of(sides[0], sides[-1])
     return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
 
 

@@ -346,9 +346,13 @@ def folded_constants(spark, sf):
     above = F.get(F.array(*map(F.lit, _OPERATORS)), ((F.col("tree") + F.greatest(k - 1, F.lit(1))) % 8).cast("int"))
     after = F.get(F.array(*map(F.lit, _OPERATORS)), ((F.col("tree") + k + 1) % 8).cast("int"))
     none = F.lit(None).cast("long")
-    leaf = F.struct((n + k - 2).alias("node"), F.lit(1).cast("long").alias("size"), F.when(n > 1, n - F.greatest(k, F.lit(2))).alias("parent"), F.when(n > 1, above).alias("parent_kind"), F.when(k == 1, 0).otherwise(1).alias("ord"), F.lit("leaf").alias("kind"), F.col("own").alias("own"))
-    inner = F.struct((n - 1 - k).alias("node"), (2 * k + 1).alias("size"), F.when(k < n - 1, n - 2 - k).alias("parent"), F.when(k < n - 1, after).alias("parent_kind"), F.lit(0).alias("ord"), turn.alias("kind"), none.alias("own"))
-    nodes = item.select("tree", F.explode(F.array_compact(F.array(leaf, F.when(k < n, inner)))).alias("x")).select("tree", "x.*")
+    # a row for the leaf and, but for the last item, one for the operator over it; an array of structs of all this is not compiled
+    each = item.select("*", F.explode(F.when(k < n, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("inner"))
+    of = lambda inner, leaf: F.when(F.col("inner"), inner).otherwise(leaf)
+    nodes = each.select(
+        "tree", of(n - 1 - k, n + k - 2).alias("node"), of(2 * k + 1, F.lit(1).cast("long")).alias("size"), of(F.when(k < n - 1, n - 2 - k), F.when(n > 1, n - F.greatest(k, F.lit(2)))).alias("parent"),
+        of(F.when(k < n - 1, after), F.when(n > 1, above)).alias("parent_kind"), F.when(F.col("inner") | (k == 1), 0).otherwise(1).alias("ord"), of(turn, F.lit("leaf")).alias("kind"), of(none, F.col("own")).alias("own"),
+    )
     found = trees.folded(nodes, trees.CONSTANTS).where("parent is null")
     return found.select(F.col("tree").alias("path"), F.coalesce("value", F.lit(-999999)).alias("value"))
 
