@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from sievework.operators import directives, intervals, linemap, ports, rules
+from sievework.operators import directives, intervals, layout, linemap, ports, rules
 from sievework.plans import wiring
+from sievework.sources import tables
 
 
 def plan_of(df):
@@ -82,3 +85,33 @@ def test_silenced_ranges_are_found_once(spark):
     left = directives.not_silenced(found, ranges.mapInArrow(counted, ranges.schema))
     assert sorted((r.line, r.code) for r in left.collect()) == [(0, "X"), (0, "Y"), (3, "X"), (3, "Y"), (6, "Y")]
     assert calls.value == 2
+
+
+def test_wrapping_is_compiled_and_greedy(spark):
+    rng = random.Random(7)
+    texts = [" " * rng.randrange(0, 90, 7) + "//" + "".join(rng.choice(["a", "bc", "\U0001f600", "x" * 30, "y" * 95]) + rng.choice([" ", "  ", "\t"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    df = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "path string, line_no int, raw string")
+    want = []
+    for i, t in enumerate(texts):
+        lead, parts = t[: len(t) - len(t.lstrip())], [[]]
+        for w in t.lstrip()[2:].split():
+            if parts[-1] and len(" ".join([*parts[-1], w])) > 80 - len(lead) - 3:
+                parts.append([])
+            parts[-1].append(w)
+        want += [(i, j, lead + "// " + " ".join(x)) for j, x in enumerate(parts)] if len(t) > 80 else [(i, 0, t)]
+    found = layout.wrapped(df, 80)
+    assert sorted((r.line_no, r.part_no, r.part) for r in found.collect()) == want
+    assert "lambda" not in plan_of(found)
+
+
+def test_port_drivers_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(tables, "stored", kept := (lambda df, name, real=tables.stored: plans.append(plan_of(df)) or real(df, name)))
+    monkeypatch.setattr(ports, "stored", kept)
+    n = F.col("id")
+    own = spark.range(2, 3).select(n.alias("unit"), n.alias("signal"), F.lit("assign").alias("ref"))
+    links = spark.range(2).select(n.alias("unit"), n.alias("signal"), (n + 10).alias("inst"), (n + 1).alias("target"), (n + 1).alias("port"))
+    declared = spark.range(3).select(n.alias("unit"), n.alias("port"))
+    found = ports.port_drivers(own, links, declared)
+    assert sorted((r.unit, r.port, r.ref, r.via) for r in found.collect()) == [(0, 0, "assign", 2), (1, 1, "assign", 1), (2, 2, "assign", 0)]
+    assert plans and not any("Broadcast" in p for p in plans)
