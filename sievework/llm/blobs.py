@@ -22,6 +22,17 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all numbers, then the next ones, and so on: the high bytes, which are mostly equal, then compress to nothing."""
+    a = np.ascontiguousarray(a)
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.ravel()
+
+
+def from_planes(data: np.ndarray, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
+
+
 def slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(key, slice) of each run of equal keys."""
     if len(sorted_keys):

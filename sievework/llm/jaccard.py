@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blobs import BLOB_SCHEMA, pack, rows_of_blobs, slices, starts, unpack
+from .blobs import BLOB_SCHEMA, from_planes, pack, planes, rows_of_blobs, slices, starts, unpack
 from .common import buckets as bucket_count
 from .common import drop, free_worker, marked, stored
 from .components import connected_components
@@ -204,7 +204,7 @@ def _even(kind: int, spread: np.ndarray, buckets: int, *columns: np.ndarray) ->
     """Rows that a later step passes on, dealt evenly."""
     bucket = spread % buckets
     order = np.argsort(bucket, kind="stable")
-    return [(b, kind, pack(*(c[order][s] for c in columns))) for b, s in slices(bucket[order])]
+    return [(b, kind, pack(*(planes(c[order][s]) for c in columns))) for b, s in slices(bucket[order])]
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -249,12 +249,15 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
         rows += _even(MEMBER, np.arange(len(m)), buckets, sig[m], id_[d[m]], tag[m].astype(np.int64), id_[d[order[head[many]]]])
         one = order[np.unique(head)]
         d, sig, tag, bucket = d[one], sig[one], tag[one], bucket[one]
-        order = np.argsort(bucket, kind="stable")
-        sig, entry = sig[order].astype(np.uint32), ((d << 32) + (tag + 128))[order]
-        for b, s in slices(bucket[order]):
-            named, at = np.unique(entry[s], return_inverse=True)
-            e, t = named >> 32, (named & 0xFFFFFFFF) - 128
-            rows.append((b, 0, pack(id_[e], sizes[e].astype(np.int32), t.astype(np.int32), at.astype(np.uint16), sig[s])))
+        entry = (d << 32) + (tag + 128)
+        order = np.lexsort((entry, bucket))
+        sig, entry, bucket = sig[order].astype(np.uint32), entry[order], bucket[order]
+        new = np.flatnonzero(starts(bucket, entry))
+        of, times, tag = entry[new] >> 32, np.diff(np.append(new, len(entry))), (entry[new] & 0xFFFFFFFF).astype(np.uint32)
+        for b, s in slices(bucket[new]):  # a document's id, size and tag, which stand in each bucket anew, are most of what is shuffled
+            at = slice(new[s.start], new[s.stop] if s.stop < len(new) else len(sig))
+            columns = (np.diff(id_[of[s]], prepend=0), sizes[of[s]].astype(np.int32), tag[s], times[s].astype(np.int32))
+            rows.append((b, 0, pack(*map(planes, columns), sig[at])))
         return rows_of_blobs(rows)
 
     free_worker()
@@ -291,10 +294,13 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             data = data.as_py()
             if kind:
-                yield from _row_batches(kind, *unpack(data, *["<i8"] * (4 if kind == MEMBER else 3)))
+                yield from _row_batches(kind, *(from_planes(x, "<i8") for x in unpack(data, *["u1"] * (4 if kind == MEMBER else 3))))
             else:
-                ids, sizes, tag, local, sig = unpack(data, "<i8", "<i4", "<i4", "<u2", "<u4")
-                parts.append((ids[local], sizes[local], bucket << 32 | sig.astype(np.int64), tag[local]))
+                *columns, sig = unpack(data, *["u1"] * 4, "<u4")
+                ids, sizes, tag, times = map(from_planes, columns, ("<i8", "<i4", "<u4", "<i4"))
+                each = (np.cumsum(ids), sizes, (tag.astype(np.int64) - 128).astype(np.int32))
+                ids, sizes, tag = (np.repeat(x, times) for x in each)
+                parts.append((ids, sizes, bucket << 32 | sig.astype(np.int64), tag))
     if parts:
         ids, sizes, sig, tag = (np.concatenate(x) for x in zip(*parts))
         order, _, first, many = _groups(sig, ids, sizes, tag)
@@ -386,13 +392,11 @@ def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
     Columns: sig, id, tag, c (component), weight: how large the set's groups are in all, n: how many
     it has.
     """
-    placed = stored(members.distinct().join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c")), "members")
-    open_ = placed.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("g")).where("c0 <> c1").select("sig", "g")
-    rows = placed.join(open_, "sig")
-    needy = rows.groupBy("id", "tag").agg(F.count("*").alias("n"), F.sum("g").alias("weight")).where(F.col("n") > F.shiftright("tag", 6))
-    found = stored(rows.join(needy, ["id", "tag"]).select("sig", "id", "tag", "c", "weight", "n"), "unsettled")
-    drop(placed)
-    return found
+    placed = members.repartition("id").distinct().join(component, "id", "left").select("sig", "id", "tag", F.coalesce("component", "id").alias("c"))  # one shuffle for both
+    group, mine = Window.partitionBy("sig"), Window.partitionBy("id", "tag")
+    open_ = placed.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group), "g": F.count("*").over(group)}).where("c0 <> c1")
+    counted = open_.withColumns({"n": F.count("*").over(mine), "weight": F.sum("g").over(mine)}).where(F.col("n") > F.shiftright("tag", 6))
+    return stored(counted.select("sig", "id", "tag", "c", "weight", "n"), "unsettled")
 
 
 def _starred(left: DataFrame, others: int = 2) -> DataFrame:
@@ -437,8 +441,9 @@ def _near_hubs(compared: DataFrame) -> DataFrame:
     shared = lambda e: F.greatest(F.lit(1), F.ceil((F.col("e") + e) / 18))
     sized = placed.join(bounds, "hub").withColumn("low", F.col("d") - shared(F.greatest("e", other)) + 1).withColumn("high", F.col("d") - shared(other) + 1)
     elements = sized.where("high > 0").select("hub", "id", "key", "c", "n", "d", "e", "low", "high", F.explode("x").alias("h"))
-    common = elements.groupBy("hub", "h").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("hub", "h", "f")
-    met = elements.join(common, ["hub", "h"]).groupBy("hub", "id", "key", "c", "n", "d", "e", "low", "high").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    same = Window.partitionBy("hub", "h")
+    common = elements.withColumns({"f": F.count("*").over(same), "c0": F.min("c").over(same), "c1": F.max("c").over(same)}).where("c0 <> c1")
+    met = common.groupBy("hub", "id", "key", "c", "n", "d", "e", "low", "high").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
     own = F.col("d") - F.size("s")
     heads = met.withColumn("own", own).select("hub", "id", "c", "n", "d", "e", "low", "own", F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.least(F.size("s"), F.col("high") - own)).cast("int"))).alias("at", "s"))
     heads = stored(heads.select("hub", F.col("s.h").alias("h"), "id", "c", "n", "d", "e", "low", (F.col("own") + F.col("at") + 1).alias("r")), "heads")
