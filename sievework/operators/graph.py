@@ -32,16 +32,17 @@ def resolved_names(wanted: DataFrame, files: DataFrame, folders: Sequence[str],
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All pairs (src, dst) with a path of one edge or more; cycles are fine.
 
-    Path doubling: paths of up to 2^r edges after r rounds. A shortest path that is longer than all known ones begins with one
-    of the longest, which are those of the last round, so these are joined once with all. The result is a stored table.
+    Path doubling: all pairs that are at most ``far`` edges apart, with how many edges. A shortest path of up to twice that many begins with
+    one of exactly ``far`` edges, so only these are joined with all, and each such path is found once. The result's rows lie in one stored table a round.
     """
-    known = Gathered("closure")
-    new = known.add(edges.select("src", "dst").distinct())
+    known = Gathered("closure", most_rounds)
+    new, far = known.add(edges.select("src", "dst", F.lit(1).cast("long").alias("n")).distinct()), 1
     for _ in range(most_rounds):
-        step = new.select("src", F.col("dst").alias("mid")).join(known.rows().select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        new = known.add(step.join(known.rows(), ["src", "dst"], "left_anti"))
-        if new.isEmpty():
-            return known.whole()
+        begun = new.where(F.col("n") == far).select("src", F.col("dst").alias("mid"))
+        if begun.isEmpty():
+            return known.rows().select("src", "dst")
+        step = begun.join(known.rows().select(F.col("src").alias("mid"), "dst", (F.col("n") + far).alias("n")), "mid").groupBy("src", "dst").agg(F.min("n").alias("n"))
+        new, far = known.add(step.join(known.rows().select("src", "dst"), ["src", "dst"], "left_anti")), 2 * far
     raise RuntimeError("the closure did not settle")
 
 

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sievework.operators import directives, intervals, layout, linemap, ports, rules
+from sievework.operators import directives, graph, intervals, layout, linemap, ports, rules
 from sievework.plans import wiring
 from sievework.sources import tables
 
@@ -115,3 +115,17 @@ def test_port_drivers_broadcast_nothing(spark, monkeypatch):
     found = ports.port_drivers(own, links, declared)
     assert sorted((r.unit, r.port, r.ref, r.via) for r in found.collect()) == [(0, 0, "assign", 2), (1, 1, "assign", 1), (2, 2, "assign", 0)]
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_closure_writes_each_pair_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tables, "stored", lambda df, name, real=tables.stored: written.append(real(df, name)) or written[-1])
+    rng = random.Random(4)
+    edges = {(i, i + 1) for i in range(21)} | {(30 + i, 30 + (i + 1) % 9) for i in range(9)} | {(rng.randrange(50, 75), rng.randrange(50, 75)) for _ in range(40)}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    found = graph.closure(spark.createDataFrame(sorted(edges), "src int, dst int"))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and found.columns == ["src", "dst"]
+    assert sum(t.count() for t in written) == len(want)
+    assert graph.closure(spark.createDataFrame([], "src int, dst int")).isEmpty()
