@@ -11,7 +11,7 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import drop, stored  # noqa: F401  shared with the other operators
+from ..sources.tables import drop, marked, stored  # noqa: F401  shared with the other operators
 
 T = TypeVar("T")
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -52,20 +52,6 @@ def buckets(docs: DataFrame, text_col: str = "text", bucket_bytes: int = 8 << 20
     return max(partitions(docs.sparkSession), -(-size // bucket_bytes))
 
 
-def marked(docs: DataFrame, key: Column, keys: DataFrame, most_bits: int = 25) -> DataFrame:
-    """``docs`` with ``__near``, which is false only where ``key``, a long, is not in ``keys`` (distinct).
-
-    A bitmap of hashed keys (4 MB at most) tells; so texts that no later join can
-    meet need not be shuffled for it. Where there are too many keys for the bitmap, more rows are near than need be.
-    """
-    bits = min(most_bits, max(16, keys.count().bit_length() + 5))
-    place = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
-    bit = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
-    words = keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(bit("p")).alias("__marks"))
-    placed = docs.withColumn("__place", place(key)).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word", "left")
-    return placed.withColumn("__near", F.coalesce(F.col("__marks").bitwiseAND(bit("__place")) != 0, F.lit(False))).drop("__place", "__word", "__marks")
-
-
 def keyed(docs: DataFrame, key: Column) -> DataFrame:
     """``docs`` under the names c0, c1 and so on, with ``key``: no name of theirs can clash with one of a step."""
     return docs.select(*map(column, docs.columns), key).toDF(*(f"c{i}" for i in range(len(docs.columns))), "key")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import normal_path
-from ..sources.tables import Gathered, drop, stored
+from ..sources.tables import Gathered, drop, marked, stored
 
 
 def unit_graph(channels: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -86,25 +86,34 @@ def first_visits(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000)
     """
     none = F.array().cast(f"array<{roots.schema['node'].dataType.simpleString()}>")
     edges = stored(edges.select("forest", "src", "dst", F.col("ord").cast("long").alias("ord")), "edges")
-    best = front = stored(roots.groupBy("forest", "node").agg(F.min(F.struct(F.array(F.col("ord").cast("long")).alias("key"), none.alias("way"))).alias("x")), "visits")
+    known = Gathered("visits")
+    front = known.add(roots.groupBy("forest", "node").agg(F.min(F.struct(F.array(F.col("ord").cast("long")).alias("key"), none.alias("way"))).alias("x")))
     for _ in range(most_rounds):
-        tried = front.join(edges.withColumnRenamed("src", "node"), ["forest", "node"]).where(~F.array_contains("x.way", F.col("dst")) & (F.col("dst") != F.col("node")))
-        reached = tried.groupBy("forest", F.col("dst").alias("node")).agg(F.min(F.struct(F.concat("x.key", F.array("ord")).alias("key"), F.concat("x.way", F.array("node")).alias("way"))).alias("x"))
-        old = best.withColumnRenamed("x", "old")
-        less = stored(reached.join(old, ["forest", "node"], "left").where(F.col("old").isNull() | (F.col("x") < F.col("old"))).select("forest", "node", "x"), "less")
-        if less.isEmpty():
-            drop(less)
+        near = _meeting(edges.withColumnRenamed("src", "node"), front)
+        tried = front.join(near, ["forest", "node"]).where(~F.array_contains("x.way", F.col("dst")) & (F.col("dst") != F.col("node")))
+        reached = stored(tried.groupBy("forest", F.col("dst").alias("node")).agg(F.min(F.struct(F.concat("x.key", F.array("ord")).alias("key"), F.concat("x.way", F.array("node")).alias("way"))).alias("x")), "reached")
+        if reached.isEmpty():
+            drop(reached)
+            break
+        old = _meeting(known.rows(), reached).select("forest", "node", F.lit(None).cast(reached.schema["x"].dataType).alias("x"), F.col("x").alias("old"))
+        both = reached.withColumn("old", F.lit(None).cast(reached.schema["x"].dataType)).unionByName(old).groupBy("forest", "node").agg(F.min("x").alias("x"), F.min("old").alias("old"))
+        front = known.add(both.where("x is not null and (old is null or x < old)").select("forest", "node", "x"))
+        drop(reached)
+        if front.isEmpty():
             break
-        merged = stored(best.join(less.select("forest", "node"), ["forest", "node"], "left_anti").unionByName(less), "visits")
-        drop(*{id(t): t for t in (best, front)}.values())
-        best, front = merged, less
     else:
         raise RuntimeError("the walk did not settle")
-    found = stored(best.select("forest", "node", "x.key", "x.way"), "first-visits")
-    drop(edges, *{id(t): t for t in (best, front)}.values())
+    found = stored(known.rows().groupBy("forest", "node").agg(F.min("x").alias("x")).select("forest", "node", "x.key", "x.way"), "first-visits")
+    drop(edges, *known.tables)
     return found
 
 
+def _meeting(rows: DataFrame, those: DataFrame) -> DataFrame:
+    """``rows`` of the nodes of ``those``, and of a few others: what a late round cannot meet is dropped before its shuffle."""
+    place = F.xxhash64("forest", "node")
+    return marked(rows, place, those.select(place.alias("place"))).where("__near").select(*rows.columns)
+
+
 def rendered_forest(edges: DataFrame, roots: DataFrame, captions: DataFrame) -> DataFrame:
     """(forest, root_ord, line_no, line): each root's tree as text; a node is walked where it comes first, later places say ``(seen)``.
 
@@ -117,7 +126,7 @@ def rendered_forest(edges: DataFrame, roots: DataFrame, captions: DataFrame) ->
     again = roots.select("forest", "node", F.array(F.col("ord").cast("long")).alias("key")).join(visits.select("forest", "node", F.col("key").alias("first")), ["forest", "node"]).where("key <> first").select("forest", "node", "key")
     shown = visits.select("forest", "node", "key").unionByName(again)
     placed = shown.withColumnRenamed("node", "src").join(children, ["forest", "src"])
-    lines = placed.select("forest", F.concat("key", F.array(F.col("ord").cast("long"))).alias("key"), "kind", "dst", "last", F.col("key").alias("up"))
+    lines = stored(placed.select("forest", F.concat("key", F.array(F.col("ord").cast("long"))).alias("key"), "kind", "dst", "last", F.col("key").alias("up")), "lines")
     # the bars before a line: for each node between root and line, whether its siblings go on; these are the lines of the key's beginnings
     beginnings = F.when(F.size("up") > 1, F.transform(F.sequence(F.lit(2), F.size("up")), lambda n: F.slice("up", F.lit(1), n)))
     inner = lines.select("forest", F.explode(beginnings).alias("begin"), F.col("key").alias("of")).withColumnRenamed("begin", "key")

@@ -129,3 +129,19 @@ def test_closure_writes_each_pair_once(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(want) and found.columns == ["src", "dst"]
     assert sum(t.count() for t in written) == len(want)
     assert graph.closure(spark.createDataFrame([], "src int, dst int")).isEmpty()
+
+
+def test_first_visits_write_what_became_less_only(spark, monkeypatch):
+    written = []
+
+    def counted(df, name, real=tables.stored):
+        written.append((name, (found := real(df, name)).count()))
+        return found
+
+    monkeypatch.setattr(tables, "stored", counted)
+    monkeypatch.setattr(graph, "stored", counted)
+    edges = [(1, n, n + 1, 0) for n in range(9)] + [(1, 0, 9, 1), (1, 9, 0, 0), (2, 5, 6, 0)]
+    found = graph.first_visits(spark.createDataFrame(edges, "forest int, src int, dst int, ord int"), spark.createDataFrame([(1, 0, 0), (2, 5, 0)], "forest int, node int, ord int"))
+    got = {(r.forest, r.node): (r.key, r.way) for r in found.collect()}
+    assert got == {(1, n): ([0] * (n + 1), list(range(n))) for n in range(10)} | {(2, 5): ([0], []), (2, 6): ([0, 0], [5])}
+    assert sum(n for name, n in written if name == "visits") == 13
