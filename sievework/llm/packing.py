@@ -15,11 +15,13 @@ import os
 import string
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +41,10 @@ class Limits:
 class WordIds:
     """Token ids of texts under a vocabulary that drops white space, as little-endian uint32 bytes.
 
-    White space separates tokens there, so words are encoded once and short ones remembered,
-    within ``remembered_bytes``; longer ones only for a batch. Words of lower-case letters skip the normaliser, which leaves
-    them as they are; everything else goes through the whole tokenizer.
+    White space separates tokens there, so each distinct word of a batch is looked up once. A word of letters and then
+    punctuation is its letters, lower-cased, which skip the normaliser (it leaves them as they are), and its tail; Arrow's kernels
+    cut those with letters as in Western Europe, other words go through Python or the whole tokenizer. Short parts and words are
+    remembered, within ``remembered_bytes``; longer ones only for a batch.
     """
 
     def __init__(self, path: str, remembered_bytes: int = 128 << 20):
@@ -60,14 +63,15 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if self.suffix and t.endswith(self.suffix)]] = True
         self.remembered_bytes, self.bytes = remembered_bytes, 0
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}  # letters, and tails of punctuation
+        self.long: list[tuple[dict[str, bytes], str]] = []  # what is not remembered, and where
 
     def _full(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch(texts, add_special_tokens=False)]
 
     def _learn_cores(self, new: list[str]) -> None:
-        lines = [" ".join(new[i : i + 1024]) for i in range(0, len(new), 1024)]
-        ids = np.fromiter((i for e in self.bare.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids), "<u4")
+        lines = [" ".join(new[i : i + 256]) for i in range(0, len(new), 256)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(new):  # a vocabulary without word ends
             self.cores.update(zip(new, self._full(new)))
@@ -78,7 +82,21 @@ class WordIds:
             self.cores[word] = data[4 * at : 4 * cut]
             at = cut
 
-    def _learn(self, new: set[str]) -> None:
+    def _know(self, cores: Iterable[str], tails: Iterable[str]) -> None:
+        """Learn the letters and the tails that are not known yet."""
+        new = [c for c in cores if c not in self.cores]
+        if new:
+            self._learn_cores(new)
+        odd = [t for t in tails if t not in self.cores]
+        if odd:
+            self.cores.update(zip(odd, self._full(odd)))
+        self._keep(self.cores, new + odd)
+
+    def _keep(self, known: dict[str, bytes], new: list[str]) -> None:
+        self.bytes += 4 * sum(map(len, new)) + REMEMBERED * len(new)
+        self.long += [(known, w) for w in new if len(w) > LONG]
+
+    def _learn(self, new: list[str]) -> None:
         plain, odd = [], []
         for word in new:
             if word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word)):
@@ -88,41 +106,54 @@ class WordIds:
                     plain.append((word, core, low[len(core) :]))
                     continue
             odd.append(word)
-        cores = list({c for _, c, _ in plain}.difference(self.cores))
-        if cores:
-            self._learn_cores(cores)
-        tails = list({t for *_, t in plain}.difference(self.cores))
-        if tails:
-            self.cores.update(zip(tails, self._full(tails)))
+        self._know({c for _, c, _ in plain}, {t for *_, t in plain})
         for word, core, tail in plain:
             self.words[word] = self.cores[core] + self.cores[tail]
         if odd:
             self.words.update(zip(odd, self._full(odd)))
+        self._keep(self.words, new)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*cut)
-        new = wanted.difference(self.words)
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, p)) for p in cut]
-        self._forget(new)
-        return out
+    def _plain(self, words: pa.Array) -> pa.Array:
+        """Ids of words of letters and then punctuation."""
+        core = pc.utf8_lower(pc.utf8_rtrim(words, characters=string.punctuation)).dictionary_encode()
+        tail = pc.utf8_ltrim(words, characters=_LETTERS).dictionary_encode()
+        cores, tails = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (core, tail))
+        self._know(cores, tails)
+        heads, ends = (pa.array(list(map(self.cores.__getitem__, x)), pa.large_binary()) for x in (cores, tails))
+        return pc.binary_join_element_wise(heads.take(core.indices), ends.take(tail.indices), pa.scalar(b"", pa.large_binary()))
 
-    def _forget(self, new: set[str]) -> None:
-        self.bytes += sum(8 * len(w) + 400 for w in new)  # a word, its core and their ids
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        places = cut.values.dictionary_encode()
+        words = places.dictionary
+        easy = pc.match_substring_regex(words, _PLAIN)
+        plain, odd = words.filter(easy), words.filter(pc.invert(easy)).to_pylist()
+        self._learn([w for w in odd if w not in self.words])
+        known = pa.concat_arrays([self._plain(plain), pa.array([self.words[w] for w in odd], pa.large_binary())])
+        first = easy.to_numpy(zero_copy_only=False)
+        row = np.where(first, np.cumsum(first) - 1, len(plain) + np.cumsum(~first) - 1)  # of a word in ``known``
+        found = known.take(pa.array(row[places.indices.to_numpy()]))
+        _, ends, data = found.buffers()
+        at = np.frombuffer(ends, "<i8", len(found) + 1)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        self._forget()
+        return [data[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    def _forget(self) -> None:
+        for known, w in self.long:
+            del known[w]
+            self.bytes -= 4 * len(w) + REMEMBERED
+        self.long.clear()
         if self.bytes > self.remembered_bytes:
             self.words.clear()
             self.cores.clear()
             self.bytes = 0
-        elif long := [w for w in new if len(w) > LONG]:
-            for w in long:
-                del self.words[w]
-            self.cores = {c: x for c, x in self.cores.items() if len(c) <= LONG}
-            self.bytes -= sum(8 * len(w) + 400 for w in long)
 
 
+_LETTERS = string.ascii_letters + "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+_PLAIN = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*\z"
+#: Bytes that a remembered word takes besides its characters: two objects and a place in a dictionary.
+REMEMBERED = 240
 #: Words of more characters are not remembered.
 LONG = 64
 

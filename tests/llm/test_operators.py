@@ -315,6 +315,19 @@ def test_pieces_and_words_tokenize_like_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_known_by_their_letters():
+    """Cases and punctuation of one word are learned once, and batches of any letters give the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    texts = ["Straße word, WORD. word!? (word) Éa éa; ÉA", "ẞ ÿ Ÿ ª µ × a÷ a\u0301 İa don't a\u00a0b", "", " ", "\n\n", "a" * 100 + " " + "é" * 70 + "."]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {c for c in encoder.cores if c.isalpha()} >= {"straße", "word", "éa"} and not encoder.words.keys() & {"Straße", "word,", "WORD.", "word!?", "éa;"}
+    assert max(map(len, [*encoder.cores, *encoder.words])) <= packing.LONG and encoder.encode([]) == []
+
+
 def check_packing(rows, docs, limits, loss=False):
     by_doc, by_sequence = {}, {}
     for r in rows:
