@@ -12,10 +12,9 @@ is still too little, every single element.
 Sets that share a signature form a group. First each group's sets are compared with
 its smallest id only, which joins nearly all of them into components. A group whose
 sets lie in one component is settled. A set with more than ``k`` settled segments has met
-all partners. Only sets with fewer go on: they are compared with a few more members of
-their unsettled groups. Those still unsettled are described by what sets them apart from the
-hubs of their groups: linked sets differ from a common hub in much the same elements, so a
-prefix of the rarest of these finds every pair that is left.
+all partners. Only sets with fewer go on: they are compared with the hubs of their unsettled groups,
+which joins more of them, and described by what sets them apart from these: linked sets differ from
+a common hub in much the same elements, so a prefix of the rarest of these finds every pair that is left.
 Equal sets, and equal signatures, are merged within a task's block of documents first.
 """
 
@@ -27,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ def shingles(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Hashes of words, kept for one block of documents."""
+    """Hashes of words, kept for one block of documents and the batch that it ends in."""
 
     def __missing__(self, word: bytes) -> int:
         found = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -66,13 +66,23 @@ class WordHashes(dict):
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-def hashed_set(text: str | None, known: WordHashes) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles, mixed from those of their words."""
-    words = text.encode().lower().split() if text else []
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: pa.Array, known: WordHashes) -> list[np.ndarray]:
+    """Hashes of the words of each text; each distinct word of the batch is looked up once."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    places = cut.values.dictionary_encode()
+    words = places.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    at = places.indices.to_numpy()
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))[at]
+    word = np.fromiter(map(len, words), np.int64, len(words))[at] > 0  # white space at either end leaves an empty one
+    ends = np.concatenate([[0], np.cumsum(word)])[cut.offsets.to_numpy()]
+    return np.split(hashes[word], ends[1:-1]) if len(texts) else []
+
+
+def hashed_set(w: np.ndarray) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles, mixed from those of its words."""
     n = len(w) - SHINGLE + 1
     if n <= 1:
-        return _mix((w * _FACTORS[: len(w)]).sum(keepdims=True)) if words else w
+        return _mix((w * _FACTORS[: len(w)]).sum(keepdims=True)) if len(w) else w
     return np.unique(_mix(sum(w[i : i + n] * f for i, f in enumerate(_FACTORS))))
 
 
@@ -175,8 +185,11 @@ def _apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def _groups(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order by signature and id; group number; the first of the group; whether the group has two ids."""
-    order = np.lexsort((ids, sig))
+    order = np.argsort(sig)
     new = starts(sig[order])
+    shared = np.flatnonzero(~new | ~np.append(new[1:], True))  # the others stand alone, in whatever order their ids are
+    part = np.sort(order[shared])
+    order[shared] = part[np.lexsort((ids[part], sig[part]))]
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)[group]
     many = (np.bincount(group, ids[order] != ids[order][first]) > 0)[group]
@@ -265,11 +278,11 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
     sets: list[np.ndarray] = []
     known, size = WordHashes(), 0
     for batch in batches:
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
+        sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+        for id_, words, length in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1), known), sizes):
             ids.append(id_)
-            sets.append(hashed_set(text, known))
-            size += len(text or "")
+            sets.append(hashed_set(words))
+            size += length
             if size >= block_bytes or len(ids) >= 20_000:
                 yield flush(ids, sets)
                 ids, sets, known, size = [], [], WordHashes(), 0
@@ -399,14 +412,6 @@ def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
     return stored(counted.select("sig", "id", "tag", "c", "weight", "n"), "unsettled")
 
 
-def _starred(left: DataFrame, others: int = 2) -> DataFrame:
-    """Pairs of the members of each group with its weightiest member, which is most like the rest, and a few others."""
-    least = [F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(k))) for k in range(others)]
-    chosen = left.groupBy("sig").agg(F.array_distinct(F.array(F.max_by(F.struct("id", "c"), F.struct("weight", "id")), *least)).alias("centres"))
-    paired = left.join(chosen, "sig").select("id", "c", F.explode("centres").alias("o")).where("c <> o.c")
-    return paired.groupBy(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).agg(F.min("o.id").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"))
-
-
 def _clusters(left: DataFrame) -> DataFrame:
     """(hub, id, c): each set with the weightiest members of its unsettled groups, and each of those with itself.
 
@@ -486,24 +491,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drop(met, members)
     done = [links]
 
-    def joined(compared: DataFrame) -> DataFrame:
-        found = connected_components(_links(compared).unionByName(component.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    def joined(found: DataFrame) -> DataFrame:
+        both = connected_components(found.unionByName(component.select(F.col("component").alias("a"), F.col("id").alias("b"))))
         drop(component)
-        return found
+        return both
 
     if not left.isEmpty():
-        again = stored(_starred(left), "pairs")
-        links = _against_hubs(again, docs, n)
-        component = joined(links)
-        rest = _unsettled(left.select("sig", "id", "tag"), component)
-        done += [again, links, rest]
-        if not rest.isEmpty():
-            clusters = stored(_clusters(rest), "clusters")
-            near = _against_hubs(clusters, docs, n, delta=True)
-            last = _near_hubs(near)
-            links = _against_hubs(last, docs, n)
-            component = joined(near.select("hub", "id", "linked").unionByName(links.select("hub", "id", "linked")))
-            done += [clusters, near, last, links]
+        clusters = stored(_clusters(left), "clusters")
+        near = _against_hubs(clusters, docs, n, delta=True)
+        component = joined(_links(near))
+        last = _near_hubs(near.drop("c").join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+        links = _against_hubs(last, docs, n)
+        component = joined(_links(links))
+        done += [clusters, near, last, links]
     all_docs = kind(DOCUMENT).select(F.when(F.col("tag") == 1, F.col("a")).alias("id"), F.col("b").alias("n_shingles"))
     found = stored(all_docs.join(component, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id")), "found")
     drop(rows, left, component, *done)

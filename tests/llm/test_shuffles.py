@@ -9,9 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
+import xxhash
 
 from sievework.llm import blobs, jaccard
 
+from tests.llm import brute
+
 
 @pytest.mark.parametrize("values, kind", [([], "<i8"), ([-1, 0, 1 << 62, -(1 << 63)], "<i8"), ([0, 7, 1 << 31], "<u4"), ([5], "<i4")])
 def test_planes_come_back(values, kind):
@@ -44,3 +47,35 @@ def test_members_are_counted_in_three_shuffles(spark, monkeypatch):
     want = {(s, i, 64, c, 3 * 3 + 2 * (i == 10), 3 + (i == 10)) for s in (1, 2, 3) for i, c in ((10, 10), (11, 10), (12, 12))} | {(5, 10, 64, 10, 11, 4)}
     assert {tuple(r) for r in found.select("sig", "id", "tag", "c", "weight", "n").collect()} == want and len(plans) == 1
     assert len(re.findall(r"Exchange hashpartitioning\((?:sig|id)", plans[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])) <= 4  # three of members, one of components
+
+
+def test_unsettled_texts_are_shuffled_for_hubs_once(spark, monkeypatch):
+    """Chains of near copies beside documents with one passage: three comparisons in all, of which one with hubs, find every link."""
+    rng = random.Random(9)
+    words = [f"c{i}" for i in range(120)]
+    docs = []
+    for i in range(40):
+        docs.append((i, " ".join(words)))
+        words[(37 * i) % 120] = f"d{i}"
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs += [(100 + i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([3, 6, 9, 12, 40])))) for i in range(150)]
+    names, stored = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: names.append(name) or stored(df, name))
+    found = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, brute.jaccard_components(docs)))
+    assert "clusters" in names and names.count("compared") == 3 and names.count("unsettled") == 1
+
+
+def test_words_are_hashed_once_a_batch():
+    looked_up = []
+
+    class Counted(jaccard.WordHashes):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    texts = [None, "", " \t", "A b\x0bA", "\na é b É\x85 ", "b " * 50]
+    known = Counted()
+    got = jaccard.word_hashes(pa.array(texts), known)
+    want = [[xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().lower().split()] for t in texts]
+    assert [x.tolist() for x in got] == want and len(looked_up) == len(set(looked_up))
