@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ _KEPT: dict[tuple[str, str], object] = {}
 def kept_in_worker(operator: str, name: str, make: Callable[[], T]) -> T:
     """The object that ``make`` gives, kept for later tasks of this worker; what other operators kept goes."""
     if (operator, name) not in _KEPT:
-        _KEPT.clear()
+        free_worker()
         _KEPT[operator, name] = make()
     return _KEPT[operator, name]
 
@@ -34,6 +37,26 @@ def kept_in_worker(operator: str, name: str, make: Callable[[], T]) -> T:
 def free_worker() -> None:
     """Let go what other operators kept in this worker."""
     _KEPT.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what allocators of this worker hold for later use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` over Arrow batches, after which a waiting worker holds no memory that is free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def column(name: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import FOLD, column, drop, marked, stored
+from .common import FOLD, column, drop, marked, stored, tidy
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,7 +74,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, block_bytes: int) -> DataFram
                     total.update(filter(known, words(text.as_py())))
             yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-        return docs.select("text").mapInArrow(count, "term string, n long")
+        return docs.select("text").mapInArrow(tidy(count), "term string, n long")
 
     return _union([counter(b) for b in _blocks(terms, block_bytes)] or [terms.select("term", F.lit(0).cast("long").alias("n")).limit(0)]).groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -108,7 +108,7 @@ def postings(docs: DataFrame, terms: DataFrame, block_bytes: int) -> DataFrame:
                         yield rows()
             yield rows()
 
-        return docs.select("id", "key", "text").mapInArrow(post, "term string, id long, key long, positions array<int>")
+        return docs.select("id", "key", "text").mapInArrow(tidy(post), "term string, id long, key long, positions array<int>")
 
     return _union([poster(b) for b in _blocks(terms, block_bytes)])
 
@@ -225,4 +225,4 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, rarest:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"])
 
-    return joined.mapInArrow(verify, schema)
+    return joined.mapInArrow(tidy(verify), schema)

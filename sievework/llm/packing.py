@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_in_worker
+from .common import kept_in_worker, tidy
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class WordIds:
     remembered, within ``remembered_bytes``; longer ones only for a batch.
     """
 
-    def __init__(self, path: str, remembered_bytes: int = 128 << 20):
+    def __init__(self, path: str, remembered_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -258,7 +258,7 @@ class Packer:
         return out
 
 
-def pack_examples(df: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, batch_chars: int = 4 << 20) -> DataFrame:
+def pack_examples(df: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, batch_chars: int = 1 << 20) -> DataFrame:
     """Pack every example of ``df`` into sequences; one row per placed piece.
 
     Columns: ``id_col``, start, length, ids_crc32, doc_tokens, loss_tokens,
@@ -307,7 +307,7 @@ def pack_examples(df: DataFrame, tokenizer_path: str, end_id: int = 2, limits: L
         packer.finish()
         yield from rows()
 
-    return source.mapInArrow(pack, schema)
+    return source.mapInArrow(tidy(pack), schema)
 
 
 def _by_size(texts: list[str], prompts: list[str], most: int) -> Iterator[tuple[int, int]]:

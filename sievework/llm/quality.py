@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, column
+from .common import FOLD, column, tidy
 
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SYMBOLS = b"#*$%&|<>~^{}[]@\\_="
@@ -178,7 +178,7 @@ def learn(df: DataFrame, ratings: DataFrame, n_grades: int, f: Fit = Fit(), id_c
             found = [make.of(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], names=["id", "grade", "features"])
 
-    kept = joined.mapInArrow(features, "id long, grade int, features array<int>").where("size(features) > 0").toArrow()
+    kept = joined.mapInArrow(tidy(features), "id long, grade int, features array<int>").where("size(features) > 0").toArrow()
     sizes = pc.list_value_length(kept["features"]).to_numpy()
     order = np.lexsort((sizes, kept["grade"].to_numpy(), kept["id"].to_numpy()))
     kept, sizes = kept.take(order), sizes[order]
@@ -218,7 +218,7 @@ def score(df: DataFrame, model: Ordinal | None, wanted: int, f: Fit = Fit(), lea
                 columns = [pa.array(empty, pa.float64()), pa.array(empty, pa.float64()), pa.array(some, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "expected_grade", "tail_probability", "kept"])
 
-    return source.mapInArrow(rate, schema).toDF(*names, "expected_grade", "tail_probability", "kept")
+    return source.mapInArrow(tidy(rate), schema).toDF(*names, "expected_grade", "tail_probability", "kept")
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:

@@ -603,3 +603,19 @@ def test_ordinal_fit_is_a_maximum_and_scores_are_its_probabilities(spark):
     for r in quality.score(docs, model, 2, f).collect():
         c = 1 / (1 + np.exp(-(model.thresholds - model.weights[make.of(r.text)].sum(dtype=float))))
         assert abs(r.tail_probability - (1 - c[1])) < 1e-6 and abs(r.expected_grade - (2 - c.sum())) < 1e-6 and r.kept == (1 - c[1] >= 0.65)
+
+
+def test_remembered_words_and_waiting_workers_hold_little():
+    words = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    for i in range(0, 240_000, 60_000):
+        words.encode([" ".join(f"{j:06d}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(i, i + 60_000))])
+    assert words.bytes <= 32 << 20
+    called = []
+    from sievework.llm import common
+
+    step = common.tidy(lambda batches: (called.append("row") or b for b in batches))
+    give_back, common.give_back = common.give_back, lambda: called.append("back")
+    try:
+        assert list(step(iter([1, 2]))) == [1, 2] and called == ["row", "row", "back"]
+    finally:
+        common.give_back = give_back
