@@ -33,6 +33,19 @@ def from_planes(data: np.ndarray, kind: str) -> np.ndarray:
     return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeezed(a: np.ndarray) -> np.ndarray:
+    """The planes of ``a`` by zstd: a shuffle's own LZ4 shortens repeats only, not numbers of a small range."""
+    return np.frombuffer(_ZSTD.compress(planes(a).tobytes(), asbytes=True), np.uint8)
+
+
+def unsqueezed(data: np.ndarray, kind: str, length: int) -> np.ndarray:
+    size = length * np.dtype(kind).itemsize
+    return from_planes(np.frombuffer(_ZSTD.decompress(data.tobytes(), size, asbytes=True), np.uint8), kind)
+
+
 def slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(key, slice) of each run of equal keys."""
     if len(sorted_keys):

@@ -28,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blobs import BLOB_SCHEMA, from_planes, pack, planes, rows_of_blobs, slices, starts, unpack
+from .blobs import BLOB_SCHEMA, from_planes, pack, planes, rows_of_blobs, slices, squeezed, starts, unpack, unsqueezed
 from .common import buckets as bucket_count
-from .common import drop, free_worker, marked, stored
+from .common import drop, free_worker, marked, stored, tidy
 from .components import connected_components
 
 SHINGLE = 5
@@ -270,7 +271,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], buckets: int, block_bytes
         for b, s in slices(bucket[new]):  # a document's id, size and tag, which stand in each bucket anew, are most of what is shuffled
             at = slice(new[s.start], new[s.stop] if s.stop < len(new) else len(sig))
             columns = (np.diff(id_[of[s]], prepend=0), sizes[of[s]].astype(np.int32), tag[s], times[s].astype(np.int32))
-            rows.append((b, 0, pack(*map(planes, columns), sig[at])))
+            rows.append((b, 0, pack(*map(squeezed, columns), sig[at], np.array([len(of[s])]))))
         return rows_of_blobs(rows)
 
     free_worker()
@@ -309,8 +310,8 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind:
                 yield from _row_batches(kind, *(from_planes(x, "<i8") for x in unpack(data, *["u1"] * (4 if kind == MEMBER else 3))))
             else:
-                *columns, sig = unpack(data, *["u1"] * 4, "<u4")
-                ids, sizes, tag, times = map(from_planes, columns, ("<i8", "<i4", "<u4", "<i4"))
+                *columns, sig, length = unpack(data, *["u1"] * 4, "<u4", "<i8")
+                ids, sizes, tag, times = (unsqueezed(c, kind, int(length[0])) for c, kind in zip(columns, ("<i8", "<i4", "<u4", "<i4")))
                 each = (np.cumsum(ids), sizes, (tag.astype(np.int64) - 128).astype(np.int32))
                 ids, sizes, tag = (np.repeat(x, times) for x in each)
                 parts.append((ids, sizes, bucket << 32 | sig.astype(np.int64), tag))
@@ -322,22 +323,22 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _row_batches(MEMBER, sig[m], ids[m], tag[m], ids[order[first[many]]])
 
 
-_COMPARED = "hub long, id long, c long, key long, n int, linked boolean, x array<long>"
+_COMPARED = "row long, hub long, id long, c long, n int, d int, linked boolean, x array<long>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch], delta: bool, batch_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Texts in order of hub, a hub's own (their id is null) before those compared with it.
 
-    x: hashes of the shingles in which a text differs from the hub's first text.
+    x: hashes of the shingles in which a text differs from the hub's first text, d: how many; row: a number of its own.
     """
-    out: list[tuple[int, int, int | None, int, int, bool, np.ndarray | None]] = []
-    at, last, sets, size = None, None, [], 0
+    out: list[tuple[int, int, int, int | None, int, int | None, bool, np.ndarray | None]] = []
+    at, last, sets, size, row = None, None, [], 0, TaskContext.get().partitionId() << 40
 
     def rows() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [()] * 7
+        columns = list(zip(*out)) or [()] * 8
         out.clear()
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["hub", "id", "c", "key", "n", "linked", "x"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "hub", "id", "c", "n", "d", "linked", "x"])
 
     for batch in batches:
         for hub, part, id_, c, key, text in zip(*(x.to_pylist() for x in batch.columns[:5]), batch.column(5)):
@@ -352,7 +353,8 @@ def _compare(batches: Iterator[pa.RecordBatch], delta: bool, batch_bytes: int =
             shared = [(len(mine & s), len(s)) for s in sets]
             linked = any(k and 100 * k >= 80 * (len(mine) + n - k) for k, n in shared)
             x = np.fromiter(map(xxhash.xxh3_64_intdigest, mine ^ sets[0]), np.uint64).view(np.int64) if delta else None
-            out.append((hub, id_, c, key, len(mine), linked, x))
+            out.append((row, hub, id_, c, len(mine), len(x) if delta else None, linked, x))
+            row += 1
             size += 64 + (x.nbytes if delta else 0)
             if size >= batch_bytes:
                 yield rows()
@@ -369,13 +371,13 @@ def _against_hubs(pairs: DataFrame, docs: DataFrame, n: int, delta: bool = False
     c = F.col("c") if "c" in pairs.columns else F.lit(None).cast("long").alias("c")
     dealt = stored(pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", c), "dealt")
     named = dealt.select("id").union(dealt.select("hub")).distinct()
-    texts = _with_ids(docs.where("text is not null"), named)
-    hubs = dealt.select("hub", "part").distinct().join(texts.withColumnRenamed("id", "hub"), "hub")
+    texts = marked(docs.where("text is not null"), F.col("id"), named).where("__near").select(F.col("id").alias("of"), "text")
     none = F.lit(None).cast("long")
-    both = dealt.join(texts, "id").select("hub", "part", "id", "c", "text").unionByName(hubs.select("hub", "part", none.alias("id"), none.alias("c"), "text"))
-    rows = both.select("hub", "part", "id", "c", F.xxhash64("text").alias("key"), "text")
+    hubs = dealt.select("hub", "part").distinct().select("hub", "part", none.alias("id"), none.alias("c"), F.col("hub").alias("of"))
+    wanted = dealt.select("hub", "part", "id", "c", F.col("id").alias("of")).unionByName(hubs)  # so that texts are shuffled for both at once
+    rows = wanted.join(texts, "of").select("hub", "part", "id", "c", F.xxhash64("text").alias("key"), "text")
     placed = rows.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("id"), "key")
-    found = stored(placed.mapInArrow(lambda b: _compare(b, delta), _COMPARED), "compared")
+    found = stored(placed.mapInArrow(tidy(lambda b: _compare(b, delta)), _COMPARED), "compared")
     drop(dealt)
     return found
 
@@ -426,7 +428,7 @@ def _clusters(left: DataFrame) -> DataFrame:
     return near.union(hubs.select("hub", F.col("hub").alias("id"), F.col("of_hub").alias("c"))).distinct()
 
 
-def _near_hubs(compared: DataFrame) -> DataFrame:
+def _near_hubs(compared: DataFrame, component: DataFrame) -> DataFrame:
     """Pairs (hub, id) that may be linked across components, from how each set differs from a common hub.
 
     Sets of n and m elements that differ from the hub in x and y elements are linked if these differences
@@ -434,9 +436,11 @@ def _near_hubs(compared: DataFrame) -> DataFrame:
     hub's least 9x - n is linked with both. Otherwise the rarest of x hold a shared element even
     without the last of them, as many as must be shared less one; of two sets the one with the smaller 9x - n
     (low) must share more of its own, so fewer of its elements are looked at. Elements that lie in one
-    component only are the rarest of all; they stand first and meet nobody.
+    component only are the rarest of all; they stand first and meet nobody. Elements are shuffled with their row's number
+    and component only, hub and element hashed to one number: equal hashes of others could but add pairs that are then compared.
     """
-    placed = compared.withColumn("d", F.size("x")).withColumn("e", 9 * F.size("x") - F.col("n"))
+    left = compared.select("row", "hub", "id", "n", "d").join(component, "id", "left")
+    placed = stored(left.select("row", "hub", "id", F.coalesce("component", "id").alias("c"), "n", "d", (9 * F.col("d") - F.col("n")).alias("e")), "placed")
     members = placed.select("hub", "id", "c", "e")
     least = members.groupBy("hub").agg(F.min(F.struct("e", "id", "c")).alias("best"))
     apart = members.join(least, "hub").where("c <> best.c")
@@ -445,29 +449,27 @@ def _near_hubs(compared: DataFrame) -> DataFrame:
     other = F.when(F.col("c") == F.col("best.c"), F.col("second")).otherwise(F.col("best.e"))
     shared = lambda e: F.greatest(F.lit(1), F.ceil((F.col("e") + e) / 18))
     sized = placed.join(bounds, "hub").withColumn("low", F.col("d") - shared(F.greatest("e", other)) + 1).withColumn("high", F.col("d") - shared(other) + 1)
-    elements = sized.where("high > 0").select("hub", "id", "key", "c", "n", "d", "e", "low", "high", F.explode("x").alias("h"))
-    same = Window.partitionBy("hub", "h")
+    sized = stored(sized.where("high > 0").select("row", "id", "c", "n", "d", "e", "low", "high"), "sized")
+    near = marked(compared.select("row", "hub", "x"), F.col("row"), sized.select("row")).where("__near").select("row", "hub", "x")
+    exploded = near.join(sized.select("row", "c"), "row").select("row", "c", "hub", F.explode("x").alias("h"))
+    elements = exploded.select("row", "c", F.xxhash64("hub", "h").alias("h"))
+    same = Window.partitionBy("h")
     common = elements.withColumns({"f": F.count("*").over(same), "c0": F.min("c").over(same), "c1": F.max("c").over(same)}).where("c0 <> c1")
-    met = common.groupBy("hub", "id", "key", "c", "n", "d", "e", "low", "high").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    met = common.select("row", "f", "h").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s")).join(sized, "row")
     own = F.col("d") - F.size("s")
-    heads = met.withColumn("own", own).select("hub", "id", "c", "n", "d", "e", "low", "own", F.posexplode(F.slice("s", 1, F.greatest(F.lit(0), F.least(F.size("s"), F.col("high") - own)).cast("int"))).alias("at", "s"))
-    heads = stored(heads.select("hub", F.col("s.h").alias("h"), "id", "c", "n", "d", "e", "low", (F.col("own") + F.col("at") + 1).alias("r")), "heads")
+    most = F.greatest(F.lit(0), F.least(F.size("s"), F.col("high") - own)).cast("int")
+    heads = met.withColumn("own", own).select("id", "c", "n", "d", "e", "low", "own", F.posexplode(F.slice("s", 1, most)).alias("at", "s"))
+    heads = stored(heads.select(F.col("s.h").alias("h"), "id", "c", "n", "d", "e", "low", (F.col("own") + F.col("at") + 1).alias("r")), "heads")
     one, two = heads.where("r <= low").alias("i"), heads.alias("j")
     first = F.struct("i.e", "i.id") < F.struct("j.e", "j.id")
     most = F.least("i.r", "j.r") + F.least(F.col("i.d") - F.col("i.r"), F.col("j.d") - F.col("j.r"))
     alike = 5 * F.least("i.n", "j.n") >= 4 * F.greatest("i.n", "j.n")
-    pairs = one.join(two, ["hub", "h"]).where((F.col("i.c") != F.col("j.c")) & first & alike & (18 * most >= F.col("i.e") + F.col("j.e")))
+    pairs = one.join(two, "h").where((F.col("i.c") != F.col("j.c")) & first & alike & (18 * most >= F.col("i.e") + F.col("j.e")))
     found = stored(pairs.select(F.least("i.id", "j.id").alias("hub"), F.greatest("i.id", "j.id").alias("id")).union(sure).distinct(), "pairs")
-    drop(heads, bounds)
+    drop(heads, bounds, placed, sized)
     return found
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (distinct); nearly all others are dropped before any text is shuffled."""
-    near = marked(docs, F.col("id"), ids).where("__near").select(*docs.columns)
-    return near.join(ids, "id")  # a semi join would be pushed below the bitmap
-
-
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links).
 
@@ -479,8 +481,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = bucket_count(docs, bucket_bytes=4 << 20)  # a task's arrays are some forty times the bytes of its texts
-    dealt = docs.mapInArrow(lambda b: _signature_rows(b, n, block_bytes), BLOB_SCHEMA)
-    rows = stored(dealt.repartitionById(n, F.col("bucket")).mapInArrow(_group_rows, _ROWS), "groups")
+    dealt = docs.mapInArrow(tidy(lambda b: _signature_rows(b, n, block_bytes)), BLOB_SCHEMA)
+    rows = stored(dealt.repartitionById(n, F.col("bucket")).mapInArrow(tidy(_group_rows), _ROWS), "groups")
     kind = lambda k: rows.where(F.col("kind") == k)
     met = stored(kind(PAIR).groupBy("a", "b").agg(F.sum(F.shiftright("tag", 16)).alias("groups"), F.min(F.col("tag").bitwiseAND(0xFFFF)).alias("slack")), "met")
     pairs = met.where("2 * groups > slack").select(F.col("a").alias("hub"), F.col("b").alias("id"))  # the others are left to the later rounds
@@ -500,7 +502,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         clusters = stored(_clusters(left), "clusters")
         near = _against_hubs(clusters, docs, n, delta=True)
         component = joined(_links(near))
-        last = _near_hubs(near.drop("c").join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+        last = _near_hubs(near, component)
         links = _against_hubs(last, docs, n)
         component = joined(_links(links))
         done += [clusters, near, last, links]

@@ -79,3 +79,33 @@ def test_words_are_hashed_once_a_batch():
     got = jaccard.word_hashes(pa.array(texts), known)
     want = [[xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().lower().split()] for t in texts]
     assert [x.tolist() for x in got] == want and len(looked_up) == len(set(looked_up))
+
+
+@pytest.mark.parametrize("values, kind", [([], "<i8"), ([-1, 0, 1 << 62, -(1 << 63)], "<i8"), ([0, 7, 1 << 31], "<u4"), ([5], "<i4")])
+def test_squeezed_numbers_come_back(values, kind):
+    a = np.array(values, kind)
+    assert blobs.unsqueezed(blobs.squeezed(a), kind, len(a)).tolist() == values
+
+
+def test_texts_are_read_once_for_a_comparison(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(8)], "id long, text string").write.parquet(str(tmp_path / "docs"))
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (4, 5)], "hub long, id long")
+    plans, stored = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: plans.append((name, df)) or stored(df, name))
+    found = jaccard._against_hubs(pairs, spark.read.parquet(str(tmp_path / "docs")), 4)
+    assert {(r.hub, r.id, r.linked) for r in found.collect()} == {(0, 1, True), (0, 2, False), (4, 5, True)}
+    plan = dict(plans)["compared"]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[id#\d+L,text#\d+\] parquet", plan)) == 1
+
+
+def test_elements_of_differences_are_shuffled_as_three_numbers(spark, monkeypatch):
+    """Chains of near copies and of documents with one passage: only row, component and element cross the window's shuffle."""
+    compared = spark.createDataFrame([(i, 0, 10 + i, 0, 100, 4, False, [i // 2, 1000 + i, 2000, 3000 + i]) for i in range(6)], jaccard._COMPARED)
+    component = spark.createDataFrame([(10, 10), (11, 10)], "id long, component long")
+    plans, stored = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: plans.append((name, df)) or stored(df, name))
+    found = {(r.hub, r.id) for r in jaccard._near_hubs(compared, component).collect()}
+    assert {(i, j) for i in range(10, 16) for j in range(i + 1, 16)} - {(10, 11)} == found  # all differ from the hub in next to nothing
+    plan = dict(plans)["heads"]._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window ["):].split("\n")[1]
+    assert len(re.findall(r"#\d+L?", window.split("AS h#")[0])) <= 4 and "Project [row#" in window
