@@ -46,6 +46,32 @@ def unsqueezed(data: np.ndarray, kind: str, length: int) -> np.ndarray:
     return from_planes(np.frombuffer(_ZSTD.decompress(data.tobytes(), size, asbytes=True), np.uint8), kind)
 
 
+def records(*arrays: np.ndarray) -> np.ndarray:
+    """Arrays of one length side by side, as a matrix of bytes."""
+    return np.concatenate([np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize) for a in arrays], axis=1)
+
+
+def squeezed_records(rows: np.ndarray, tail: np.ndarray = np.zeros(0, np.uint8)) -> bytes:
+    """Rows of ``records``, byte by byte of all rows, and more bytes after them, as one value by zstd."""
+    return len(rows).to_bytes(8, "little") + len(tail).to_bytes(8, "little") + _ZSTD.compress(rows.T.tobytes() + tail.tobytes(), asbytes=True)
+
+
+def unsqueezed_records(values: list[bytes], *kinds: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """How many rows each value has, the arrays over all values, and the joined tails."""
+    widths = [np.dtype(k).itemsize for k in kinds]
+    sizes, parts, tails = [], [], []
+    for v in values:
+        n, more = int.from_bytes(v[:8], "little"), int.from_bytes(v[8:16], "little")
+        whole = np.frombuffer(_ZSTD.decompress(v[16:], n * sum(widths) + more, asbytes=True), np.uint8)
+        sizes.append(n)
+        parts.append(whole[: len(whole) - more].reshape(sum(widths), n))
+        tails.append(whole[len(whole) - more :])
+    joined = np.concatenate(parts, axis=1)
+    parts.clear()
+    ends = np.cumsum(widths).tolist()
+    return np.array(sizes), [np.ascontiguousarray(joined[e - w : e].T).view(k).ravel() for e, w, k in zip(ends, widths, kinds)], np.concatenate(tails)
+
+
 def slices(sorted_keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(key, slice) of each run of equal keys."""
     if len(sorted_keys):

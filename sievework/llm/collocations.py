@@ -1,23 +1,25 @@
 """Operator 11: phrases mined by vertical positional inverted lists.
 
-Texts of one language are laid out in blocks: one sequence of word positions with gaps between
-pieces. A phrase's list holds the positions at which it starts. Lists of frequent phrases are
+Texts are laid out in blocks: one sequence of word positions with gaps between pieces; words of two languages
+are two words. A phrase's list holds the positions at which it starts. Lists of frequent phrases are
 extended by a merge join with the postings of the word that follows; the length of a list is the exact frequency.
 
 1. One pass over the texts makes the blocks: the words of a block, and a code for each position.
-2. Words are counted over all blocks; the frequent ones get an id, which goes back to the blocks that hold them.
+2. Words are counted over all blocks, dealt by word; the frequent ones get an id, which goes back to the blocks that hold them.
 3. For each further length, every block extends its lists and sends the lengths, dealt by phrase; those that
    are frequent in all get an id, which goes back likewise. A phrase is extended only where the phrase without its first word
    is frequent too.
 
-So what crosses a shuffle is one number a block for each phrase that could be frequent, never an occurrence.
+So what crosses a shuffle is one number a block for each phrase that could be frequent, never an occurrence. It crosses in
+packed rows of bounded size: Spark never holds an array of a whole block, and a task holds one block or one bucket.
 Scores and the phrases that longer ones cover are joins of the frequent phrases.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blobs import slices, starts
+from .blobs import records, slices, squeezed_records, starts, unsqueezed_records
 from .common import buckets as bucket_count
-from .common import column, drop, partitions, stored
+from .common import column, drop, partitions, stored, tidy
 
 #: Ends of pieces become a full stop; nothing else in a word can be one.
 _FOLD = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
+#: Positions and words in a row of a block.
+_ROW, _WORDS = 1 << 16, 1 << 17
 
 
 class _Codes(dict):
@@ -62,46 +66,137 @@ class Block:
         self.parts.append(np.zeros(1, np.int32))
         self.bytes += len(data) + 32
 
-    def arrays(self) -> tuple[np.ndarray, list[str], np.ndarray]:
+    def arrays(self) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Codes by position, the words by code, and how often each occurs; common words have low codes."""
         at = np.concatenate(self.parts) - 1
         n = np.bincount(at[at >= 0], minlength=len(self.codes) - 1)
         order = np.argsort(-n, kind="stable")
         code = np.empty(len(order) + 1, np.int32)
         code[order], code[-1] = np.arange(len(order)), -1
-        words = [w.decode() for w in self.codes if w != b"."]
+        words = [w for w in self.codes if w != b"."]
         return code[at], [words[i] for i in order], n[order]
 
 
-_BLOCKS = "block long, lang string, at array<int>, words array<string>, n array<long>"
+_BLOCKS = "block long, level int, part int, data binary, words binary, lang string, n long"
+_BLOCK_ROWS = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("words", pa.binary()), ("lang", pa.string()), ("n", pa.int64())])
+
+
+def _rows(schema: pa.Schema, length: int, **columns: Iterable) -> pa.RecordBatch:
+    """Rows with these columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(length, f.type) for f in schema], schema=schema)
+
+
+def _parts_of(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words (an array that is no slice) begin and end in their joined bytes, and these."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(words) + 1)
+    return ends, np.frombuffer(data, np.uint8, ends[-1])
+
+
+def _unpacked_words(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.LargeBinaryArray]:
+    """How many words each value has, their codes, how often each occurs, and the words."""
+    sizes, (local, n, lengths), text = unsqueezed_records(values, "<i4", "<i8", "<i4")
+    ends = np.zeros(len(local) + 1, np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    return sizes, local, n, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(local), [None, pa.py_buffer(ends), pa.py_buffer(text)])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a block: its codes (level 0; 0 between pieces), its words with their language, and how many words each language has."""
     first, made = TaskContext.get().partitionId() << 32, 0
     open_: dict[str, Block] = defaultdict(Block)
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal made
-        for lang, block in open_.items():
-            at, words, n = block.arrays()
-            row = [[first + made], [lang], [at], [words], [n]]
-            made += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, _KINDS)], names=["block", "lang", "at", "words", "n"])
-        open_.clear()
+        block, made = first + made, made + 1
+        at, words, n, totals = [], [], [], {}
+        for lang in list(open_):
+            codes, own, counts = open_.pop(lang).arrays()
+            codes[codes >= 0] += len(words) + 1
+            at.append(np.maximum(codes, 0))
+            end = b" " + lang.encode()  # a word has no space
+            words += [w + end for w in own]
+            n.append(counts)
+            totals[lang] = int(counts.sum())
+        if not words:
+            return
+        at, n = np.concatenate(at), np.concatenate(n)
+        yield _rows(_BLOCK_ROWS, len(totals), lang=list(totals), n=list(totals.values()))
+        for part, k in enumerate(range(0, len(at), _ROW)):
+            yield _rows(_BLOCK_ROWS, 1, block=[block], level=[0], part=[part], data=[squeezed_records(records(at[k : k + _ROW]))])
+        for k in range(0, len(words), _WORDS):
+            ends, text = _parts_of(pa.array(words[k : k + _WORDS], pa.binary()))
+            local = np.arange(k, k + len(ends) - 1, dtype=np.int32)
+            yield _rows(_BLOCK_ROWS, 1, block=[block], words=[squeezed_records(records(local, n[local], np.diff(ends)), text)])
 
     size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
-            open_[lang].add(text)
-            size += len(text) + 32
+            size += len(text.as_buffer()) + 32
+            open_[lang].add(text.as_py())
             if size >= block_bytes:
                 yield from flush()
                 size = 0
     yield from flush()
 
 
-_KINDS = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
+_DEALT = "bucket int, block long, data binary"
+_DEALT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+
+
+def _dealt_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Words of blocks, dealt by word."""
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            _, local, n, words = _unpacked_words([data.as_py()])
+            bucket = np.fromiter(map(crc32, words.to_pylist()), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            ends, text = _parts_of(words.take(pa.array(order)).cast(pa.binary()))
+            rows = records(local[order], n[order], np.diff(ends))
+            found = [(k, squeezed_records(rows[s], text[ends[s.start] : ends[s.stop]])) for k, s in slices(bucket[order])]
+            yield _rows(_DEALT_ROWS, len(found), bucket=[k for k, _ in found], block=[block] * len(found), data=[x for _, x in found])
+
+
+_FREQUENT = "block long, level int, part int, data binary, lang string, phrase string, id long, a long, b long, f long"
+_FREQUENT_ROWS = pa.schema([*list(_BLOCK_ROWS)[:4], ("lang", pa.string()), ("phrase", pa.string()), *((c, pa.int64()) for c in ("id", "a", "b", "f"))])
+
+
+def _backs(level: int, bucket: int, blocks: list[int], whose: np.ndarray, local: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """One row a block: which of its codes are frequent, and their ids."""
+    order = np.argsort(whose, kind="stable")
+    rows = records(local[order], ids[order])
+    found = [(blocks[k], squeezed_records(rows[s])) for k, s in slices(whose[order])]
+    return _rows(_FREQUENT_ROWS, len(found), block=[k for k, _ in found], level=[level] * len(found), part=[bucket] * len(found), data=[x for _, x in found])
+
+
+def _of_bucket(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[int], list[bytes]]:
+    """The bucket, and the block and the value of each of its rows."""
+    bucket, blocks, values = 0, [], []
+    for batch in batches:
+        bucket = batch.column(0)[0].as_py() if batch.num_rows else bucket
+        blocks += batch.column(1).to_pylist()
+        values += batch.column(2).to_pylist()
+    return bucket, blocks, values
+
+
+def _frequent_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Sums of one bucket: rows without a block are the frequent words, one row a block says which these are in it."""
+    bucket, blocks, values = _of_bucket(batches)
+    if not blocks:
+        return
+    sizes, local, n, words = _unpacked_words(values)
+    values.clear()
+    whose = np.repeat(np.arange(len(blocks), dtype=np.int32), sizes)
+    coded = words.dictionary_encode()
+    word = coded.indices.to_numpy()
+    f = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(f, word, n)
+    keep = f >= least
+    name = np.cumsum(keep) - 1 + (bucket << 32)
+    both = [x.split(b" ", 1) for x in coded.dictionary.filter(pa.array(keep)).to_pylist()]
+    yield _rows(_FREQUENT_ROWS, len(both), lang=[x[1].decode() for x in both], phrase=[x[0].decode() for x in both], id=name[keep], f=f[keep])
+    member = keep[word]
+    yield _backs(1, bucket, blocks, whose[member], local[member], name[word[member]])
 
 
 def extended(at: np.ndarray, codes: np.ndarray, posted: np.ndarray, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,24 +225,28 @@ def _lists(at: np.ndarray, frequent: dict[int, tuple[np.ndarray, np.ndarray]], l
     word = code[at]  # entry -1 is never frequent
     posted = np.flatnonzero(word >= 0)
     words = word[posted]
+    del word
     places, codes = posted, words
     for size in range(1, length):
         places, codes, after = extended(places, codes, posted, words, size)
-        key, codes, n = np.unique(codes * (len(local) + 1) + after, return_inverse=True, return_counts=True)
+        codes = codes * (len(local) + 1) + after
+        del after
         if size + 1 < length:
+            key, codes = np.unique(codes, return_inverse=True)
             known, ids[size + 1] = frequent.get(size + 1, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
             named = np.full(len(key) + 1, -1, np.int64)
             named[known] = np.arange(len(known))
             codes = named[codes]
             stay = codes >= 0
             places, codes = places[stay], codes[stay]
-    before, after = np.divmod(key, len(local) + 1)
+    del places
+    codes.sort()
+    first = np.flatnonzero(starts(codes))
+    n = np.diff(np.append(first, len(codes)))
+    before, after = np.divmod(codes[first], len(local) + 1)
     return ids[length - 1][before], ids[1][after], n
 
 
-_COUNTS = "bucket int, block long, local array<int>, a array<long>, b array<long>, n array<long>"
-
-
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
@@ -156,62 +255,51 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of a block come together: its codes (level 0), then what is frequent in it."""
 
-    def flush(block: int, at: np.ndarray | None, frequent: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if at is None or length - 1 not in frequent:
+    def flush(block: int, levels: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        if 0 not in levels or length - 1 not in levels:
             return
-        a, b, n = _lists(at, {level: _in_order(*x) for level, x in frequent.items()}, length)
+        at = unsqueezed_records(levels.pop(0), "<i4")[1][0] - 1
+        a, b, n = _lists(at, {level: _in_order(*unsqueezed_records(levels.pop(level), "<i4", "<i8")[1]) for level in list(levels)}, length)
+        del at
         bucket = (_mixed(a, b) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        rows = [(k, block, o.astype(np.int32), a[o], b[o], n[o]) for k, o in ((k, order[s]) for k, s in slices(bucket[order]))]
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names=["bucket", "block", "local", "a", "b", "n"])
+        rows = records(order.astype(np.int32), a[order], b[order], n[order])
+        found = [(k, squeezed_records(rows[s])) for k, s in slices(bucket[order])]
+        yield _rows(_DEALT_ROWS, len(found), bucket=[k for k, _ in found], block=[block] * len(found), data=[x for _, x in found])
 
-    now, at, frequent = None, None, {}
+    now, levels = None, defaultdict(list)
     for batch in batches:
-        for block, level, local, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        for block, level, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if block != now:
-                yield from flush(now, at, frequent)
-                now, at, frequent = block, None, {}
-            local = local.values.to_numpy()
-            if level:
-                mine = frequent.get(level, (np.zeros(0, np.int32), np.zeros(0, np.int64)))
-                frequent[level] = np.concatenate([mine[0], local]), np.concatenate([mine[1], ids.values.to_numpy()])
-            else:
-                at = local
-    yield from flush(now, at, frequent)
-
+                yield from flush(now, levels)
+                now, levels = block, defaultdict(list)
+            levels[level].append(data.as_py())
+    yield from flush(now, levels)
 
-_FREQUENT = "block long, local array<int>, ids array<long>, a array<long>, b array<long>, f array<long>"
 
-
-def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sums of one bucket: a row without a block holds the frequent phrases, one row a block says which these are in it."""
-    blocks, parts, first = [], [], 0
-    for batch in batches:
-        first = batch.column(0)[0].as_py() << 32 if batch.num_rows else first
-        for block, *arrays in zip(batch.column(1).to_pylist(), *batch.columns[2:]):
-            local, a, b, n = (x.values.to_numpy() for x in arrays)
-            parts.append((np.full(len(a), len(blocks), np.int32), local, a, b, n))
-            blocks.append(block)
-    if not parts:
+def _frequent(batches: Iterator[pa.RecordBatch], least: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Sums of one bucket: rows without a block are the frequent phrases, one row a block says which these are in it."""
+    bucket, blocks, values = _of_bucket(batches)
+    if not blocks:
         return
-    whose, local, a, b, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((whose, b, a))
-    new = np.flatnonzero(starts(a[order], b[order]))
+    sizes, (local, a, b, n), _ = unsqueezed_records(values, "<i4", "<i8", "<i8", "<i8")
+    values.clear()
+    whose = np.repeat(np.arange(len(blocks), dtype=np.int32), sizes)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(starts(a, b))
     f = np.add.reduceat(n[order], new)
-    phrase = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
-    name = np.cumsum(f >= least) - 1 + first
-    keep, head = f >= least, order[new]
-    rows = [(None, [], name[keep], a[head][keep], b[head][keep], f[keep])]
-    member = keep[phrase]
-    whose, local, ids = whose[order][member], local[order][member], name[phrase[member]]
-    order = np.argsort(whose, kind="stable")
-    rows += [(blocks[k], local[order[s]], ids[order[s]], [], [], []) for k, s in slices(whose[order])]
-    kinds = (pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 4)
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "local", "ids", "a", "b", "f"])
+    del n
+    keep = f >= least
+    name = np.cumsum(keep) - 1 + (bucket << 32)
+    yield _rows(_FREQUENT_ROWS, int(keep.sum()), id=name[keep], a=a[new[keep]], b=b[new[keep]], f=f[keep])
+    del a, b
+    size = np.diff(np.append(new, len(order)))
+    order, ids = order[np.repeat(keep, size)], np.repeat(name[keep], size[keep])
+    yield _backs(length, bucket, blocks, whose[order], local[order], ids)
 
 
-def frequent_phrases(df: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(df: DataFrame, longest: int = 4, least: int = 30, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of the phrases of 1 to ``longest`` words that occur ``least`` times or more, and (lang, n) of all words.
 
     Both are stored tables. Phrases are joined by single spaces.
@@ -220,26 +308,23 @@ def frequent_phrases(df: DataFrame, longest: int = 4, least: int = 30, text_col:
         raise ValueError("phrases have a word at least")
     buckets = bucket_count(df.select(column(text_col).alias("text")))
     texts = df.select(F.coalesce(column(lang_col), F.lit("und")).alias("lang"), column(text_col).alias("text")).where("text <> ''")
-    blocks = stored(texts.mapInArrow(lambda b: _blocks(b, block_bytes), _BLOCKS), "blocks")
-    words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "n"))).select("block", "lang", F.col("pos").alias("local"), "col.words", "col.n")
-    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    counted = words.groupBy("lang", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    levels = [stored(counted.select("lang", F.col("words").alias("phrase"), F.lit(1).alias("size"), "f", F.monotonically_increasing_id().alias("id")), "words")]
-    named = words.join(levels[0].select("lang", F.col("phrase").alias("words"), "id"), ["lang", "words"])
-    known = named.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("x")).select("block", F.lit(1).alias("level"), F.col("x.local").alias("local"), F.col("x.id").alias("ids"))
-    backs, done = stored(known, "frequent-words"), []
-    state = blocks.select("block", F.lit(0).alias("level"), F.col("at").alias("local"), F.array().cast("array<long>").alias("ids"))
-    done.append(backs)
+    blocks = stored(texts.mapInArrow(tidy(lambda b: _blocks(b, block_bytes)), _BLOCKS), "blocks", rows_per_file=256)
+    totals = stored(blocks.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words = blocks.where("words is not null").select("block", "words").mapInArrow(tidy(lambda b: _dealt_words(b, buckets)), _DEALT)
+    found = stored(words.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(lambda b: _frequent_words(b, least)), _FREQUENT), "frequent-words")
+    levels, done = [stored(found.where("block is null").select("lang", "phrase", F.lit(1).alias("size"), "f", "id"), "words")], [found]
+    of_blocks = lambda rows: rows.where("data is not null").select("block", "level", "part", "data")
+    backs = of_blocks(found)
     for size in range(2, longest + 1):
-        placed = state.unionByName(backs).repartition(buckets, "block").sortWithinPartitions("block", "level")
-        counts = placed.mapInArrow(lambda b, size=size: _counts(b, size, buckets), _COUNTS)
-        found = stored(counts.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda b: _frequent(b, least), _FREQUENT), f"phrases-{size}")
-        rows = found.where("block is null").select(F.inline(F.arrays_zip("ids", "a", "b", "f")))
+        placed = of_blocks(blocks).unionByName(backs).repartition(buckets, "block").sortWithinPartitions("block", "level", "part").select("block", "level", "data")
+        counts = placed.mapInArrow(tidy(lambda b, size=size: _counts(b, size, buckets)), _DEALT)
+        found = stored(counts.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(lambda b, size=size: _frequent(b, least, size)), _FREQUENT), f"phrases-{size}")
+        rows = found.where("block is null").select("id", "a", "b", "f")
         before = levels[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("head"))
         last = levels[0].select(F.col("id").alias("b"), F.col("phrase").alias("last"))
-        named = rows.join(before, "a").join(last, "b").select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), F.lit(size).alias("size"), "f", F.col("ids").alias("id"))
+        named = rows.join(before, "a").join(last, "b").select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), F.lit(size).alias("size"), "f", "id")
         levels.append(stored(named, f"named-{size}"))
-        backs = backs.unionByName(found.where("block is not null").select("block", F.lit(size).alias("level"), "local", "ids"))
+        backs = backs.unionByName(of_blocks(found))
         done.append(found)
     phrases = levels[0]
     for level in levels[1:]:
@@ -281,7 +366,7 @@ def ranked_phrases(phrases: DataFrame, totals: DataFrame, most: int = 2000, cove
     return ranked.join(F.broadcast(totals) if totals.count() <= 10_000 else totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def collocations(df: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, cover_percent: int = 80, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 8 << 20) -> DataFrame:
+def collocations(df: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, cover_percent: int = 80, text_col: str = "text", lang_col: str = "lang", block_bytes: int = 4 << 20) -> DataFrame:
     """The first ``most`` phrases of each language by cohesion: lang, rank, phrase, a, l, r, n, score.
 
     A phrase of 2 to ``longest`` words that occurs ``least`` times (a) or more is scored by 2000000 * a / (l + r), floored, where

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import collocations as c
 from tests.llm.brute import ASCII_LOWER
@@ -93,3 +94,23 @@ def test_extension_is_a_merge_of_positions():
     at = np.array([0, 1, 2, 5, 6])
     places, codes, words = c.extended(at, np.array([7, 8, 9, 7, 8]), at, np.array([0, 1, 2, 0, 1]), 1)
     assert places.tolist() == [0, 1, 5] and codes.tolist() == [7, 8, 7] and words.tolist() == [1, 2, 1]
+
+
+def test_no_row_holds_a_block(spark, monkeypatch):
+    """What Spark stores and shuffles of a block of 300,000 words comes in rows of bounded size, and no row grows with the block."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(1000)}" for _ in range(30_000))
+    largest = {}
+
+    def stored(df, name, *a, **k):
+        out = keep(df, name, *a, **k)
+        size = lambda x, kind: F.length(x) if kind in ("binary", "string") else F.size(x) * 4 if kind.startswith("array") else F.lit(8)
+        largest[name] = out.agg(F.max(sum((F.coalesce(size(F.col(c), kind), F.lit(0)) for c, kind in out.dtypes), F.lit(0))).alias("n")).first().n or 0
+        return out
+
+    keep = c.stored
+    monkeypatch.setattr(c, "stored", stored)
+    docs = spark.createDataFrame([(text(), "en") for _ in range(10)], "text string, lang string").coalesce(1)
+    phrases, totals = c.frequent_phrases(docs, longest=2)
+    assert [tuple(r) for r in totals.collect()] == [("en", 300_000)] and phrases.where("size = 1").count() == 1000
+    assert largest["blocks"] < 300_000 and max(largest.values()) < 300_000
